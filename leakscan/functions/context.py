@@ -115,8 +115,9 @@ def replay_source(mix: str, path: Column, *key: Column, seed: int = 1) -> Column
 
     if mix == "worst":
         return struct(F.lit("code_host"), F.lit("github.com"), F.lit("contenteditable"))
-    draw = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(100))
-    pick = F.pmod(F.xxhash64(F.lit(seed + 1), *key), F.lit(1_000_000))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in key]))
+    draw = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(100))
+    pick = F.conv(F.substring(digest, 9, 8), 16, 10).cast("bigint")
     kind, host, element = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
     for upper, name, how in reversed(REPLAY_MIX):
         hosts = F.array(*[F.lit(h) for h in REPLAY_HOSTS[name]])
@@ -148,14 +149,18 @@ def path_bias(kind: Column, hint: Column) -> Column:
     return F.when((kind == "code_host") & F.lower(F.trim(hint)).isin("test", "fixture", "spec", "mock"), -1).otherwise(0)
 
 
-def full_source(source: Column, fields: list[str]) -> Column:
-    """The struct with every field present and no NULLs; ``fields`` are those it has."""
+def source_columns(source: Column, fields: list[str]) -> dict[str, Column]:
+    """Every context field as a column of its own, NULLs filled; ``fields`` are those the struct has."""
 
     def take(name: str) -> Column:
         empty = F.lit(False) if name == "in_code_fence" else F.lit("")
-        return F.coalesce(source[name], empty).alias(name) if name in fields else empty.alias(name)
+        return F.coalesce(source[name], empty) if name in fields else empty
 
-    return F.struct(*[take(n) for n in SOURCE_FIELDS])
+    return {f"_ctx_{name}": take(name) for name in SOURCE_FIELDS[:6]}
+
+
+def source_struct() -> Column:
+    return F.struct(*[F.col(f"_ctx_{name}").alias(name) for name in SOURCE_FIELDS[:6]])
 
 
 def source_bias(rule: Column, source: Column) -> Column:

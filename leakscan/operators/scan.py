@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from leakscan.functions.context import full_source
+from leakscan.functions.context import source_columns, source_struct
 from leakscan.operators.bind import bind
 from leakscan.operators.match import MatchOptions, find_matches
 from leakscan.operators.normalize import normalize_content
@@ -17,8 +17,12 @@ from leakscan.sources.rules import RuleSet
 MAX_RECORD_BYTES = 1 << 20
 
 
-def _source(df: DataFrame, source: str | None) -> Column | None:
-    return full_source(F.col(source), df.schema[source].dataType.names) if source else None
+def _with_source(records: DataFrame, source: str | None) -> tuple[DataFrame, Column | None]:
+    """Records with the context spread over columns, and the struct made of them."""
+    if source is None:
+        return records, None
+    fields = records.schema[source].dataType.names
+    return records.withColumns(source_columns(F.col(source), fields)), source_struct()
 
 
 def signals_of(records: DataFrame, rules: RuleSet, options: MatchOptions = MatchOptions(), content: str = "content",
@@ -33,8 +37,9 @@ def signals_of(records: DataFrame, rules: RuleSet, options: MatchOptions = Match
 def scan(records: DataFrame, rules: RuleSet, config: ScoreConfig = ScoreConfig(), options: MatchOptions = MatchOptions(),
          content: str = "content", source: str | None = None, canonical: str | None = None) -> DataFrame:
     """Adds blocked, pattern_name and score to every record; no shuffle."""
-    found = signals_of(records, rules, options, content, canonical)
-    scored = bind(found, _verdict=best_verdict(pattern_results(F.col("signals"), config.struct(), _source(found, source))))
+    prepared, context = _with_source(records, source)
+    found = signals_of(prepared, rules, options, content, canonical)
+    scored = bind(found, _verdict=best_verdict(pattern_results(F.col("signals"), config.struct(), context)))
     return scored.select(*records.columns, "_verdict.*")
 
 
@@ -42,8 +47,9 @@ def explain_scan(records: DataFrame, rules: RuleSet, config: ScoreConfig = Score
                  options: MatchOptions = MatchOptions(), content: str = "content", source: str | None = None,
                  canonical: str | None = None, keep: tuple[str, ...] = ("record_id",)) -> DataFrame:
     """One row per record and pattern with a surviving match, with the parts of its score; never the value."""
-    found = signals_of(records, rules, options, content, canonical)
-    rows = found.select(*keep, F.inline(pattern_results(F.col("signals"), config.struct(), _source(found, source))))
+    prepared, context = _with_source(records, source)
+    found = signals_of(prepared, rules, options, content, canonical)
+    rows = found.select(*keep, F.inline(pattern_results(F.col("signals"), config.struct(), context)))
     return rows.drop("ordinal")
 
 
@@ -61,21 +67,23 @@ def compare_configs(records: DataFrame, rules: RuleSet, configs: Mapping[str, Sc
                     options: MatchOptions = MatchOptions(), content: str = "content",
                     source: str | None = None) -> DataFrame:
     """Verdicts of the same records under several weights and thresholds; the text is matched once."""
-    found = signals_of(records, rules, options, content)
+    prepared, context = _with_source(records, source)
+    found = signals_of(prepared, rules, options, content)
     table = F.array(*[c.struct(config=F.lit(name)) for name, c in configs.items()])
     each = found.select("*", F.explode(table).alias("_config"))
-    scored = bind(each, _verdict=best_verdict(pattern_results(F.col("signals"), F.col("_config"), _source(each, source))))
+    scored = bind(each, _verdict=best_verdict(pattern_results(F.col("signals"), F.col("_config"), context)))
     return scored.select(*records.columns, F.col("_config.config").alias("config"), "_verdict.*")
 
 
 def compare_context(records: DataFrame, rules: RuleSet, source: str, config: ScoreConfig = ScoreConfig(),
                     options: MatchOptions = MatchOptions(), content: str = "content") -> DataFrame:
     """Verdicts without and with the source context as structs ``baseline`` and ``context``; matched once."""
-    found = signals_of(records, rules, options, content)
+    prepared, biased = _with_source(records, source)
+    found = signals_of(prepared, rules, options, content)
     scored = bind(
         found,
         baseline=best_verdict(pattern_results(F.col("signals"), config.struct())),
-        context=best_verdict(pattern_results(F.col("signals"), config.struct(), _source(found, source))),
+        context=best_verdict(pattern_results(F.col("signals"), config.struct(), biased)),
     )
     return scored.select(*records.columns, "baseline", "context")
 

@@ -1,0 +1,8 @@
+"""Named queries over the input tables."""
+
+
+def all_queries():
+    """The registry, with every query module loaded."""
+    from leakscan.plans import context_queries, registry, scan_queries  # noqa: F401
+
+    return registry
