@@ -3,6 +3,6 @@
 
 def all_queries():
     """The registry, with every query module loaded."""
-    from leakscan.plans import context_queries, registry, scan_queries  # noqa: F401
+    from leakscan.plans import context_queries, policy_queries, registry, scan_queries  # noqa: F401
 
     return registry
