@@ -148,3 +148,11 @@ def shannon_entropy(value: Column) -> Column:
         return F.aggregate(symbols, F.lit(0.0), term)
 
     return F.when(value == "", F.lit(0.0)).otherwise(let(byte_view(value), entropy))
+
+
+def byte_tail(text: Column, size: int) -> Column:
+    """The last ``size`` bytes of a text, less the rest of a character cut at the front."""
+    data = text.cast("binary")
+    cut = F.substring(data, F.greatest(F.octet_length(text) - size, F.lit(0)) + 1, F.lit(size))
+    whole = F.regexp_replace(F.hex(cut), "^(?:[89AB][0-9A-F]){1,3}", "")
+    return F.when(F.octet_length(text) <= size, text).otherwise(F.unhex(whole).cast("string"))
