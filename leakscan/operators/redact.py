@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leakscan.functions.arrays import chunks, let, prefix_sums, span_end, span_start
+from leakscan.functions.context import source_columns, source_struct
+from leakscan.functions.form import form_pairs, path_escape, query_escape
 from leakscan.functions.text import byte_slice, is_placeholder_shape, is_public_example
 from leakscan.operators.bind import bind
 from leakscan.operators.match import MatchOptions, find_matches, prefix_offsets
@@ -12,7 +14,6 @@ from leakscan.operators.normalize import normalize_content
 from leakscan.operators.ordered import with_carry
 from leakscan.operators.scan import scan
 from leakscan.operators.score import ScoreConfig, add_signals, best_verdict, pattern_results
-from leakscan.functions.context import source_columns, source_struct
 from leakscan.sources.rules import UNCATEGORIZED, RuleSet
 
 # Fixed value: the token of a region that covers several secrets.
@@ -27,19 +28,6 @@ def category_slug(category: Column, name: Column) -> Column:
     return F.when(slug == "", "REDACTED").otherwise(slug)
 
 
-def query_escape(value: Column) -> Column:
-    """Percent-encoding of a form value: space as '+', unreserved characters kept."""
-    return F.replace(F.replace(F.url_encode(value), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
-
-
-def path_escape(value: Column) -> Column:
-    """Percent-encoding of a path segment."""
-    out = F.replace(query_escape(value), F.lit("+"), F.lit("%20"))
-    for code, ch in (("%24", "$"), ("%26", "&"), ("%2B", "+"), ("%3A", ":"), ("%3D", "="), ("%40", "@")):
-        out = F.replace(out, F.lit(code), F.lit(ch))
-    return out
-
-
 def spellings(value: Column) -> Column:
     """The value as it may stand in a text: plain or percent-encoded."""
     return F.array_distinct(F.array(value, query_escape(value), path_escape(value), F.replace(value, F.lit("/"), F.lit("%2F"))))
@@ -210,6 +198,15 @@ def redact(records: DataFrame, rules: RuleSet, config: ScoreConfig = ScoreConfig
         F.when(F.col("action") == "redact", F.col("_spans")).alias("redactions"))
 
 
+def located_secrets(records: DataFrame, rules: RuleSet, options: MatchOptions = MatchOptions(), content: str = "content") -> DataFrame:
+    """Adds ``found`` and ``spans``: where the secrets of each record stand in its own text, and under which tokens."""
+    normal = normalize_content(records, content, "_canonical")
+    hits = find_matches(normal, rules, options, "_canonical")
+    text = F.coalesce(F.col(content), F.lit(""))
+    located = bind(hits, _located=let(secrets_of(F.col("hits"), F.col("_canonical"), rules), lambda s: locate_secrets(text, s)))
+    return located.select(*records.columns, "_located.found", "_located.spans")
+
+
 def merge_spans(spans: DataFrame, key: str = "record_id", slot: int = 1 << 16) -> DataFrame:
     """Merged spans of a span table (key, start, end, token, pattern_name), by slots of the text."""
     order = ["start", "end", "token", "pattern_name"]
@@ -230,23 +227,20 @@ def redact_form_fields(bodies: DataFrame, rules: RuleSet, body: str = "body", ke
                        config: ScoreConfig = ScoreConfig(), options: MatchOptions = MatchOptions()) -> DataFrame:
     """Adds ``redacted_body`` and ``is_redacted`` to form bodies, field by field, keys in order.
 
-    A field that cannot be redacted stays as it was, unlike a whole text. Only
-    fields that changed are shuffled; the others are re-encoded in place.
+    A field that cannot be redacted stays as it was, unlike a whole text. A body
+    that is no well-formed form is one field. Only fields that changed are
+    shuffled; the others are re-encoded in place.
     """
-    def decode(x: Column) -> Column:
-        return F.coalesce(F.try_url_decode(x), x)
-
-    raw = F.filter(F.split(F.coalesce(F.col(body), F.lit("")), "&"), lambda p: p != "")
-    pairs = F.transform(raw, lambda p, i: F.struct(
-        decode(F.substring_index(p, "=", 1)).alias("name"), i.alias("pos"),
-        decode(F.when(F.contains(p, F.lit("=")), F.substring(p, F.position(F.lit("="), p) + 1, F.length(p))).otherwise("")).alias("value")))
-    parsed = bind(bodies, _pairs=F.array_sort(pairs))
+    text = F.coalesce(F.col(body), F.lit(""))
+    parsed = bind(bodies, _form=form_pairs(text)).withColumns({"_pairs": F.col("_form.pairs"), "_whole": F.col("_form.whole")}).drop("_form")
     fields = parsed.select(key, F.explode("_pairs").alias("p")).select(key, F.col("p.pos").alias("pos"), F.col("p.value").alias("content"))
     changed = redact(fields, rules, config, options).filter("action = 'redact'")
     # one map per body of the fields that changed
     per_body = changed.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("pos", "redacted_content"))).alias("_new"))
     joined = parsed.join(per_body, key, "left")
-    rebuilt = F.array_join(F.transform(F.col("_pairs"), lambda p: F.concat(
+    whole = F.try_element_at(F.col("_new"), F.lit(0))
+    encoded = F.array_join(F.transform(F.col("_pairs"), lambda p: F.concat(
         query_escape(p["name"]), F.lit("="), query_escape(F.coalesce(F.try_element_at(F.col("_new"), p["pos"]), p["value"])))), "&")
+    rebuilt = F.when(~F.col("_whole"), encoded).when(F.try_url_decode(text).isNotNull(), query_escape(whole)).otherwise(whole)
     return joined.select(*bodies.columns, F.when(F.col("_new").isNotNull(), rebuilt).otherwise(F.col(body)).alias("redacted_body"),
                          F.col("_new").isNotNull().alias("is_redacted"))

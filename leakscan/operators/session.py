@@ -80,7 +80,7 @@ def _rest_points(rows: DataFrame, key: str, at: str, order: tuple[str, ...], res
     hour = F.floor(F.col(at) / 3600.0)
     stepped = with_carry(rows, [key], [at, *order], hour, lag=[at])
     fresh = F.col(f"prev_{at}").isNull() | (F.col(at) - F.col(f"prev_{at}") >= rest)
-    begun = stepped.drop(f"prev_{at}").withColumn("_begin", F.when(fresh, F.col(at)))
+    begun = stepped.withColumn("_begin", F.when(fresh, F.col(at))).drop(f"prev_{at}")
     carried = with_carry(begun, [key], [at, *order], hour, lasts=["_begin"])
     return carried.withColumn("_run", F.coalesce("_begin", "last__begin")).drop("_begin", "last__begin")
 

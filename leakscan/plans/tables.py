@@ -67,6 +67,11 @@ def planted_sql(content: str, key: str) -> str:
     return f"{content} || chr(10) || list_extract([{plants}], CAST({key} % {len(PLANTS)} AS INTEGER) + 1)"
 
 
+def encoded(text: Column) -> Column:
+    """Base64 of a text on one line."""
+    return F.translate(F.base64(F.encode(text, "UTF-8")), "\r\n", "")
+
+
 def planted_documents(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return docs.withColumn("content", planted(F.col("content"), F.col("record_id")))

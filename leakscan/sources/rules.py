@@ -148,6 +148,16 @@ def rejected_patterns(rows: DataFrame) -> DataFrame:
     return parse_patterns(rows).filter(F.coalesce(F.col("regex"), F.lit("")) == "")
 
 
+def rejected_exclusions(rows: DataFrame) -> DataFrame:
+    """Regex exclusions without a pattern; one such row fails a load."""
+    return rows.filter((F.col("type") == "regex") & (F.coalesce(F.col("pattern"), F.lit("")) == ""))
+
+
+def list_categories(patterns: DataFrame) -> DataFrame:
+    """Categories of a pattern table, in order."""
+    return patterns.select(F.coalesce(F.nullif(F.col("category"), F.lit("")), F.lit(UNCATEGORIZED)).alias("category")).distinct().orderBy("category")
+
+
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:
     doc = spark.read.schema(f"patterns array<struct<{_as_struct(PATTERN_FIELDS)}>>").option("multiLine", True).json(path)
     return parse_patterns(doc.select(F.posexplode("patterns").alias("ordinal", "p")).select("ordinal", "p.*"))
