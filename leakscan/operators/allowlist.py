@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leakscan.functions.text import salted_digest
-from leakscan.operators.bind import bind
 from leakscan.operators.lookup import lookup
 from leakscan.operators.match import MatchOptions
 from leakscan.operators.scan import signals_of
@@ -58,13 +57,14 @@ def allowed_matches(records: DataFrame, rules: RuleSet, allowlist: DataFrame, sa
     """One row per surviving match with ``allowed`` and the digest; values do not leave the first stage."""
     prepared = records.withColumn("_kind", kind if kind is not None else F.lit(""))
     found = signals_of(prepared, rules, options, content, keep_values=True)
-    per_pattern = found.select("record_id", "_kind", F.explode("signals").alias("s"))
-    rows = per_pattern.select("record_id", "_kind", F.col("s.rule").alias("rule"), F.col("s.num_matches").alias("num_matches"),
-                              F.explode(surviving(F.col("s.matches"))).alias("m"))
-    hashed = bind(rows, salted_hash=salted_digest(F.col("m.value"), salt)).select(
-        "record_id", "_kind", "salted_hash", "num_matches", F.col("rule.name").alias("pattern_name"), F.col("rule.severity").alias("severity"),
-        F.struct(*[F.col(f"rule.{c}").alias(c) for c in ("weight", "hotword_boost", "require_hotword")]).alias("rule"),
-        F.struct(*[F.col(f"m.{c}").alias(c) for c in ("start", "end", "hotword", "entropy_ok", "excluded")]).alias("m"))
+    parts = ("name", "severity", "weight", "hotword_boost", "require_hotword")
+    per_pattern = found.select("record_id", "_kind", F.inline("signals")).select(
+        "record_id", "_kind", "num_matches", "matches", *[F.col(f"rule.{c}").alias(f"_{c}") for c in parts])
+    rows = per_pattern.select("record_id", "_kind", "num_matches", *[f"_{c}" for c in parts], F.inline(surviving(F.col("matches"))))
+    hashed = rows.select(
+        "record_id", "_kind", salted_digest(F.col("value"), salt).alias("salted_hash"), "num_matches",
+        F.col("_name").alias("pattern_name"), F.col("_severity").alias("severity"),
+        F.struct(*[F.col(f"_{c}").alias(c) for c in parts[2:]]).alias("rule"), "start", "end", "hotword", "entropy_ok", "excluded")
     active = cleanup(allowlist, now).select("salted_hash", F.col("scope").alias("_scope"))
     joined = lookup(hashed, active, ["salted_hash"])
     allowed = F.col("_scope").isNotNull() & ((F.col("_scope") == "*") | (F.col("_scope") == F.col("_kind")))
@@ -77,9 +77,9 @@ def scan_with_allowlist(records: DataFrame, rules: RuleSet, allowlist: DataFrame
     """``scan`` without allowed values. Only matches are shuffled, as digests, and joined back as verdicts."""
     matches = allowed_matches(records, rules, allowlist, salt, now, options, content, kind)
     weights = config.struct()
-    score = score_match(F.col("rule"), weights, F.col("m.hotword"), F.col("m.entropy_ok"), F.col("num_matches"), F.col("m.excluded"))
+    score = score_match(F.col("rule"), weights, F.col("hotword"), F.col("entropy_ok"), F.col("num_matches"), F.col("excluded"))
     per_pattern = matches.filter(~F.col("allowed")).groupBy("record_id", "pattern_name", "severity").agg(
-        F.max(score).alias("score"), F.max("m.hotword").alias("hot"), F.first("rule.require_hotword").alias("needs_hot"))
+        F.max(score).alias("score"), F.max("hotword").alias("hot"), F.first("rule.require_hotword").alias("needs_hot"))
     blocked = per_pattern.filter((~F.col("needs_hot") | F.col("hot")) & (F.col("score") >= threshold(weights, F.col("severity"))))
     best = blocked.groupBy("record_id").agg(F.min(F.struct((-F.col("score")).alias("neg"), "pattern_name")).alias("b"))
     joined = records.join(best, "record_id", "left")

@@ -11,6 +11,13 @@ def bind(df: DataFrame, **columns: Column) -> DataFrame:
     The optimizer copies an alias into any filter pushed below it. A generated
     column is opaque to that, and generating one row per row moves no data.
     """
-    kept = [c for c in df.columns if c not in columns]
-    row = F.struct(*[expr.alias(name) for name, expr in columns.items()])
-    return df.select(*kept, F.inline(F.array(row)))
+    return bind_fields(df, F.struct(*[expr.alias(name) for name, expr in columns.items()]), *columns)
+
+
+def bind_fields(df: DataFrame, struct: Column, *replaced: str) -> DataFrame:
+    """Adds the fields of ``struct`` as columns, computed once; a NULL struct gives NULLs.
+
+    Later steps then read plain columns: field access of a struct column by
+    several generators in a row defeats Spark's nested column pruning.
+    """
+    return df.select(*[c for c in df.columns if c not in replaced], F.inline(F.array(struct)))

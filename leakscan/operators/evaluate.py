@@ -42,10 +42,9 @@ def within_budget(matrix: DataFrame, group: str = "file") -> DataFrame:
 
 
 def mode_verdicts(compared: DataFrame, keep: tuple[str, ...] = ("path", "line_no")) -> DataFrame:
-    """Long form (mode, blocked, pattern_name, score) of rows with structs ``baseline`` and ``context``."""
+    """Long form (mode, blocked, pattern_name, score) of rows of ``compare_context``."""
     modes = F.array(*[
-        F.struct(F.lit(m).alias("mode"), F.col(m)["blocked"].alias("blocked"), F.col(m)["pattern_name"].alias("pattern_name"),
-                 F.col(m)["score"].alias("score"))
+        F.struct(F.lit(m).alias("mode"), *[F.col(f"{m}_{c}").alias(c) for c in ("blocked", "pattern_name", "score")])
         for m in ("baseline", "context")
     ])
     return compared.select(*keep, F.inline(modes))
@@ -69,14 +68,13 @@ def changed_blocks(compared: DataFrame) -> DataFrame:
 
     Both verdicts of a record lie in one row, so no join is needed.
     """
-    a, b = F.col("baseline"), F.col("context")
-    same = b["blocked"] & a["blocked"] & (a["pattern_name"] == b["pattern_name"])
+    same = F.col("baseline_blocked") & F.col("context_blocked") & (F.col("baseline_pattern_name") == F.col("context_pattern_name"))
 
-    def side(kind: str, v: Column) -> Column:
-        return F.when(v["blocked"] & ~same, F.struct(
-            F.lit(kind).alias("change"), v["pattern_name"].alias("pattern_name"), v["score"].alias("score")))
+    def side(kind: str, mode: str) -> Column:
+        return F.when(F.col(f"{mode}_blocked") & ~same, F.struct(
+            F.lit(kind).alias("change"), F.col(f"{mode}_pattern_name").alias("pattern_name"), F.col(f"{mode}_score").alias("score")))
 
-    changes = F.array_compact(F.array(side("suppressed", a), side("exposed", b)))
+    changes = F.array_compact(F.array(side("suppressed", "baseline"), side("exposed", "context")))
     return compared.select("*", F.inline(changes)).withColumn("fp_likely", classify_path(F.col("path")) != "")
 
 
@@ -89,7 +87,7 @@ def block_difference(left: DataFrame, right: DataFrame) -> DataFrame:
 def segmentation(compared: DataFrame) -> DataFrame:
     """Blocks on paths that are likely false positives and on the rest, per mode, with the percentage dropped."""
     likely = classify_path(F.col("path")) != ""
-    a, b = F.col("baseline")["blocked"], F.col("context")["blocked"]
+    a, b = F.col("baseline_blocked"), F.col("context_blocked")
     counts = compared.groupBy(F.when(likely, "fp_likely").otherwise("tp_candidate").alias("segment")).agg(
         F.count_if(a).alias("baseline_blocks"), F.count_if(b).alias("context_blocks"))
     drop = (F.col("baseline_blocks") - F.col("context_blocks")) * 100.0

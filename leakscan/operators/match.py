@@ -179,8 +179,8 @@ def prefix_candidates(canonical: DataFrame, rules: RuleSet, record_id: str = "re
     ])
     lowered = bind(canonical.select(record_id, text), _lower=fold_case(col))
     present = F.filter(table, lambda r: (r["prefix"] == "") | F.contains(F.col("_lower"), r["prefix"]))
-    rows = lowered.select(record_id, "_lower", F.explode(present).alias("r"))
-    offsets = F.when(F.col("r.prefix") == "", F.array(F.lit(0).cast("bigint"))).otherwise(
-        prefix_offsets(F.col("_lower"), F.col("r.prefix"))
+    rows = lowered.select(record_id, "_lower", F.inline(present))
+    offsets = F.when(F.col("prefix") == "", F.array(F.lit(0).cast("bigint"))).otherwise(
+        prefix_offsets(F.col("_lower"), F.col("prefix"))
     )
-    return rows.select(record_id, F.col("r.pattern_name").alias("pattern_name"), F.explode(offsets).alias("offset"))
+    return rows.select(record_id, "pattern_name", F.explode(offsets).alias("offset"))

@@ -8,7 +8,7 @@ from leakscan.functions.arrays import chunks, let, prefix_sums, span_end, span_s
 from leakscan.functions.context import source_columns, source_struct
 from leakscan.functions.form import form_pairs, path_escape, query_escape
 from leakscan.functions.text import byte_slice, is_placeholder_shape, is_public_example
-from leakscan.operators.bind import bind
+from leakscan.operators.bind import bind, bind_fields
 from leakscan.operators.match import MatchOptions, find_matches, prefix_offsets
 from leakscan.operators.normalize import normalize_content
 from leakscan.operators.ordered import with_carry
@@ -180,22 +180,22 @@ def redact(records: DataFrame, rules: RuleSet, config: ScoreConfig = ScoreConfig
         prepared, context = records.withColumns(source_columns(F.col(source), fields)), source_struct()
     normal = normalize_content(prepared, content, "_canonical")
     found = add_signals(find_matches(normal, rules, options, "_canonical"), rules, "_canonical")
-    judged = bind(found, _verdict=best_verdict(pattern_results(F.col("signals"), config.struct(), context))).drop("signals")
+    judged = bind_fields(found, best_verdict(pattern_results(F.col("signals"), config.struct(), context), "_first_")).drop("signals")
     text = F.coalesce(F.col(content), F.lit(""))
-    located = bind(judged, _located=F.when(F.col("_verdict.blocked"), let(
+    located = bind_fields(judged, F.when(F.col("_first_blocked"), let(
         secrets_of(F.col("hits"), F.col("_canonical"), rules), lambda s: locate_secrets(text, s)))).drop("hits", "_canonical")
-    usable = F.col("_located").isNotNull() & F.col("_located.found") & (F.size("_located.spans") > 0)
-    spliced = bind(located, _spliced=F.when(usable, let(
-        merge_sorted_spans(F.col("_located.spans")), lambda m: splice_spans(text, m)))).drop("_located")
-    again = spliced.withColumns({"_blocked": F.col("_verdict.blocked"), "_name": F.col("_verdict.pattern_name"), "_score": F.col("_verdict.score"),
-                                 "_text": F.col("_spliced.redacted_content"), "_spans": F.col("_spliced.redactions")}).drop("_verdict", "_spliced")
-    verified = scan(again, rules, config, options, "_text", source).withColumnRenamed("blocked", "_still").drop("pattern_name", "score")
-    action = F.when(~F.col("_blocked"), "allow").when(F.col("_text").isNull() | F.col("_still"), "block").otherwise("redact")
+    usable = F.coalesce(F.col("found"), F.lit(False)) & (F.size("spans") > 0)
+    spliced = bind_fields(located, F.when(usable, let(merge_sorted_spans(F.col("spans")), lambda m: splice_spans(text, m))),
+                          "redacted_content", "redactions").drop("found", "spans")
+    # rows without a redacted text cost the second scan nothing
+    verified = scan(spliced, rules, config, options, "redacted_content", source)
+    clean = F.col("redacted_content").isNotNull() & ~F.col("blocked")
+    action = F.when(~F.col("_first_blocked"), "allow").when(clean, "redact").otherwise("block")
     out = bind(verified, action=action)
+    given = F.when(F.col("action") == "allow", F.col(content)).when(F.col("action") == "redact", F.col("redacted_content"))
     return out.select(
-        *records.columns, F.col("_blocked").alias("blocked"), F.col("_name").alias("pattern_name"), F.col("_score").alias("score"), "action",
-        F.when(F.col("action") == "allow", F.col(content)).when(F.col("action") == "redact", F.col("_text")).alias("redacted_content"),
-        F.when(F.col("action") == "redact", F.col("_spans")).alias("redactions"))
+        *records.columns, *[F.col(f"_first_{c}").alias(c) for c in ("blocked", "pattern_name", "score")], "action",
+        given.alias("redacted_content"), F.when(F.col("action") == "redact", F.col("redactions")).alias("redactions"))
 
 
 def located_secrets(records: DataFrame, rules: RuleSet, options: MatchOptions = MatchOptions(), content: str = "content") -> DataFrame:
@@ -203,8 +203,8 @@ def located_secrets(records: DataFrame, rules: RuleSet, options: MatchOptions =
     normal = normalize_content(records, content, "_canonical")
     hits = find_matches(normal, rules, options, "_canonical")
     text = F.coalesce(F.col(content), F.lit(""))
-    located = bind(hits, _located=let(secrets_of(F.col("hits"), F.col("_canonical"), rules), lambda s: locate_secrets(text, s)))
-    return located.select(*records.columns, "_located.found", "_located.spans")
+    located = bind_fields(hits, let(secrets_of(F.col("hits"), F.col("_canonical"), rules), lambda s: locate_secrets(text, s)))
+    return located.select(*records.columns, "found", "spans")
 
 
 def merge_spans(spans: DataFrame, key: str = "record_id", slot: int = 1 << 16) -> DataFrame:
@@ -232,8 +232,8 @@ def redact_form_fields(bodies: DataFrame, rules: RuleSet, body: str = "body", ke
     shuffled; the others are re-encoded in place.
     """
     text = F.coalesce(F.col(body), F.lit(""))
-    parsed = bind(bodies, _form=form_pairs(text)).withColumns({"_pairs": F.col("_form.pairs"), "_whole": F.col("_form.whole")}).drop("_form")
-    fields = parsed.select(key, F.explode("_pairs").alias("p")).select(key, F.col("p.pos").alias("pos"), F.col("p.value").alias("content"))
+    parsed = bind_fields(bodies, form_pairs(text)).withColumnsRenamed({"pairs": "_pairs", "whole": "_whole"})
+    fields = parsed.select(key, F.inline("_pairs")).select(key, "pos", F.col("value").alias("content"))
     changed = redact(fields, rules, config, options).filter("action = 'redact'")
     # one map per body of the fields that changed
     per_body = changed.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("pos", "redacted_content"))).alias("_new"))
@@ -244,3 +244,23 @@ def redact_form_fields(bodies: DataFrame, rules: RuleSet, body: str = "body", ke
     rebuilt = F.when(~F.col("_whole"), encoded).when(F.try_url_decode(text).isNotNull(), query_escape(whole)).otherwise(whole)
     return joined.select(*bodies.columns, F.when(F.col("_new").isNotNull(), rebuilt).otherwise(F.col(body)).alias("redacted_body"),
                          F.col("_new").isNotNull().alias("is_redacted"))
+
+
+def request_outcomes(routes: DataFrame, bodies: DataFrame, rules: RuleSet, key: str = "record_id", content: str = "content",
+                     config: ScoreConfig = ScoreConfig(), options: MatchOptions = MatchOptions()) -> DataFrame:
+    """What became of requests routed by ``policy.request_route``: denied, pass, redacted or blocked, and by which pattern.
+
+    Only bodies whose route asks for it are scanned, and only those to be masked
+    go through the second scan.
+    """
+    joined = bodies.join(routes.select(key, "route"), key)
+    masked = joined.filter("route = 'redact'")
+    seen = joined.filter("route = 'scan'")
+    after = F.when(F.col("action") == "allow", "pass").when(F.col("action") == "redact", "redacted").otherwise("blocked")
+    columns = [key, "outcome", "pattern_name"]
+    fixed = routes.filter(F.col("route").isin("denied", "pass", "unsupported_encoding")).select(
+        key, F.when(F.col("route") == "unsupported_encoding", "blocked").otherwise(F.col("route")).alias("outcome"),
+        F.when(F.col("route") == "unsupported_encoding", "Unsupported Compression").otherwise("").alias("pattern_name"))
+    scanned = scan(seen, rules, config, options, content).withColumn("outcome", F.when(F.col("blocked"), "blocked").otherwise("pass"))
+    redacted = redact(masked, rules, config, options, content).withColumn("outcome", after)
+    return fixed.unionByName(scanned.select(*columns)).unionByName(redacted.select(*columns))

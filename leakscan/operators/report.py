@@ -139,3 +139,9 @@ def privacy_sweep(df: DataFrame, forbidden: list[str], name: str = "table") -> D
     columns = [f.name for f in df.schema if f.dataType.typeName() in kinds]
     counts = df.agg(*[F.count_if(F.coalesce(holds(c), F.lit(False))).alias(c) for c in columns])
     return counts.unpivot([], columns, "column", "hits").select(F.lit(name).alias("table"), "column", "hits")
+
+
+def diff_findings(verdicts: DataFrame) -> DataFrame:
+    """Blocked files of scanned diffs, at the line of their first addition; a diff is blocked if it has one."""
+    return verdicts.filter("blocked").select(
+        "diff_id", "file", F.col("first_line").alias("line"), "blocked", "pattern_name", "score")

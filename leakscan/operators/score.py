@@ -182,8 +182,8 @@ def pattern_results(signals: Column, config: Column, source: Column | None = Non
     return F.filter(F.transform(signals, result), lambda r: r.isNotNull())
 
 
-def best_verdict(results: Column) -> Column:
-    """Highest score wins, then the smallest name; (false, '', 0) when nothing blocks."""
+def best_verdict(results: Column, prefix: str = "") -> Column:
+    """Highest score wins, then the smallest name; (false, '', 0) when nothing blocks. Fields take ``prefix``."""
     ranked = F.array_min(
         F.transform(
             F.filter(results, lambda r: r["blocked"]),
@@ -193,8 +193,8 @@ def best_verdict(results: Column) -> Column:
     return let(
         ranked,
         lambda b: F.struct(
-            b.isNotNull().alias("blocked"),
-            F.coalesce(b["name"], F.lit("")).alias("pattern_name"),
-            F.coalesce(-b["neg"], F.lit(0)).alias("score"),
+            b.isNotNull().alias(prefix + "blocked"),
+            F.coalesce(b["name"], F.lit("")).alias(prefix + "pattern_name"),
+            F.coalesce(-b["neg"], F.lit(0)).alias(prefix + "score"),
         ),
     )

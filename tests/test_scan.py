@@ -126,9 +126,9 @@ def test_context(spark):
     df = spark.createDataFrame(rows, "record_id bigint, content string, src struct<destination_kind:string,element_kind:string,"
                                      "in_code_fence:boolean,language_hint:string,path_hint:string>")
     assert verdicts(scan(df, RULES, source="src")) == want
-    both = {r.record_id: (tuple(r.baseline), tuple(r.context)) for r in compare_context(df, RULES, "src").collect()}
-    assert {k: v[1] for k, v in both.items()} == want
-    assert {k: v[0] for k, v in both.items()} == {i: plain(r[1], RULES, ScoreConfig()) for i, r in enumerate(rows)}
+    both = compare_context(df, RULES, "src").collect()
+    assert {r.record_id: (r.context_blocked, r.context_pattern_name, r.context_score) for r in both} == want
+    assert {r.record_id: (r.baseline_blocked, r.baseline_pattern_name, r.baseline_score) for r in both} == {i: plain(r[1], RULES, ScoreConfig()) for i, r in enumerate(rows)}
 
 
 def test_what_if(spark):
