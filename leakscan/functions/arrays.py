@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -18,6 +19,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def constant(values: Sequence[str]) -> Column:
+    """A constant array of strings, sent to the JVM in one piece."""
+    return F.from_json(F.lit(json.dumps(list(values))), "array<string>")
+
+
 def chunks(values: Column, size: int = _BLOCK) -> Column:
     """Cut an array into an array of arrays of at most ``size`` elements."""
     last = F.floor((F.size(values) - 1) / F.lit(size)).cast("int")

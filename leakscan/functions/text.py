@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from leakscan.functions.arrays import let
+from leakscan.functions.arrays import constant, let
 
 # SHA-256 of well-known published example values, after
 # ``normalize_value``. Only digests are kept.
@@ -112,7 +112,7 @@ def salted_digest(value: Column, salt: str | bytes) -> Column:
 
 
 def is_public_example(value: Column) -> Column:
-    return (value != "") & value_digest(value).isin(*PUBLIC_EXAMPLES)
+    return (value != "") & F.array_contains(constant(PUBLIC_EXAMPLES), value_digest(value))
 
 
 def is_placeholder_shape(value: Column) -> Column:
@@ -122,15 +122,14 @@ def is_placeholder_shape(value: Column) -> Column:
         & inner.rlike(r"\A[A-Za-z0-9_\-. ]+\z") & inner.rlike("[A-Za-z]")
     )
     interpolated = (value.startswith("{{") & value.endswith("}}")) | (value.startswith("${") & value.endswith("}"))
-    lowered = fold_case(value)
-    marked = F.exists(F.array(*[F.lit(m) for m in PLACEHOLDER_MARKERS]), lambda m: F.contains(lowered, m))
-    bare = F.translate(value, " -_\t.", "")
-    first = F.substring(bare, 1, 1)
-    masked = (
-        (F.length(bare) >= 6)
-        & (F.replace(bare, first, F.lit("")) == "")
-        & (F.contains(F.lit(MASK_CHARACTERS), first) | first.rlike(r"[\p{Cc}\p{P}\p{S}]"))
-    )
+    marked = let(fold_case(value), lambda low: F.exists(constant(PLACEHOLDER_MARKERS), lambda m: F.contains(low, m)))
+
+    def one_mask(bare: Column) -> Column:
+        first = F.substring(bare, 1, 1)
+        mask = F.contains(F.lit(MASK_CHARACTERS), first) | first.rlike(r"[\p{Cc}\p{P}\p{S}]")
+        return (F.length(bare) >= 6) & (F.replace(bare, first, F.lit("")) == "") & mask
+
+    masked = let(F.translate(value, " -_\t.", ""), one_mask)
     return (F.octet_length(value) >= 4) & (template | interpolated | marked | masked)
 
 

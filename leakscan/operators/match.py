@@ -76,12 +76,8 @@ def regex_spans(text: Column, regex: Column, base: Column) -> Column:
 def _char_start(data: Column, at: Column) -> Column:
     """The first character boundary at or after byte ``at``."""
 
-    def continues(i: int) -> Column:
-        return F.hex(F.substring(data, at + 1 + i, F.lit(1))).rlike("^[89AB]")
-
-    return at + (
-        F.when(~continues(0), 0).when(~continues(1), 1).when(~continues(2), 2).otherwise(3)
-    )
+    rest = F.regexp_extract(F.hex(F.substring(data, at + 1, F.lit(3))), "^(?:[89AB][0-9A-F])*", 0)
+    return at + (F.length(rest) / 2).cast("bigint")
 
 
 def windowed_spans(data: Column, lowered: Column, size: Column, rule: Column) -> Column:
@@ -153,21 +149,22 @@ def find_matches(canonical: DataFrame, rules: RuleSet, options: MatchOptions = M
     ordinals = candidate_ordinals(col, F.col("_lower"), F.col("_size"), rules, options)
     gated = bind(prepared, _ordinals=ordinals)
 
-    def hit(ordinal: Column) -> Column:
+    def hit(data: Column, ordinal: Column) -> Column:
         def spans(rule: Column) -> Column:
             whole = regex_spans(col, rule["regex"], F.lit(0).cast("bigint"))
             if not options.windowed:
                 return whole
             cut = (rule["prefix"] != "") & (F.col("_size") > 2 * REGEX_WINDOW)
-            return F.when(cut, windowed_spans(col.cast("binary"), F.col("_lower"), F.col("_size"), rule)).otherwise(whole)
+            return F.when(cut, windowed_spans(data, F.col("_lower"), F.col("_size"), rule)).otherwise(whole)
 
         return F.struct(
             ordinal.alias("ordinal"),
             let(rules.literal(), lambda all_rules: let(F.get(all_rules, ordinal), spans)).alias("spans"),
         )
 
-    hits = F.filter(F.transform(F.col("_ordinals"), hit), lambda h: F.size(h["spans"]) > 0)
-    return bind(gated, hits=hits).drop("_lower", "_size", "_ordinals")
+    # the bytes are taken once per record, not once per window
+    found = let(col.cast("binary"), lambda data: F.transform(F.col("_ordinals"), lambda o: hit(data, o)))
+    return bind(gated, hits=F.filter(found, lambda h: F.size(h["spans"]) > 0)).drop("_lower", "_size", "_ordinals")
 
 
 def prefix_candidates(canonical: DataFrame, rules: RuleSet, record_id: str = "record_id",

@@ -89,16 +89,14 @@ def allocate_tokens(text: Column, secrets: Column) -> Column:
 
 def secrets_of(hits: Column, canonical: Column, rules: RuleSet) -> Column:
     """Distinct secrets (key, name, slug, value) by pattern order, then first position; known examples are none."""
-    data = canonical.cast("binary")
-
-    def of_hit(hit: Column) -> Column:
-        def keys(spans: Column) -> Column:
+    def of_hit(data: Column, hit: Column) -> Column:
+        def distinct(spans: Column) -> Column:
             values = F.transform(spans, lambda s: byte_slice(data, span_start(s), span_end(s)))
             real = F.filter(values, lambda v: (v != "") & ~is_public_example(v) & ~is_placeholder_shape(v))
             # distinct as text, which hashes, rather than as structs
             return F.array_distinct(F.transform(real, lambda v: F.concat(hit["ordinal"].cast("string"), F.lit(":"), v)))
 
-        return let(F.array_sort(hit["spans"]), keys)
+        return let(F.array_sort(hit["spans"]), distinct)
 
     def described(key: Column) -> Column:
         at = F.position(F.lit(":"), key)
@@ -114,7 +112,8 @@ def secrets_of(hits: Column, canonical: Column, rules: RuleSet) -> Column:
         )
 
     ordered = F.array_sort(hits, lambda a, b: (a["ordinal"] - b["ordinal"]).cast("int"))
-    return F.transform(F.flatten(F.transform(ordered, of_hit)), described)
+    keys = let(canonical.cast("binary"), lambda data: F.flatten(F.transform(ordered, lambda h: of_hit(data, h))))
+    return F.transform(keys, described)
 
 
 def locate_secrets(text: Column, secrets: Column) -> Column:
@@ -143,9 +142,9 @@ def locate_secrets(text: Column, secrets: Column) -> Column:
 
 def splice_spans(text: Column, merged: Column) -> Column:
     """Struct (redacted_content, redactions); offsets are byte offsets in the new text."""
-    data, size = text.cast("binary"), F.octet_length(text).cast("bigint")
+    size = F.octet_length(text).cast("bigint")
 
-    def build(spans: Column) -> Column:
+    def build(data: Column, spans: Column) -> Column:
         def gap(i: Column) -> Column:
             before = F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.get(spans, i - 1)["end"])
             return byte_slice(data, before, F.get(spans, i)["start"])
@@ -163,7 +162,7 @@ def splice_spans(text: Column, merged: Column) -> Column:
 
         return let(pieces, with_offsets)
 
-    return build(merged)
+    return let(text.cast("binary"), lambda data: build(data, merged))
 
 
 def redact(records: DataFrame, rules: RuleSet, config: ScoreConfig = ScoreConfig(), options: MatchOptions = MatchOptions(),

@@ -91,10 +91,9 @@ def add_signals(matched: DataFrame, rules: RuleSet, text: str = "canonical", kee
     ``min_matches`` is dropped here. ``keep_values`` also keeps the matched
     text, for steps that need it (allowlist, redaction) and drop it themselves.
     """
-    data = F.col(text).cast("binary")
     size = F.octet_length(F.col(text)).cast("bigint")
 
-    def evidence(rule: Column, span: Column) -> Column:
+    def evidence(data: Column, rule: Column, span: Column) -> Column:
         start, end = span_start(span), span_end(span)
 
         def of_value(value: Column) -> Column:
@@ -120,7 +119,7 @@ def add_signals(matched: DataFrame, rules: RuleSet, text: str = "canonical", kee
 
         return let(byte_slice(data, start, end), of_value)
 
-    def signal(hit: Column) -> Column:
+    def signal(data: Column, hit: Column) -> Column:
         def for_rule(rule: Column) -> Column:
             return F.struct(
                 hit["ordinal"].alias("ordinal"),
@@ -128,14 +127,15 @@ def add_signals(matched: DataFrame, rules: RuleSet, text: str = "canonical", kee
                 F.size(hit["spans"]).alias("num_matches"),
                 F.when(
                     F.size(hit["spans"]) >= rule["min_matches"],
-                    F.transform(hit["spans"], lambda s: evidence(rule, s)),
+                    F.transform(hit["spans"], lambda s: evidence(data, rule, s)),
                 ).alias("matches"),
             )
 
         return let(rules.literal(), lambda all_rules: let(F.get(all_rules, hit["ordinal"]), for_rule))
 
-    signals = F.filter(F.transform(F.col("hits"), signal), lambda s: s["matches"].isNotNull())
-    return bind(matched, signals=signals)
+    # the bytes are taken once per record, not once per match
+    found = let(F.col(text).cast("binary"), lambda data: F.transform(F.col("hits"), lambda h: signal(data, h)))
+    return bind(matched, signals=F.filter(found, lambda s: s["matches"].isNotNull()))
 
 
 def surviving(matches: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from leakscan.functions.arrays import let
+
 # Directories never read, and limits.
 SKIP_TREE = (".git", "node_modules", "vendor", ".hg", ".svn")
 MAX_FILE_BYTES = 1 << 20
@@ -58,8 +60,10 @@ def build_corpus(files: DataFrame, target: int | None = CORPUS_LINES, per_file:
     known = files.filter(extension.isin(*CORPUS_EXTENSIONS) & ~_below(F.col("path"), SKIP_CORPUS))
     lines = F.transform(F.split(F.regexp_replace("content", r"\n\z", ""), "\n"), lambda x: F.regexp_replace(x, r"\r\z", ""))
     numbered = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("content")))
-    long_at = F.array_min(F.transform(F.filter(numbered, lambda x: F.octet_length(x["content"]) >= MAX_LINE_BYTES), lambda x: x["line_no"]))
-    read = F.filter(numbered, lambda x: (F.octet_length(x["content"]) >= MIN_LINE_BYTES) & (x["line_no"] < F.coalesce(long_at, F.lit(2**31 - 1))))
+    # reading stops at the first line that is too long
+    until = F.array_min(F.transform(F.filter(numbered, lambda x: F.octet_length(x["content"]) >= MAX_LINE_BYTES), lambda x: x["line_no"]))
+    read = let(F.coalesce(until, F.lit(2**31 - 1)), lambda end: F.filter(
+        numbered, lambda x: (F.octet_length(x["content"]) >= MIN_LINE_BYTES) & (x["line_no"] < end)))
     rows = known.select("path", F.inline(F.slice(read, 1, per_file))).withColumn("content", F.replace("content", F.lit("|"), F.lit("\t")))
     return rows.orderBy("path", "line_no").limit(target) if target is not None else rows
 
