@@ -66,10 +66,14 @@ def fold_homoglyphs(text: Column) -> Column:
     return F.when(foreign, F.translate(text, _FOLD_FROM, _FOLD_TO)).otherwise(text)
 
 
-def strip_and_fold(text: Column) -> Column:
-    """Both of the above in one pass: ``translate`` drops what has no counterpart."""
-    foreign = ~is_ascii(text) & text.rlike(_BEYOND_LATIN)
-    return F.when(foreign, F.translate(text, _FOLD_FROM + ZERO_WIDTH, _FOLD_TO)).otherwise(text)
+def is_odd(text: Column) -> Column:
+    """Whether the text holds any character that stripping, folding or NFKC could touch."""
+    return ~is_ascii(text) & text.rlike(_BEYOND_PLAIN_LATIN)
+
+
+def strip_and_fold(text: Column, odd: Column) -> Column:
+    """Both of the above in one pass, for odd texts: ``translate`` drops what has no counterpart."""
+    return F.when(odd, F.translate(text, _FOLD_FROM + ZERO_WIDTH, _FOLD_TO)).otherwise(text)
 
 
 @pandas_udf(StringType())
@@ -77,13 +81,10 @@ def _nfkc_batch(text: pd.Series) -> pd.Series:
     return text.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
 
 
-def needs_nfkc(text: Column) -> Column:
-    return ~is_ascii(text) & text.rlike(_BEYOND_PLAIN_LATIN) & text.rlike(_BEYOND_INERT)
-
-
-def nfkc(text: Column) -> Column:
+def nfkc(text: Column, odd: Column | None = None) -> Column:
     """NFKC; only rows that can change are handed to Python, the rest pass as NULL."""
-    return F.coalesce(_nfkc_batch(F.when(needs_nfkc(text), text)), text)
+    needed = (is_odd(text) if odd is None else odd) & text.rlike(_BEYOND_INERT)
+    return F.coalesce(_nfkc_batch(F.when(needed, text)), text)
 
 
 def _printable_share(data: Column) -> Column:
@@ -96,6 +97,13 @@ def decoded_base64(text: Column) -> Column:
 
     Decoded bytes that are not UTF-8 become U+FFFD, since Spark strings are text.
     """
+    # A run holds no blank, so only words long enough are searched: cutting at blanks is several
+    # times cheaper than a regex over all of the text.
+    words = F.filter(F.split(text, " "), lambda w: F.length(w) >= BASE64_MIN_RUN)
+    return let(F.array_join(words, " "), lambda long: F.when(long == "", "").otherwise(_decoded_runs(long)))
+
+
+def _decoded_runs(text: Column) -> Column:
     # whole runs only, in fours; single characters in a class are one table look-up in Java
     letter = f"[{string.ascii_letters}{string.digits}+/=]"
     run = f"(?<!{letter})(?:{letter}{{4}}){{{BASE64_MIN_RUN // 4},}}+(?!{letter})"
@@ -126,7 +134,7 @@ def decoded_base64(text: Column) -> Column:
             ),
         )
 
-    return F.when(text.rlike(run), let(decoded, join_within_budget)).otherwise(F.lit(""))
+    return let(decoded, lambda parts: F.when(F.size(parts) > 0, join_within_budget(parts)).otherwise(F.lit("")))
 
 
 def append_decoded_base64(text: Column) -> Column:
