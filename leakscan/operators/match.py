@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from leakscan.functions.arrays import chunks, let, pack_span, prefix_sums
+from leakscan.functions.arrays import chunks, let, pack_span, prefix_sums, span_end, span_start
 from leakscan.functions.regex import required_literal, to_java
 from leakscan.functions.text import byte_slice, fold_case
 from leakscan.operators.bind import bind
@@ -80,25 +80,31 @@ def _char_start(data: Column, at: Column) -> Column:
     return at + (F.length(rest) / 2).cast("bigint")
 
 
-def windowed_spans(data: Column, lowered: Column, size: Column, rule: Column) -> Column:
-    """Spans found in the window around each prefix; a span seen from two windows counts once."""
+def rule_spans(text: Column, data: Column, lowered: Column, size: Column, rule: Column, windowed: bool) -> Column:
+    """Spans of one rule in the whole text, or in the window around each prefix of a long one.
 
-    def around(offset: Column) -> Column:
-        start = F.greatest(offset - REGEX_WINDOW, F.lit(0).cast("bigint"))
-        end = F.least(offset + REGEX_WINDOW, size)
-        return let(
-            F.struct(_char_start(data, start).cast("bigint").alias("s"), end.alias("e")),
-            lambda w: let(
-                # a character cut at the end is dropped, so that lengths stay true
-                F.regexp_replace(byte_slice(data, w["s"], w["e"]), "�{1,3}$", ""),
-                lambda text: regex_spans(text, rule["regex"], w["s"]),
-            ),
-        )
+    A span seen from two windows counts once.
+    """
+    if not windowed:
+        return regex_spans(text, rule["regex"], F.lit(0).cast("bigint"))
+    zero = F.lit(0).cast("bigint")
+
+    def window(offset: Column) -> Column:
+        start = F.greatest(offset - REGEX_WINDOW, zero)
+        return pack_span(_char_start(data, start), F.least(offset + REGEX_WINDOW, size))
+
+    def inside(w: Column) -> Column:
+        # a character cut at the end is dropped, so that lengths stay true
+        cut = F.regexp_replace(byte_slice(data, span_start(w), span_end(w)), "\uFFFD{1,3}$", "")
+        piece = F.when((span_start(w) == 0) & (span_end(w) == size), text).otherwise(cut)
+        return let(piece, lambda t: regex_spans(t, rule["regex"], span_start(w)))
 
     def distinct(block: Column) -> Column:
-        return F.array_distinct(F.flatten(F.transform(block, around)))
+        return F.array_distinct(F.flatten(F.transform(block, inside)))
 
-    return F.array_distinct(F.flatten(F.transform(chunks(prefix_offsets(lowered, rule["prefix"])), distinct)))
+    many = (rule["prefix"] != "") & (size > 2 * REGEX_WINDOW)
+    windows = F.when(many, F.transform(prefix_offsets(lowered, rule["prefix"]), window)).otherwise(F.array(pack_span(zero, size)))
+    return F.array_distinct(F.flatten(F.transform(chunks(windows), distinct)))
 
 
 def candidate_ordinals(text: Column, lowered: Column, size: Column, rules: RuleSet, options: MatchOptions) -> Column:
@@ -151,11 +157,7 @@ def find_matches(canonical: DataFrame, rules: RuleSet, options: MatchOptions = M
 
     def hit(data: Column, ordinal: Column) -> Column:
         def spans(rule: Column) -> Column:
-            whole = regex_spans(col, rule["regex"], F.lit(0).cast("bigint"))
-            if not options.windowed:
-                return whole
-            cut = (rule["prefix"] != "") & (F.col("_size") > 2 * REGEX_WINDOW)
-            return F.when(cut, windowed_spans(data, F.col("_lower"), F.col("_size"), rule)).otherwise(whole)
+            return rule_spans(col, data, F.col("_lower"), F.col("_size"), rule, options.windowed)
 
         return F.struct(
             ordinal.alias("ordinal"),

@@ -9,6 +9,8 @@ per bucket.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -22,12 +24,13 @@ def with_carry(df: DataFrame, key: Sequence[str], order: Sequence[str], bucket:
     not NULL. ``bucket`` must not decrease along ``order`` (columns that order
     the rows of a key fully). NULL where no row came before; sums start at 0.
     """
-    keyed = df.withColumn("_bucket", bucket)
+    # spread once: the summary and the rows read the same shuffle
+    keyed = df.withColumn("_bucket", bucket).repartition(*key, "_bucket")
     rows = F.struct(*order)
     within = Window.partitionBy(*key, "_bucket").orderBy(*order)
     before = within.rowsBetween(Window.unboundedPreceding, -1)
 
-    # a partial aggregate per bucket: small, whatever a bucket holds
+    # one row per bucket, whatever a bucket holds
     summary = [F.max_by(F.struct(*lag), rows).alias("_tail")] if lag else [F.lit(True).alias("_tail")]
     summary += [F.sum(c).alias(f"_sum_{c}") for c in sums]
     summary += [F.max(c).alias(f"_max_{c}") for c in maxes]
@@ -40,10 +43,12 @@ def with_carry(df: DataFrame, key: Sequence[str], order: Sequence[str], bucket:
     carry += [F.sum(f"_sum_{c}").over(earlier).alias(f"_carry_sum_{c}") for c in sums]
     carry += [F.max(f"_max_{c}").over(earlier).alias(f"_carry_max_{c}") for c in maxes]
     carry += [F.last(f"_last_{c}", True).over(earlier).alias(f"_carry_last_{c}") for c in lasts]
-    carried = per_bucket.select(*key, "_bucket", *carry)
+    names = [*key, "_bucket"]
+    carried = per_bucket.select(*[F.col(c).alias(f"_on_{i}") for i, c in enumerate(names)], *carry)
 
-    # both sides are spread by key and bucket, which is also what the windows need
-    joined = keyed.join(carried, [*key, "_bucket"], "left")
+    # equal-or-both-NULL, so that no filter is added to one reader of the shuffle only
+    same = [F.col(c).eqNullSafe(F.col(f"_on_{i}")) for i, c in enumerate(names)]
+    joined = keyed.join(carried, reduce(and_, same), "left")
     first = F.row_number().over(within) == 1
     out = [F.when(first, F.col("_carry_tail")[c]).otherwise(F.lag(c).over(within)).alias(f"prev_{c}") for c in lag]
     zero = F.lit(0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from leakscan.operators import alerts, allowlist, canary
@@ -9,10 +11,12 @@ from leakscan.operators.scan import scan
 from leakscan.operators.session import active_sessions, repeat_suppress, scan_session, session_combine, throttle
 from leakscan.plans.context_queries import _pick, _pick_sql
 from leakscan.plans.oracle import ScanSql, byte_view_sql, normalize_value_sql
-from leakscan.plans.registry import query
+from leakscan.plans.registry import ORACLES, query
 from leakscan.plans.tables import PLANTED_SQL, planted_documents, spread, table
 from leakscan.sources.builtin import RULES
+from leakscan.session import shared_dir
 from leakscan.sources.rules import Pattern, RuleSet
+from leakscan.streaming.processors import repeat_suppress_stream, session_combine_stream, throttle_stream
 
 # --- sessions ----------------------------------------------------------------
 
@@ -25,11 +29,14 @@ _PASTES = f"SELECT conv_id || '/' || turn AS record_id, conv_id AS session_id, t
 
 
 def _pastes(spark, sf):
+    return _as_pastes(spread(table(spark, sf, "conversations")))
+
+
+def _as_pastes(conversations):
     def spark_sql(text):
         return text.replace("//", "DIV")
 
-    c = spread(table(spark, sf, "conversations"))
-    return c.selectExpr(
+    return conversations.selectExpr(
         "concat(conv_id, '/', turn) AS record_id", "conv_id AS session_id", "turn", f"timestamp_seconds({spark_sql(_AT)}) AS ts",
         f"{_TEXT} AS content", f"{_ENDED} AS ended")
 
@@ -260,3 +267,44 @@ def canary_patterns_query(spark, sf):
 def canary_triggers_query(spark, sf):
     rows = canary.canary_triggers(_canaries(spark), _trapped(spark, sf), ts="record_id")
     return rows.select("label", "trigger_count", "last_triggered")
+
+
+# --- streams: the same rows in micro-batches -----------------------------------
+
+
+def _streamed(spark, sf, table_name, transform):
+    """Run ``transform`` over a table read as a stream, to the end, and give what it wrote."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    folder = shared_dir(spark, f"stream-{uuid.uuid4().hex}")
+    rows = spark.readStream.schema(table(spark, sf, table_name).schema).option("pathGlobFilter", f"{table_name}.parquet").parquet(sf)
+    out = transform(rows)
+    run = (out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+           .outputMode("append").trigger(availableNow=True).start())
+    run.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+@query("t2_session_combine_stream", _HASHED.format(_combined_sql("chr(10)", "ended")))
+def session_stream_query(spark, sf):
+    def combine(rows):
+        return _hashed(session_combine_stream(_as_pastes(rows), order=("turn",), text="content", ended="ended"))
+
+    return _streamed(spark, sf, "conversations", combine)
+
+
+@query("t7_throttle_stream", ORACLES["t7_throttle"])
+def throttle_stream_query(spark, sf):
+    def admit(rows):
+        keyed = rows.selectExpr("event_id", "user_id AS key", "ts", "event_type AS text")
+        return throttle_stream(keyed, _RATE, _BURST, order=("event_id",)).select("event_id", "admitted")
+
+    return _streamed(spark, sf, "events", admit)
+
+
+@query("m9_repeat_suppress_stream", ORACLES["m9_repeat_suppress"])
+def repeat_suppress_stream_query(spark, sf):
+    def gate(rows):
+        keyed = rows.selectExpr("event_id", "user_id AS key", "ts", "event_type AS text")
+        return repeat_suppress_stream(keyed, order=("event_id",), interval=18000.0).select("event_id", "scanned")
+
+    return _streamed(spark, sf, "events", gate)

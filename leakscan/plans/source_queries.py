@@ -157,7 +157,7 @@ _ADDED = f"""WITH l AS ({_DIFFS}), k AS (SELECT *, starts_with(line, '+++ ') AS
 
 @query("s8_added_lines", _ADDED + "SELECT diff_id, file, new_line, content FROM added")
 def added_lines_query(spark, sf):
-    return diff.added_lines(_diff_lines(spark, sf), slot=500).select("diff_id", "file", "new_line", "content")
+    return diff.added_lines(_diff_lines(spark, sf), slot=5000).select("diff_id", "file", "new_line", "content")
 
 
 @query("s8_parse_unified_diff", _ADDED + """SELECT diff_id, file, arg_min(new_line, pos) AS first_line, sha256(string_agg(content, chr(10) ORDER BY pos)) AS digest

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", app: str = "leakscan", **conf: str) -> SparkSession:
@@ -42,3 +43,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="leakscan-")
         spark.conf.set("spark.checkpoint.dir", base)
     return os.path.join(base, name)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read back.
+
+    For small results of a costly scan that several later steps read: the scan
+    runs once, and a lost executor costs no second one.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, f"settled-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -25,17 +25,17 @@ def added_lines(lines: DataFrame, diff: str = "diff_id", pos: str = "pos", line:
     marked = lines.select(
         diff, pos, line,
         F.when(header, F.when(path == "/dev/null", "").otherwise(path)).alias("_file"),
-        added.alias("_added"), F.when(hunk, start).alias("_start"), context.cast("int").alias("_context"))
+        added.alias("_added"), F.when(hunk, start).alias("_start"), hunk.cast("int").alias("_hunk"), context.cast("int").alias("_context"))
     bucket = F.floor(F.col(pos) / slot)
-    # an added line counts only inside a file, so the file comes first
-    filed = with_carry(marked, [diff], [pos], bucket, lasts=["_file"]).withColumn("_in", F.coalesce("last__file", F.lit("")))
-    counted = filed.withColumn("_step", F.when(F.col("_added") & (F.col("_in") != ""), 1).otherwise(F.col("_context"))).drop("last__file")
-    stepped = with_carry(counted, [diff], [pos], bucket, sums=["_step"]).withColumn(
-        "_origin", F.when(F.col("_start").isNotNull(), F.struct(F.col("_start").alias("start"), F.col("sum__step").alias("before"))))
-    placed = with_carry(stepped, [diff], [pos], bucket, lasts=["_origin"]).filter(F.col("_added") & (F.col("_in") != ""))
-    since = F.col("sum__step") - F.coalesce(F.col("last__origin.before"), F.lit(0))
-    return placed.select(
-        diff, pos, F.col("_in").alias("file"), (F.coalesce(F.col("last__origin.start"), F.lit(0)) + since).cast("int").alias("new_line"),
+    placed = with_carry(marked, [diff], [pos], bucket, lasts=["_file", "_start"], sums=["_hunk"])
+    inside = F.col("_added") & (F.coalesce(F.col("last__file"), F.lit("")) != "")
+    # an added line counts only inside a file; lines that neither count nor are wanted stay behind
+    kept = placed.select(
+        diff, pos, line, F.col("last__file").alias("file"), F.col("last__start").alias("_start"), F.col("sum__hunk").alias("_hunk_no"),
+        inside.alias("_wanted"), F.when(inside, 1).otherwise(F.col("_context")).alias("_step")).filter("_step = 1")
+    numbered = with_carry(kept, [diff, "_hunk_no"], [pos], bucket, sums=["_step"]).filter("_wanted")
+    return numbered.select(
+        diff, pos, "file", (F.coalesce("_start", F.lit(0)) + F.col("sum__step")).cast("int").alias("new_line"),
         F.substring(line, 2, 1 << 30).alias("content"))
 
 
