@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from leakscan.operators.lookup import lookup
+
 # Counters, history limits, finding document.
 COUNTERS = ("dns_queries_total", "dns_blocks_total", "dlp_scans_total", "dlp_blocks_total", "tamper_detections_total")
 KEEP_EVENTS = 500
@@ -27,7 +32,7 @@ def counters(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def flushed_totals(deltas: DataFrame, resets: DataFrame, key: str = "agent") -> DataFrame:
     """Totals per agent: deltas are added up, and a reset sets all back to zero."""
     last = resets.groupBy(key).agg(F.max("ts").alias("_reset"))
-    live = deltas.join(last, key, "left")
+    live = lookup(deltas, last, [key], count_first=False)
     after = F.col("_reset").isNull() | (F.col("ts") > F.col("_reset"))
     return live.groupBy(key).agg(*[F.sum(F.when(after, F.col(c)).otherwise(0)).alias(c) for c in COUNTERS])
 
@@ -64,17 +69,20 @@ def findings_summary(verdicts: DataFrame) -> DataFrame:
 
 
 def _with_commas(rows: DataFrame, order: list[str], line: str) -> DataFrame:
-    """A comma before every line but the first of the order; only the first key is looked up."""
-    first = rows.agg(F.min(F.struct(*order)).alias("_first"))
-    comma = F.when(F.struct(*order) == F.col("_first"), "").otherwise(",")
-    return rows.crossJoin(F.broadcast(first)).withColumn(line, F.concat(comma, F.col(line))).drop("_first")
+    """A comma before every line but the first of the order; only that one key comes to the driver."""
+    first = rows.agg(F.min(F.struct(*order)).alias("first")).first()["first"]
+    if first is None:
+        return rows
+    is_first = reduce(and_, [F.col(c) == F.lit(first[c]) for c in order])
+    return rows.withColumn(line, F.concat(F.when(is_first, "").otherwise(","), F.col(line)))
 
 
 def findings_lines(verdicts: DataFrame, file: str = "file") -> DataFrame:
     """The findings document as lines (section, sort_key, line).
 
     Sorted by section and sort_key and written one after the other the lines are
-    one JSON document; no task holds all findings.
+    one JSON document; no task holds all findings. The verdicts are read several
+    times, so pass a written table (``session.settle``).
     """
     s = findings_summary(verdicts)
     head = s.select(F.lit(0).alias("section"), F.lit("").alias("sort_key"), F.concat(

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from leakscan.functions.arrays import let
+from leakscan.session import settle
 
 # Directories never read, and limits.
 SKIP_TREE = (".git", "node_modules", "vendor", ".hg", ".svn")
@@ -54,7 +55,9 @@ def build_corpus(files: DataFrame, target: int | None = CORPUS_LINES, per_file:
     """Corpus lines (path, line_no, content) of files (path, content): known extensions, lines of 4 bytes to 16 KiB.
 
     A file is read up to its first longer line. ``target`` keeps the first lines
-    in order of path, as the size of a corpus is given; None keeps all.
+    in order of path, as the size of a corpus is given; None keeps all. The
+    ordered lines are written to the shared folder, and only line counts per
+    part come to the driver.
     """
     extension = F.lower(F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"(\.[^.]*)\z", 1))
     known = files.filter(extension.isin(*CORPUS_EXTENSIONS) & ~_below(F.col("path"), SKIP_CORPUS))
@@ -65,7 +68,21 @@ def build_corpus(files: DataFrame, target: int | None = CORPUS_LINES, per_file:
     read = let(F.coalesce(until, F.lit(2**31 - 1)), lambda end: F.filter(
         numbered, lambda x: (F.octet_length(x["content"]) >= MIN_LINE_BYTES) & (x["line_no"] < end)))
     rows = known.select("path", F.inline(F.slice(read, 1, per_file))).withColumn("content", F.replace("content", F.lit("|"), F.lit("\t")))
-    return rows.orderBy("path", "line_no").limit(target) if target is not None else rows
+    if target is None:
+        return rows
+    ordered = settle(rows.repartitionByRange("path", "line_no").withColumn("_part", F.spark_partition_id()))
+    counts = {r["_part"]: r["count"] for r in ordered.groupBy("_part").count().collect()}
+    room, full, last = target, [], -1
+    for part in sorted(counts):
+        last = part
+        if counts[part] > room:
+            break
+        room, last = room - counts[part], -1
+        full.append(part)
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("path", "line_no"))
+    cut = ordered.filter(F.col("_part") == last).withColumn("_place", place).filter(F.col("_place") <= room).drop("_place")
+    whole = ordered.filter(F.col("_part") <= (full[-1] if full else -1))
+    return whole.unionByName(cut).drop("_part")
 
 
 def format_corpus(corpus: DataFrame) -> DataFrame:
