@@ -6,16 +6,16 @@ from leakscan.sources.rules import Exclusion, Pattern, RuleSet
 
 # Authored for this library. Where a shape is published by its vendor, the regex is that shape.
 PATTERNS = (
-    Pattern("AWS Access Key", "AKIA[0-9A-Z]{16}", "AKIA", "critical", 1, hotwords=("aws", "access_key", "credentials"),
-            hotword_window=200, hotword_boost=2, entropy_min=3.5, category="cloud"),
-    Pattern("GitHub Personal Access Token", "ghp_[A-Za-z0-9]{36}", "ghp_", "critical", 1, hotwords=("github", "token"),
-            hotword_window=200, hotword_boost=2, entropy_min=4.0, category="source control"),
+    Pattern("AWS Access Key", "AKIA[0-9A-Z]{16}", "AKIA", "critical", 1, hotwords=("aws", "access_key", "secret"),
+            hotword_window=120, hotword_boost=2, entropy_min=3.5, category="cloud"),
+    Pattern("GitHub Personal Access Token", "ghp_[A-Za-z0-9]{36}", "ghp_", "critical", 1, hotwords=("github", "token", "clone"),
+            hotword_window=150, hotword_boost=2, entropy_min=4.0, category="source control"),
     Pattern("Stripe Live Key", "sk_live_[0-9a-zA-Z]{24,}", "sk_live_", "critical", 2, entropy_min=3.0,
             category="payment"),
     Pattern("Assigned Token", r"(?i)token\s*=\s*\"[0-9a-f]{40}\"", "token", "high", 2, hotwords=("deploy", "prod"),
             hotword_window=100, hotword_boost=1, entropy_min=3.0, category="credential"),
-    Pattern("Generic API Key", r"(?i)(api[_-]?key|apikey)\s*[:=]\s*['\"]?[A-Za-z0-9_\-]{20,}", "api", "high", 1,
-            hotwords=("api", "key", "token"), hotword_window=50, hotword_boost=2, require_hotword=True,
+    Pattern("Generic API Key", r"(?i)\bapi[_-]?key\b['\"]?\s*[:=]\s*['\"]?[A-Za-z0-9_\-]{20,64}", "api", "high", 1,
+            hotwords=("api", "service", "token"), hotword_window=60, hotword_boost=2, require_hotword=True,
             entropy_min=3.0, category="credential"),
     Pattern("Private Key Block", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN", "critical", 3,
             category="credential"),
