@@ -35,9 +35,10 @@ GRAM = 50
 PIECE = 1 << 18  # window starts of a long text that are looked at together; must be under half of PLACES
 PLACES = (1 << 20) - 1
 DIGIT = 40  # bytes of a window in one digit
-GROUP = 4096  # stretches of an anchor that are compared in one task
+GROUP = 3000  # stretches of an anchor that are compared in one task
 RANGES = (32, 1)  # offsets in a range when a group is larger
-HELD = 4096  # stretches that a task sorts together
+HELD = 1 << 19  # bytes of small groups that a task sorts together
+MOST = 1 << 21  # bytes that are hashed together, at most; a large group is under that
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -46,7 +47,7 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(BASE, -1, 1 << 64)
     made = []
     for base in (BASE, inverse):
-        row = np.full(PIECE + 2 * WINDOW, base, np.uint64)
+        row = np.full(MOST, base, np.uint64)
         row[0] = 1
         made.append(np.multiply.accumulate(row))
     return made[0], made[1]
@@ -264,37 +265,13 @@ def _sorted_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     size = 0
     for batch in batches:
         for row in zip(*[c.to_pylist() for c in batch.columns]):
-            if (len(held) >= HELD or size >= PIECE - (1 << 13)) and row[:3] != held[-1][:3]:
-                yield from map(found, _fitting(held))
+            if size >= HELD and row[:3] != held[-1][:3]:
+                yield found(held)
                 held, size = [], 0
             held.append(row)
             size += len(row[7])
     if held:
-        yield from map(found, _fitting(held))
-
-
-def _fitting(rows: list[tuple]) -> Iterator[list[tuple]]:
-    """A group of more bytes than one piece is sorted offset by offset, in as many goes as that takes."""
-    if sum(len(r[7]) for r in rows) <= PIECE:
-        yield rows
-        return
-    for offset in range(min(r[4] for r in rows), max(r[5] for r in rows) + 1):
-        cut = [(*r[:4], offset, offset, offset, r[7][r[6] - offset : r[6] - offset + WINDOW]) for r in rows if r[4] <= offset <= r[5]]
-        yield from _by_first_bytes(cut, 0)
-
-
-def _by_first_bytes(rows: list[tuple], depth: int) -> Iterator[list[tuple]]:
-    """Windows of one offset, dealt out by their next digit until a lot fits."""
-    if len(rows) * WINDOW <= PIECE or depth >= WINDOW:
-        for at in range(0, len(rows), PIECE // WINDOW) if depth >= WINDOW else (0,):
-            yield rows[at : at + PIECE // WINDOW + 1] if depth >= WINDOW else rows
-        return
-    dealt: dict[tuple, list[tuple]] = {}
-    for r in rows:
-        dealt.setdefault((r[:3], r[7][depth : depth + DIGIT]), []).append(r)
-    for lot in dealt.values():
-        if len(lot) > 1:
-            yield from _by_first_bytes(lot, depth + DIGIT)
+        yield found(held)
 
 
 def _shared_windows(contexts: DataFrame, group: int) -> DataFrame:
@@ -302,6 +279,8 @@ def _shared_windows(contexts: DataFrame, group: int) -> DataFrame:
 
     ``contexts``: anchor, stretch, before, bytes; one row for each stretch.
     """
+    if HELD + group * 2 * WINDOW > MOST:
+        raise ValueError(f"a group of {group} stretches is too large to be sorted at once")
     windows = F.octet_length("bytes") - F.col("before")  # bytes from the anchor on
     parts = contexts.select(
         "anchor", F.lit(0).alias("range"), F.lit(0).cast("long").alias("core"), "stretch",
