@@ -117,13 +117,14 @@ class Parser:
         self.tables = []
         for a in model.automata:
             edges = np.frombuffer(a.edges, "<u4").reshape(-1, 3).astype(np.int64)
-            table = np.full(a.states * self.width, -1, np.int32)
+            table = np.full((a.states + 1) * self.width, -1, np.int32)  # from the last state nothing goes on
             table[edges[:, 0] * self.width + edges[:, 1]] = edges[:, 2] * self.width
             self.tables.append(table)
 
     def phrases(self, table: np.ndarray, lanes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases of each segment; ``lanes`` has a row for each step, segments sorted from the longest."""
-        start = np.maximum(table[: self.width], 0)  # a symbol that no match can begin with is a phrase of its own
+        first = table[: self.width]
+        start = np.where(first < 0, len(table) - self.width, first)  # a symbol that begins no match is a phrase of its own
         count = np.ones(lanes.shape[1], np.int32)
         state = np.zeros(lanes.shape[1], np.int32)
         active = np.searchsorted(-lengths, -np.arange(len(lanes)), side="left")
