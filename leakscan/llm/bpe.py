@@ -17,6 +17,7 @@ character at the end of a chunk, as a state machine over bytes tells it.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -89,13 +90,14 @@ class Merges:
 class Transducer:
     """Bytes in, packed ids out; see the module's text.
 
-    A state is a tuple of open chains ``(branches, last, pending)``: how the
-    bytes read since may go on towards a token, the token before them, and the
-    tokens not yet emitted. ``limit`` bounds the transitions kept; beyond it
-    the machine starts anew, which changes no output.
+    A state is a row of open chains ``(node, last, pending)``: how the bytes read
+    since may go on towards a token, the token before them, and the tokens not
+    yet emitted; it is kept as the bytes of an array, which take least memory.
+    ``limit`` bounds the transitions kept; beyond it the machine starts anew,
+    which changes no output.
     """
 
-    def __init__(self, merges: Merges, limit: int = 500_000):
+    def __init__(self, merges: Merges, limit: int = 400_000):
         self.merges, self.limit = merges, limit
         branches: list[dict[int, int]] = [{}]
         token = [-1]
@@ -114,7 +116,7 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        start = ((ROOT, -1, ()),)
+        start = _state([(ROOT, -1, ())], 0)
         self.states, self.numbers = [start], {start: 0}
         self.moves: dict[int, tuple[int, bytes]] = {}
         self.rest = [b""]
@@ -131,7 +133,7 @@ class Transducer:
     def _move(self, state: int, byte: int) -> tuple[int, bytes]:
         chains, done, least = [], None, 99
         branches, tokens = self.branches, self.token
-        for node, last, pending in self.states[state]:
+        for node, last, pending in _chains(self.states[state]):
             after = branches[node].get(byte)
             if after is None:
                 continue
@@ -149,12 +151,12 @@ class Transducer:
                 if any(len(c[2]) <= shared or c[2][shared] != token for c in chains):
                     break
                 shared += 1
-        key = tuple([(node, last, pending[shared:]) for node, last, pending in chains]) if shared else tuple(chains)
+        key = _state(chains, shared)
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.states)
             self.states.append(key)
-            self.rest.append(packed(key[-1][2]))
+            self.rest.append(packed(done[2][shared:]))
         move = self.moves[state << 8 | byte] = (number, packed(first[:shared]) if shared else b"")
         return move
 
@@ -172,6 +174,22 @@ class Transducer:
         return b"".join(out)
 
 
+def _state(chains: list[tuple], shared: int) -> bytes:
+    """Chains without the first ``shared`` of their pending tokens."""
+    flat = array("i")
+    for node, last, pending in chains:
+        flat.extend((node, last, len(pending) - shared, *pending[shared:]))
+    return flat.tobytes()
+
+
+def _chains(state: bytes) -> Iterator[tuple[int, int, tuple]]:
+    flat, at = array("i", state), 0
+    while at < len(flat):
+        end = at + 3 + flat[at + 2]
+        yield flat[at], flat[at + 1], tuple(flat[at + 3 : end])
+        at = end
+
+
 def packed(ids: Iterable[int]) -> bytes:
     return b"".join([i.to_bytes(4, "little") for i in ids])
 
@@ -179,7 +197,7 @@ def packed(ids: Iterable[int]) -> bytes:
 class Encoder(dict):
     """Ids of whole texts. As a dict it remembers the ids of up to ``limit`` pre-tokens."""
 
-    def __init__(self, tokens: list[bytes], pattern: str, limit: int = 300_000):
+    def __init__(self, tokens: list[bytes], pattern: str, limit: int = 200_000):
         super().__init__()
         self.machine = Transducer(Merges(tokens))
         self.pattern, self.limit = regex.compile(pattern), limit
@@ -294,12 +312,23 @@ def _ddl(df: DataFrame, keep: list[str]) -> str:
     return "".join(f"`{c}` {types[c]}, " for c in keep)
 
 
+def round_trip(docs: DataFrame, tokens: list[bytes], pattern: str, keep: list[str], text: str = "text") -> DataFrame:
+    """:func:`encode` and :func:`decode` in one pass: ``keep``, ``ids`` and ``decoded``."""
+    vocabulary = _shipped(tokens)
+
+    def rows(*columns):
+        encoder = _encoder(*vocabulary, pattern)
+        words = encoder.machine.merges.tokens
+        ids = [encoder.encode(t) for t in columns[-1]]
+        return dict(zip(keep, columns)) | {"ids": ids, "decoded": [b"".join(decode_stream(words, x)) for x in ids]}
+
+    source = docs.select(*keep, whole(F.col(text)).alias("_text"))
+    return map_rows(source, _ddl(docs, keep) + "ids binary, decoded binary", rows)
+
+
 def digests(docs: DataFrame, tokens: list[bytes], pattern: str, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` with n_tokens, ids_sha256 and decoded_sha256 of the ids and of what they decode to."""
-    if not isinstance(keep, list) or "ids" in keep or "decoded" in keep:
-        raise ValueError("keep must be a list without ids and decoded")
-    both = decode(encode(docs, tokens, pattern, keep, text), tokens, [*keep, "ids"])
-    return both.select(
+    return round_trip(docs, tokens, pattern, keep, text).select(
         *keep,
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
