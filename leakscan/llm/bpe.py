@@ -93,11 +93,12 @@ class Transducer:
     A state is a row of open chains ``(node, last, pending)``: how the bytes read
     since may go on towards a token, the token before them, and the tokens not
     yet emitted; it is kept as the bytes of an array, which take least memory.
-    ``limit`` bounds the transitions kept; beyond it the machine starts anew,
-    which changes no output.
+    ``limit`` bounds the transitions kept: those met first, which are the common
+    ones. Where another one is needed, the rest of the pre-token is read without
+    keeping any.
     """
 
-    def __init__(self, merges: Merges, limit: int = 400_000):
+    def __init__(self, merges: Merges, limit: int = 200_000):
         self.merges, self.limit = merges, limit
         branches: list[dict[int, int]] = [{}]
         token = [-1]
@@ -113,10 +114,7 @@ class Transducer:
             token[node] = rank
         self.branches, self.token = branches, token
         self._pairs: dict[int, bool] = {}
-        self._reset()
-
-    def _reset(self) -> None:
-        start = _state([(ROOT, -1, ())], 0)
+        start = _state([(ROOT, -1, ())])
         self.states, self.numbers = [start], {start: 0}
         self.moves: dict[int, tuple[int, bytes]] = {}
         self.rest = [b""]
@@ -130,43 +128,61 @@ class Transducer:
             known = self._pairs[key] = left < 0 or self.merges.adjacent(left, right)
         return known
 
-    def _move(self, state: int, byte: int) -> tuple[int, bytes]:
-        chains, done, least = [], None, 99
+    def _advance(self, chains: Iterable[tuple], byte: int) -> tuple[list[tuple], tuple]:
+        """The open chains after a byte, and the tokens that are certain now."""
+        after, done, least = [], None, 1
         branches, tokens = self.branches, self.token
-        for node, last, pending in _chains(self.states[state]):
-            after = branches[node].get(byte)
-            if after is None:
+        for node, last, pending in chains:
+            node = branches[node].get(byte)
+            if node is None:
                 continue
-            token = tokens[after]
+            token = tokens[node]
             if token >= 0 and done is None and self._adjacent(last, token):
                 done = (ROOT, token, (*pending, token))
-            if branches[after]:
-                chains.append((after, last, pending))
+            if branches[node]:
+                after.append((node, last, pending))
                 least = min(least, len(pending))
-        chains.append(done)
+        after.append(done)
         # all that every open chain has in common is certain
-        first, shared = chains[0][2], 0
+        first, shared = after[0][2], 0
         if least:
             for token in first:
-                if any(len(c[2]) <= shared or c[2][shared] != token for c in chains):
+                if any(len(c[2]) <= shared or c[2][shared] != token for c in after):
                     break
                 shared += 1
-        key = _state(chains, shared)
+        if shared:
+            after = [(node, last, pending[shared:]) for node, last, pending in after]
+        return after, first[:shared]
+
+    def _move(self, state: int, byte: int) -> tuple[int, bytes]:
+        chains, sure = self._advance(_chains(self.states[state]), byte)
+        key = _state(chains)
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.states)
             self.states.append(key)
-            self.rest.append(packed(done[2][shared:]))
-        move = self.moves[state << 8 | byte] = (number, packed(first[:shared]) if shared else b"")
+            self.rest.append(packed(chains[-1][2]))
+        move = self.moves[state << 8 | byte] = (number, packed(sure))
         return move
 
+    def _unkept(self, state: int, data: bytes) -> Iterator[bytes]:
+        chains = list(_chains(self.states[state]))
+        for byte in data:
+            chains, sure = self._advance(chains, byte)
+            if sure:
+                yield packed(sure)
+        yield packed(chains[-1][2])
+
     def run(self, data: bytes) -> bytes:
         """The ids of one pre-token, as little-endian unsigned 32-bit integers."""
-        if len(self.moves) > self.limit:
-            self._reset()
         state, out, moves = 0, [], self.moves
-        for byte in data:
-            move = moves.get(state << 8 | byte) or self._move(state, byte)
+        for at, byte in enumerate(data):
+            move = moves.get(state << 8 | byte)
+            if move is None:
+                if len(moves) >= self.limit:
+                    out.extend(self._unkept(state, data[at:]))
+                    return b"".join(out)
+                move = self._move(state, byte)
             state = move[0]
             if move[1]:
                 out.append(move[1])
@@ -174,11 +190,10 @@ class Transducer:
         return b"".join(out)
 
 
-def _state(chains: list[tuple], shared: int) -> bytes:
-    """Chains without the first ``shared`` of their pending tokens."""
+def _state(chains: list[tuple]) -> bytes:
     flat = array("i")
     for node, last, pending in chains:
-        flat.extend((node, last, len(pending) - shared, *pending[shared:]))
+        flat.extend((node, last, len(pending), *pending))
     return flat.tobytes()
 
 
@@ -197,7 +212,7 @@ def packed(ids: Iterable[int]) -> bytes:
 class Encoder(dict):
     """Ids of whole texts. As a dict it remembers the ids of up to ``limit`` pre-tokens."""
 
-    def __init__(self, tokens: list[bytes], pattern: str, limit: int = 200_000):
+    def __init__(self, tokens: list[bytes], pattern: str, limit: int = 150_000):
         super().__init__()
         self.machine = Transducer(Merges(tokens))
         self.pattern, self.limit = regex.compile(pattern), limit

@@ -23,7 +23,7 @@ from leakscan.llm.common import map_rows, once, training_split, whole
 from leakscan.llm.learning import sample_texts
 
 SEGMENT = 512
-LANES = 8192  # segments parsed together
+LANES = 4096  # segments parsed together
 UNKNOWN, SPACE = 0, 1  # a letter that no language has seen; a run of anything but letters
 UNDETERMINED = "und"
 

@@ -35,10 +35,10 @@ GRAM = 50
 PIECE = 1 << 18  # window starts of a long text that are looked at together; must be under half of PLACES
 PLACES = (1 << 20) - 1
 DIGIT = 40  # bytes of a window in one digit
-GROUP = 3000  # stretches of an anchor that are compared in one task
+GROUP = 1500  # stretches of an anchor that are compared in one task
 RANGES = (32, 1)  # offsets in a range when a group is larger
-HELD = 1 << 19  # bytes of small groups that a task sorts together
-MOST = 1 << 21  # bytes that are hashed together, at most; a large group is under that
+HELD = 1 << 18  # bytes of small groups that a task sorts together
+MOST = 1 << 20  # bytes that are hashed together, at most; a large group is under that
 BASE = 0x9E3779B97F4A7C15
 
 

@@ -38,9 +38,9 @@ def test_long_and_repetitive_pre_tokens():
         assert unpacked(ENCODER.encode(text)) == REFERENCE.encode_ordinary(text)
 
 
-def test_a_full_machine_starts_anew():
-    small = bpe.Transducer(ENCODER.machine.merges, limit=50)
-    for word in ("hello", "entwicklung", "überraschung", "aeiouaeiou" * 10):
+def test_a_full_machine_reads_on():
+    small = bpe.Transducer(ENCODER.machine.merges, limit=20)
+    for word in ("hello", "entwicklung", "überraschung", "aeiouaeiou" * 10, "hello there", "é漢😀"):
         assert unpacked(small.run(word.encode())) == REFERENCE._encode_single_piece(word.encode())
 
 
