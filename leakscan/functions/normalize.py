@@ -28,11 +28,9 @@ HOMOGLYPHS = (
     ("αορτν", "aoptv"),  # Greek small letters
 )
 
-# Limits of the base64 pass.
+# The least run of the base64 pass, and the share of printable bytes that makes it a text.
 BASE64_MIN_RUN = 16
-BASE64_MAX_RUN = 4096
 BASE64_PRINTABLE = 0.80
-BASE64_MAX_APPENDED = 32 * 1024
 
 _FOLD_FROM = "".join(pair[0] for pair in HOMOGLYPHS)
 _FOLD_TO = "".join(pair[1] for pair in HOMOGLYPHS)
@@ -108,33 +106,12 @@ def _decoded_runs(text: Column) -> Column:
     letter = f"[{string.ascii_letters}{string.digits}+/=]"
     run = f"(?<!{letter})(?:{letter}{{4}}){{{BASE64_MIN_RUN // 4},}}+(?!{letter})"
     runs = F.regexp_extract_all(text, F.lit(run), F.lit(0))
-    usable = F.filter(runs, lambda r: F.length(r) <= BASE64_MAX_RUN)
     decoded = F.filter(
-        F.transform(usable, lambda r: F.try_to_binary(r, F.lit("base64"))),
+        F.transform(runs, lambda r: F.try_to_binary(r, F.lit("base64"))),
         lambda d: d.isNotNull() & (F.octet_length(d) > 0) & (_printable_share(d) >= BASE64_PRINTABLE),
     )
 
-    def join_within_budget(parts: Column) -> Column:
-        # used: bytes written so far, newlines included; open: no part was refused yet
-        state = F.struct(F.lit(0).alias("kept"), F.lit(0).alias("used"), F.lit(True).alias("open"))
-
-        def step(acc: Column, part: Column) -> Column:
-            fits = acc["open"] & (acc["used"] + F.octet_length(part) <= BASE64_MAX_APPENDED)
-            newline = F.when(acc["used"] > 0, 1).otherwise(0)
-            return F.struct(
-                F.when(fits, acc["kept"] + 1).otherwise(acc["kept"]).alias("kept"),
-                F.when(fits, acc["used"] + newline + F.octet_length(part)).otherwise(acc["used"]).alias("used"),
-                fits.alias("open"),
-            )
-
-        return let(
-            F.aggregate(parts, state, step),
-            lambda s: F.array_join(
-                F.transform(F.slice(parts, 1, s["kept"]), lambda d: F.make_valid_utf8(d.cast("string"))), "\n"
-            ),
-        )
-
-    return let(decoded, lambda parts: F.when(F.size(parts) > 0, join_within_budget(parts)).otherwise(F.lit("")))
+    return F.array_join(F.transform(decoded, lambda d: F.make_valid_utf8(d.cast("string"))), "\n")
 
 
 def append_decoded_base64(text: Column) -> Column:

@@ -2,53 +2,60 @@
 
 from __future__ import annotations
 
-import base64
-import hashlib
-import secrets
-from collections.abc import Callable, Iterable
+import string
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from leakscan.functions.regex import quote
 from leakscan.sources.rules import Pattern, RuleError
 
-# The shape of a token and the limits of the table.
 NAME_PREFIX = "Canary:"
-TOKEN_PREFIX = "PGCRY"
-RANDOM_BYTES = 10
-MAX_CANARIES = 200
+TOKEN_PREFIX = "TRIPW"
+RANDOM_LETTERS = 16
 MAX_LABEL = 128
+_LETTERS = string.ascii_uppercase + "234567"
 
 
-def make_token(label: str, randomness: Callable[[int], bytes] = secrets.token_bytes) -> str:
-    tag = hashlib.sha256(label.encode()).hexdigest()[:8]
-    return TOKEN_PREFIX + tag + base64.b32encode(randomness(RANDOM_BYTES)).decode().rstrip("=")
+def _drawn(digits: Column) -> Column:
+    """A letter for each two of some random hexadecimal digits; 256 is a multiple of 32, so none is likelier."""
+    places = F.sequence(F.lit(0), F.lit(RANDOM_LETTERS - 1))
+    return F.array_join(F.transform(places, lambda i: F.substring(
+        F.lit(_LETTERS), F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int") % 32 + 1, F.lit(1))), "")
 
 
-def make_canaries(spark: SparkSession, labels: Iterable[str], created_at: int, existing: int = 0,
-                  randomness: Callable[[int], bytes] = secrets.token_bytes) -> DataFrame:
-    """New canaries. The random part is drawn here, once; write the table before using it twice."""
-    clean = [label.strip() for label in labels]
-    if any(not 1 <= len(label.encode()) <= MAX_LABEL for label in clean):
-        raise RuleError(f"a label has 1 to {MAX_LABEL} bytes")
-    if existing + len(clean) > MAX_CANARIES:
-        raise RuleError(f"more than {MAX_CANARIES} canaries")
-    rows = [(secrets.token_hex(8), label, make_token(label, randomness), created_at, 0, 0) for label in clean]
-    return spark.createDataFrame(
-        rows, "id string, label string, token string, created_at bigint, last_triggered bigint, trigger_count bigint")
+def usable_labels(labels: DataFrame, label: str = "label") -> DataFrame:
+    """Labels as canaries take them: trimmed, 1 to 128 bytes."""
+    return labels.select(F.trim(label).alias("label")).filter(F.octet_length("label").between(1, MAX_LABEL))
 
 
-def canary_patterns(canaries: DataFrame) -> tuple[Pattern, ...]:
-    """One pattern per canary that matches its token and nothing else."""
-    rows = canaries.orderBy("created_at", "label", "token").limit(MAX_CANARIES).collect()
-    return tuple(
-        Pattern(NAME_PREFIX + r["label"], quote(r["token"]), TOKEN_PREFIX, "critical", 100, category="canary") for r in rows)
+def make_canaries(labels: DataFrame, created_at: int, label: str = "label", prefix: str = TOKEN_PREFIX) -> DataFrame:
+    """A new canary for each usable label: a prefix, a tag of the label, and a random part.
+
+    The random part is drawn anew whenever the rows are read, so write the table before using it.
+    """
+    fresh = usable_labels(labels, label).withColumn("_digits", F.md5(F.concat(F.uuid(), F.uuid()).cast("binary")))
+    token = F.concat(F.lit(prefix), F.left(F.sha2("label", 256), F.lit(8)), _drawn(F.col("_digits")))
+    zero = F.lit(0).cast("bigint")
+    return fresh.select(
+        F.left(F.sha2("_digits", 256), F.lit(16)).alias("id"), "label", token.alias("token"), F.lit(created_at).cast("bigint").alias("created_at"),
+        zero.alias("last_triggered"), zero.alias("trigger_count"))
+
+
+def canary_patterns(canaries: DataFrame, most: int, prefix: str = TOKEN_PREFIX) -> tuple[Pattern, ...]:
+    """One pattern per canary that matches its token and nothing else.
+
+    Patterns are rules, so they come to the driver; a table of more than ``most`` is refused.
+    """
+    rows = canaries.orderBy("created_at", "label", "token").limit(most + 1).collect()
+    if len(rows) > most:
+        raise RuleError(f"more than {most} canaries")
+    return tuple(Pattern(NAME_PREFIX + r["label"], quote(r["token"]), prefix, "critical", 100, category="canary") for r in rows)
 
 
 def canary_triggers(canaries: DataFrame, verdicts: DataFrame, ts: str = "ts") -> DataFrame:
     """Canaries with the verdicts they won added to their counts."""
     won = verdicts.filter(F.col("blocked") & F.col("pattern_name").startswith(NAME_PREFIX))
-    label = F.substring("pattern_name", len(NAME_PREFIX) + 1, 1000)
+    label = F.expr(f"substr(pattern_name, {len(NAME_PREFIX) + 1})")
     counts = won.groupBy(label.alias("label")).agg(F.count("*").alias("_n"), F.max(ts).cast("bigint").alias("_at"))
     joined = canaries.join(counts, "label", "left")
     return joined.withColumns({

@@ -23,7 +23,7 @@ def scan_distinct(records: DataFrame, rules: RuleSet, config: ScoreConfig = Scor
     keyed = records.withColumn("_digest", digest)
     distinct = keyed.groupBy("_digest").agg(F.any_value(content).alias("_text"))
     blocked = scan(distinct, rules, config, options, "_text").filter("blocked").drop("_text", "blocked")
-    joined = lookup(keyed, blocked, ["_digest"], count_first=False)
+    joined = lookup(keyed, blocked, ["_digest"])
     return joined.select(
         *records.columns,
         F.col("score").isNotNull().alias("blocked"),

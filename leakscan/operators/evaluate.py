@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from leakscan.functions.context import classify_path
+from leakscan.functions.text import byte_slice
 
 # Error budget of a release, and the length of an excerpt.
 MAX_FALSE_POSITIVE_RATE = 0.10
@@ -94,9 +95,11 @@ def segmentation(compared: DataFrame) -> DataFrame:
     return counts.withColumn("drop_pct", _rate(drop, F.col("baseline_blocks")))
 
 
-def excerpt(content: Column) -> Column:
-    """One line of at most 200 characters."""
-    short = F.when(F.octet_length(content) > EXCERPT, F.concat(F.substring(content, 1, EXCERPT - 3), F.lit("..."))).otherwise(content)
+def excerpt(content: Column, size: int = EXCERPT) -> Column:
+    """One line of at most ``size`` bytes; a character that the cut would split is left out."""
+    head = byte_slice(content.cast("binary"), F.lit(0), F.lit(size - 3))
+    cut = F.concat(F.regexp_replace(head, "\uFFFD{1,3}$", ""), F.lit("..."))
+    short = F.when(F.octet_length(content) > size, cut).otherwise(content)
     return F.replace(short, F.lit("\t"), F.lit(" "))
 
 

@@ -25,14 +25,15 @@ LARGE_CONTENT = 50 * 1024
 class MatchOptions:
     """How candidates become matches.
 
-    ``windowed``: above 2048 bytes a pattern with a literal prefix sees only the
-    1024 bytes either side of each prefix, which can cut a long match short.
-    Without it every pattern sees the whole text.
+    By default every pattern sees the whole of every text. ``windowed``: above
+    2048 bytes a pattern with a literal prefix sees only the 1024 bytes either
+    side of each prefix, which can cut a long match short. ``large_filter``: in
+    texts of ``large_content`` bytes or more only critical and high patterns run.
     """
 
-    windowed: bool = True
+    windowed: bool = False
     large_content: int = LARGE_CONTENT
-    large_filter: bool = True
+    large_filter: bool = False
     disabled_categories: tuple[str, ...] = ()
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from leakscan.operators.lookup import lookup
 
 # Policy actions from loose to strict, and what the store accepts.
 ACTION_RANK = {"allow": 0, "allow_with_dlp": 1, "redact": 2, "deny": 3}
 ACTIONS = ("allow", "allow_with_dlp", "deny")
-MAX_OVERRIDES = 10_000
 TELEMETRY_PATHS = ("/prepare", "/ping", "/telemetry", "/ces/", "/lat/r")
 PLANS = {
     "extra": {"AI Chat DLP": "allow_with_dlp", "AI Chat Blocked": "allow_with_dlp", "AI Code Blocked": "allow_with_dlp"},
@@ -56,7 +55,7 @@ def lookup_domain(hosts: DataFrame, domains: DataFrame, host: str = "host") -> D
         "category", F.when(F.col("level") == 0, F.col("exact")).otherwise(F.col("below"))
     )
     best = found.filter("category IS NOT NULL").groupBy("_name").agg(F.min_by("category", "level").alias("category"))
-    return lookup(keyed, best, ["_name"], count_first=False).select(*hosts.columns, "category")
+    return lookup(keyed, best, ["_name"]).select(*hosts.columns, "category")
 
 
 def check_domain(hosts: DataFrame, domains: DataFrame, policies: DataFrame, host: str = "host") -> DataFrame:
@@ -72,20 +71,17 @@ def is_categorized(hosts: DataFrame, domains: DataFrame, host: str = "host") ->
     return lookup_domain(hosts, domains, host).filter("category IS NOT NULL").select(*hosts.columns)
 
 
-def apply_domain_overrides(changes: DataFrame, limit: int = MAX_OVERRIDES) -> DataFrame:
+def apply_domain_overrides(changes: DataFrame) -> DataFrame:
     """Allow and block lists after a log of changes (ts, op, list, domain).
 
-    The latest change to a domain decides, so the lists never share one; of a
-    full list the earliest additions stay.
+    The latest change to a domain decides, so the lists never share one. Lists
+    have no limit: one aggregate per domain, whatever their length.
     """
     valid = changes.withColumn("domain", normalise_domain(F.col("domain"))).filter(
         F.col("domain").isNotNull() & ((F.col("op") == "remove") | F.col("list").isin("allow", "block"))
     )
     latest = valid.groupBy("domain").agg(F.max(F.struct("ts", "op", "list")).alias("c"))
-    kept = latest.filter(F.col("c.op") == "add").select(F.col("c.list").alias("list"), "domain", F.col("c.ts").alias("ts"))
-    # ranked to a limit: each task keeps no more than ``limit`` rows before the shuffle
-    place = F.row_number().over(Window.partitionBy("list").orderBy("ts", "domain"))
-    return kept.withColumn("_place", place).filter(F.col("_place") <= limit).select("list", "domain")
+    return latest.filter(F.col("c.op") == "add").select(F.col("c.list").alias("list"), "domain")
 
 
 def rejected_overrides(changes: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leakscan.functions.arrays import chunks, let, prefix_sums, span_end, span_start
@@ -165,14 +167,21 @@ def splice_spans(text: Column, merged: Column) -> Column:
     return let(text.cast("binary"), lambda data: build(data, merged))
 
 
+def _whole(options: MatchOptions) -> MatchOptions:
+    """What is given out must be free of secrets, so nothing of a text may be left unseen."""
+    return replace(options, windowed=False, large_filter=False)
+
+
 def redact(records: DataFrame, rules: RuleSet, config: ScoreConfig = ScoreConfig(), options: MatchOptions = MatchOptions(),
            content: str = "content", source: str | None = None) -> DataFrame:
     """Adds the verdict, ``action`` (allow, redact or block), ``redacted_content`` and ``redactions``.
 
     A blocked text whose every secret stands in it verbatim is rebuilt with
     tokens and scanned again; if that scan blocks, or a secret exists in the
-    normalised text only, the action is block and no text is given out.
+    normalised text only, the action is block and no text is given out. Whole
+    texts are searched, whatever ``options`` say of windows and large texts.
     """
+    options = _whole(options)
     prepared, context = records, None
     if source is not None:
         fields = records.schema[source].dataType.names
@@ -200,7 +209,7 @@ def redact(records: DataFrame, rules: RuleSet, config: ScoreConfig = ScoreConfig
 def located_secrets(records: DataFrame, rules: RuleSet, options: MatchOptions = MatchOptions(), content: str = "content") -> DataFrame:
     """Adds ``found`` and ``spans``: where the secrets of each record stand in its own text, and under which tokens."""
     normal = normalize_content(records, content, "_canonical")
-    hits = find_matches(normal, rules, options, "_canonical")
+    hits = find_matches(normal, rules, _whole(options), "_canonical")
     text = F.coalesce(F.col(content), F.lit(""))
     located = bind_fields(hits, let(secrets_of(F.col("hits"), F.col("_canonical"), rules), lambda s: locate_secrets(text, s)))
     return located.select(*records.columns, "found", "spans")
@@ -246,14 +255,22 @@ def redact_form_fields(bodies: DataFrame, rules: RuleSet, body: str = "body", ke
 
 
 def request_outcomes(routes: DataFrame, bodies: DataFrame, rules: RuleSet, key: str = "record_id", content: str = "content",
-                     config: ScoreConfig = ScoreConfig(), options: MatchOptions = MatchOptions()) -> DataFrame:
+                     config: ScoreConfig = ScoreConfig(), options: MatchOptions = MatchOptions(), form: str | None = None) -> DataFrame:
     """What became of requests routed by ``policy.request_route``: denied, pass, redacted or blocked, and by which pattern.
 
-    Only bodies whose route asks for it are scanned, and only those to be masked
-    go through the second scan.
+    ``content`` is a body's text, inflated and unwrapped. Only bodies whose route
+    asks for it are scanned, and only those to be masked go through the second
+    scan. ``form`` names a column that holds the body of a form and is NULL for
+    others: a form is masked field by field and passes if no field could be.
     """
     joined = bodies.join(routes.select(key, "route"), key)
     masked = joined.filter("route = 'redact'")
+    forms = None
+    if form is not None:
+        fields = masked.filter(F.col(form).isNotNull()).select(key, form)
+        forms = redact_form_fields(fields, rules, form, key, config, options).select(
+            key, F.when(F.col("is_redacted"), "redacted").otherwise("pass").alias("outcome"), F.lit("").alias("pattern_name"))
+        masked = masked.filter(F.col(form).isNull())
     seen = joined.filter("route = 'scan'")
     after = F.when(F.col("action") == "allow", "pass").when(F.col("action") == "redact", "redacted").otherwise("blocked")
     columns = [key, "outcome", "pattern_name"]
@@ -262,4 +279,5 @@ def request_outcomes(routes: DataFrame, bodies: DataFrame, rules: RuleSet, key:
         F.when(F.col("route") == "unsupported_encoding", "Unsupported Compression").otherwise("").alias("pattern_name"))
     scanned = scan(seen, rules, config, options, content).withColumn("outcome", F.when(F.col("blocked"), "blocked").otherwise("pass"))
     redacted = redact(masked, rules, config, options, content).withColumn("outcome", after)
-    return fixed.unionByName(scanned.select(*columns)).unionByName(redacted.select(*columns))
+    told = fixed.unionByName(scanned.select(*columns)).unionByName(redacted.select(*columns))
+    return told if forms is None else told.unionByName(forms)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from leakscan.operators.lookup import lookup
 
-# Counters, history limits, finding document.
+# Counters, lengths of histories, finding document.
 COUNTERS = ("dns_queries_total", "dns_blocks_total", "dlp_scans_total", "dlp_blocks_total", "tamper_detections_total")
 KEEP_EVENTS = 500
 DEFAULT_LIST = 50
@@ -32,7 +32,7 @@ def counters(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def flushed_totals(deltas: DataFrame, resets: DataFrame, key: str = "agent") -> DataFrame:
     """Totals per agent: deltas are added up, and a reset sets all back to zero."""
     last = resets.groupBy(key).agg(F.max("ts").alias("_reset"))
-    live = lookup(deltas, last, [key], count_first=False)
+    live = lookup(deltas, last, [key])
     after = F.col("_reset").isNull() | (F.col("ts") > F.col("_reset"))
     return live.groupBy(key).agg(*[F.sum(F.when(after, F.col(c)).otherwise(0)).alias(c) for c in COUNTERS])
 
@@ -44,19 +44,20 @@ def stats_export(snapshots: DataFrame, key: str = "agent") -> DataFrame:
     return newest.select(key, "exported_at", F.to_json("d").alias("payload"))
 
 
-def block_event_log(events: DataFrame, owner: str = "owner", keep: int = KEEP_EVENTS) -> DataFrame:
-    """Blocks of owners who consented, newest ``keep`` each. Each task keeps no more before the shuffle."""
+def block_event_log(events: DataFrame, owner: str = "owner", keep: int | None = None) -> DataFrame:
+    """Blocks of owners who consented; with ``keep`` the newest of each owner, and no task keeps more before the shuffle."""
+    consented = events.filter(F.coalesce(F.col("consent"), F.lit(False))).withColumn("action", F.lit("blocked"))
+    if keep is None:
+        return consented
     newest = Window.partitionBy(owner).orderBy(F.desc("event_id"))
-    consented = events.filter(F.coalesce(F.col("consent"), F.lit(False)))
-    return (
-        consented.withColumn("_place", F.row_number().over(newest))
-        .filter(F.col("_place") <= keep).drop("_place").withColumn("action", F.lit("blocked"))
-    )
+    return consented.withColumn("_place", F.row_number().over(newest)).filter(F.col("_place") <= keep).drop("_place")
 
 
 def list_events(log: DataFrame, limit: int = DEFAULT_LIST) -> DataFrame:
-    """Newest events of a log; a limit outside 1..500 means 50."""
-    return log.orderBy(F.desc("event_id")).limit(limit if 0 < limit <= KEEP_EVENTS else DEFAULT_LIST)
+    """The newest ``limit`` events of a log."""
+    if limit < 1:
+        raise ValueError("a list has at least one event")
+    return log.orderBy(F.desc("event_id")).limit(limit)
 
 
 def findings(verdicts: DataFrame, file: str = "file") -> DataFrame:
@@ -103,7 +104,7 @@ def sarif_results(found: DataFrame) -> DataFrame:
     """One SARIF result object per finding, as JSON."""
     region = F.struct(F.lit(1).alias("startLine"))
     place = F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
-    text = F.concat("pattern_name", F.lit(" detected in "), "file")
+    text = F.concat("file", F.lit(" has a match of "), "pattern_name")
     result = F.struct(F.col("pattern_name").alias("ruleId"), sarif_level(F.col("score")).alias("level"),
                       F.struct(text.alias("text")).alias("message"), F.array(place).alias("locations"))
     return found.select("file", "pattern_name", F.to_json(result).alias("result"))
@@ -112,10 +113,10 @@ def sarif_results(found: DataFrame) -> DataFrame:
 def sarif_lines(found: DataFrame, tool: str = "leakscan", uri: str = "", version: str = "dev") -> DataFrame:
     """A SARIF 2.1.0 document as lines (section, sort_key, line); see :func:`findings_lines`."""
     spark = found.sparkSession
-    help_text = "A possible secret or sensitive value was found. Remove or rotate it before committing."
+    help_text = "This file holds what looks like a credential or personal data. Take it out, and replace it wherever it is in use."
     names = F.col("pattern_name")
     rule = F.struct(names.alias("id"), names.alias("name"),
-                    F.struct(F.concat(names, F.lit(" detected")).alias("text")).alias("shortDescription"),
+                    F.struct(F.concat(F.lit("Match of "), names).alias("text")).alias("shortDescription"),
                     F.struct(F.lit(help_text).alias("text")).alias("help"))
     rules = found.select("pattern_name").distinct().select(
         F.lit(1).alias("section"), names.alias("sort_key"), F.to_json(rule).alias("line"))

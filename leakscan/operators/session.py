@@ -94,19 +94,21 @@ def _fold_runs(rows: DataFrame, key: str, at: str, order: tuple[str, ...], step,
     """
     schema = rows.drop("_run").schema.add(flag, "boolean")
     columns = [f.name for f in schema][:-1]
+    # rows without a key are one key of their own; as text it equals itself, which a missing number does not
+    rows = rows.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
         for batch in batches:
             flags = []
-            for k, run, t in zip(batch[key], batch["_run"], batch[at]):
+            for k, run, t in zip(batch["_key"], batch["_run"], batch[at]):
                 if (k, run) != current:
                     current, state = (k, run), None
                 state, admitted = step(state, t)
                 flags.append(admitted)
             yield batch[columns].assign(**{flag: flags})
 
-    return rows.repartition(key, "_run").sortWithinPartitions(key, "_run", at, *order).mapInPandas(walk, schema)
+    return rows.repartition("_key", "_run").sortWithinPartitions("_key", "_run", at, *order).mapInPandas(walk, schema)
 
 
 def throttle(requests: DataFrame, rate: float, burst: int, key: str = "key", ts: str = "ts", order: tuple[str, ...] = ()) -> DataFrame:
@@ -129,24 +131,25 @@ def throttle(requests: DataFrame, rate: float, burst: int, key: str = "key", ts:
 
 
 def repeat_suppress(reads: DataFrame, key: str = "key", ts: str = "ts", order: tuple[str, ...] = (), text: str = "text",
-                    interval: float = READ_INTERVAL, max_length: int = 1 << 20) -> DataFrame:
+                    interval: float = READ_INTERVAL, max_length: int | None = None) -> DataFrame:
     """Adds ``scanned``: a read counts if the last one counted is ``interval`` seconds ago and its text is new.
 
-    A read too early is ignored altogether. Of the others, empty and oversized
-    texts are skipped, and so is a text equal to the last one scanned.
+    A read too early is ignored altogether. Of the others, empty texts (and
+    those over ``max_length``, if given) are skipped, and so is a text equal to
+    the last one scanned. Reads without a key are one key of their own. Of reads
+    at one instant the first by ``order`` counts, any one if that leaves a tie.
     """
     def step(state, at):
         return (at, True) if state is None or at - state >= interval else (state, False)
 
-    print_ = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
-    size = F.length(F.coalesce(F.col(text), F.lit("")))
-    timed = reads.withColumn("_at", seconds(F.col(ts)))
-    # the gate needs times only; texts stay behind as digests
-    narrow = timed.select(key, *order, "_at", print_.alias("_digest"), ((size > 0) & (size <= max_length)).alias("_usable"))
-    gated = _fold_runs(_rest_points(narrow, key, "_at", order, interval), key, "_at", order, step, "_read")
-    usable = gated.filter("_read AND _usable")
-    fresh = with_carry(usable, [key], ["_at", *order], F.floor(F.col("_at") / 3600.0), lag=["_digest"])
-    chosen = fresh.filter(F.col("prev__digest").isNull() | (F.col("prev__digest") != F.col("_digest")))
-    marks = chosen.select(key, "_at", *order, F.lit(True).alias("_scanned"))
-    out = timed.join(marks, [key, "_at", *order], "left")
-    return out.select(*reads.columns, F.coalesce("_scanned", F.lit(False)).alias("scanned"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    usable = F.length(body) > 0
+    if max_length is not None:
+        usable = usable & (F.length(body) <= max_length)
+    timed = reads.withColumns({"_at": seconds(F.col(ts)), "_digest": F.when(usable, F.sha2(body.cast("binary"), 256))})
+    # flags stay on the rows, so neither a tie nor a missing key can lose them
+    gated = _fold_runs(_rest_points(timed, key, "_at", order, interval), key, "_at", order, step, "_read")
+    seen = gated.withColumn("_digest", F.when(F.col("_read"), F.col("_digest")))
+    carried = with_carry(seen, [key], ["_at", *order], F.floor(F.col("_at") / 3600.0), lasts=["_digest"])
+    fresh = F.col("_digest").isNotNull() & ~F.col("_digest").eqNullSafe(F.col("last__digest"))
+    return carried.select(*reads.columns, fresh.alias("scanned"))

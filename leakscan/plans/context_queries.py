@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from leakscan.functions import context as ctx
 from leakscan.operators import evaluate
 from leakscan.operators.scan import compare_context, explain_scan, scan
-from leakscan.plans.oracle import ScanSql
+from leakscan.plans.oracle import ScanSql, byte_view_sql
 from leakscan.plans.registry import query
 from leakscan.plans.tables import PLANTED_SQL, PLANTS, planted, planted_documents, planted_sql, spread, sql_text, table
 from leakscan.sources.builtin import RULES
@@ -62,7 +62,7 @@ def path_hint_query(spark, sf):
 
 @query("c3_classify_path", f"SELECT page_id, {_class_sql('substr(path, 2)', '(?:/|^)')} AS hint FROM ({_PAGES_SQL})")
 def classify_path_query(spark, sf):
-    return _pages(spark, sf).select("page_id", ctx.classify_path(F.substring("path", 2, 100000)).alias("hint"))
+    return _pages(spark, sf).select("page_id", ctx.classify_path(F.expr("substr(path, 2)")).alias("hint"))
 
 
 @query("c4_context_hashes", f"""SELECT page_id, left(sha256(html || '|' || host || '|textarea'), 16) AS surrounding_hash,
@@ -254,8 +254,9 @@ def segmentation_query(spark, sf):
 
 
 @query("e6_suppressed_dump", _MODES + f"""SELECT {_KEYS}, score, false AS fp_likely,
-  replace(CASE WHEN strlen(content) > 200 THEN left(content, 197) || '...' ELSE content END, chr(9), ' ') AS excerpt
-  FROM ({_SUPPRESSED}) WHERE NOT ({_FP_LIKELY})""")
+  replace(CASE WHEN strlen(content) > 200 THEN replace(CASE WHEN substr(view, 198, 1) = chr(1) THEN regexp_replace(left(view, 197), '[^\\x01]\\x01*$', '')
+    ELSE left(view, 197) END, chr(1), '') || '...' ELSE content END, chr(9), ' ') AS excerpt
+  FROM (SELECT *, {byte_view_sql('content')} AS view FROM ({_SUPPRESSED})) WHERE NOT ({_FP_LIKELY})""")
 def suppressed_dump_query(spark, sf):
     return evaluate.suppressed_dump(_compared(spark, sf))
 

@@ -31,7 +31,7 @@ def fold_sql(text: str) -> str:
 
 def base64_sql(text: str) -> str:
     """Decoded printable runs, newline-joined, '' when there is none."""
-    runs = f"list_filter(regexp_extract_all({text}, '[A-Za-z0-9+/=]{{16,}}'), lambda r: length(r) <= 4096 AND length(r) % 4 = 0)"
+    runs = f"list_filter(regexp_extract_all({text}, '[A-Za-z0-9+/=]{{16,}}'), lambda r: length(r) % 4 = 0)"
     blobs = f"list_filter(list_transform({runs}, lambda r: try(from_base64(r))), lambda b: b IS NOT NULL)"
     printable = "len(list_filter(regexp_extract_all(hex(b), '..'), lambda h: h BETWEEN '20' AND '7E'))"
     kept = f"list_filter({blobs}, lambda b: octet_length(b) > 0 AND {printable} / octet_length(b) >= 0.8)"
@@ -83,8 +83,8 @@ class ScanSql:
     records: str
     rules: RuleSet
     config: ScoreConfig = ScoreConfig()
-    windowed: bool = True
-    large: int = 50 * 1024
+    windowed: bool = False
+    large: int = 0
     disabled: tuple[str, ...] = ()
     normalized: bool = False
     bias: str = "0"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import functions as F
@@ -157,6 +158,26 @@ def repeat_suppress_query(spark, sf):
     return repeat_suppress(_events(spark, sf), order=("event_id",), interval=18000.0).select("event_id", "scanned")
 
 
+# Reads at the same instants, some without a key: the first of an instant counts.
+_TIED = """SELECT event_id, CASE WHEN user_id % 7 = 0 THEN NULL ELSE user_id END AS key, epoch_us(ts) // 21600000000 * 21600 AS sec, event_type,
+  row_number() OVER (PARTITION BY CASE WHEN user_id % 7 = 0 THEN NULL ELSE user_id END ORDER BY epoch_us(ts) // 21600000000, event_id) AS i FROM events"""
+
+
+def _tied(events):
+    return events.selectExpr("event_id", "CASE WHEN user_id % 7 = 0 THEN NULL ELSE user_id END AS key",
+                             "timestamp_seconds(unix_micros(CAST(ts AS TIMESTAMP)) DIV 21600000000 * 21600) AS ts", "event_type AS text")
+
+
+@query("m9_repeat_suppress_ties", f"""WITH RECURSIVE e AS ({_TIED}),
+  f AS (SELECT event_id, key, i, sec AS last_read, event_type AS last_text, true AS scanned FROM e WHERE i = 1
+    UNION ALL SELECT e.event_id, e.key, e.i, CASE WHEN e.sec - last_read >= 18000 THEN e.sec ELSE last_read END,
+      CASE WHEN e.sec - last_read >= 18000 THEN e.event_type ELSE last_text END, e.sec - last_read >= 18000 AND e.event_type <> last_text
+    FROM f JOIN e ON e.key IS NOT DISTINCT FROM f.key AND e.i = f.i + 1)
+  SELECT event_id, scanned FROM f""")
+def repeat_suppress_ties_query(spark, sf):
+    return repeat_suppress(_tied(spread(table(spark, sf, "events"))), order=("event_id",), interval=18000.0).select("event_id", "scanned")
+
+
 # --- allowlist ---------------------------------------------------------------
 
 SALT, NOW = "pepper", 1_704_067_200
@@ -228,15 +249,17 @@ def allowlist_touch_query(spark, sf):
 # --- canaries ----------------------------------------------------------------
 
 
-@query("k1_make_canaries", """SELECT source AS label, 'PGCRY' || left(sha256(source), 8) AS head, 29 AS length FROM (SELECT DISTINCT source FROM documents)""")
+@query("k1_make_canaries", """SELECT label, 'TRIPW' || left(sha256(label), 8) AS head, 29 AS length, true AS drawn
+  FROM (SELECT DISTINCT trim(source || '/' || (doc_id // 3)) AS label FROM documents)""")
 def make_canaries_query(spark, sf):
-    sources = [r["source"] for r in table(spark, sf, "documents").select("source").distinct().limit(canary.MAX_CANARIES).collect()]
-    rows = canary.make_canaries(spark, sources, NOW)
-    return rows.select("label", F.substring("token", 1, 13).alias("head"), F.length("token").alias("length"))
+    label = F.concat("source", F.lit("/"), F.floor(F.col("doc_id") / 3).cast("string"))
+    rows = canary.make_canaries(table(spark, sf, "documents").select(label.alias("label")).distinct(), NOW)
+    return rows.select("label", F.substring("token", 1, 13).alias("head"), F.length("token").alias("length"),
+                       F.expr("substr(token, 14)").rlike(r"\A[A-Z2-7]{16}\z").alias("drawn"))
 
 
 # tokens with a fixed random part, so that a document and the SQL can hold them
-CANARIES = tuple((f"trap {i}", canary.make_token(f"trap {i}", lambda n, i=i: bytes([i] * n))) for i in range(3))
+CANARIES = tuple((f"trap {i}", "TRIPW" + hashlib.sha256(f"trap {i}".encode()).hexdigest()[:8] + "ABCDEFGH2345672" + "XYZ"[i]) for i in range(3))
 _TRAPPED = f"""SELECT doc_id AS record_id, text || CASE WHEN doc_id % 40 < 4 AND doc_id % 40 > 0 THEN ' ' || {_pick_sql([t for _, t in CANARIES], '(doc_id % 40)')}
   ELSE '' END AS content FROM documents"""
 _CANARY_RULES = RuleSet(RULES.patterns + tuple(
@@ -252,7 +275,7 @@ def _trapped(spark, sf):
     docs, n = spread(table(spark, sf, "documents")), F.col("doc_id") % 40
     bait = F.when((n > 0) & (n < 4), F.concat(F.lit(" "), _pick([t for _, t in CANARIES], n))).otherwise("")
     rows = docs.select(F.col("doc_id").alias("record_id"), F.concat("text", bait).alias("content"))
-    return scan(rows, RULES.with_patterns(canary.canary_patterns(_canaries(spark))))
+    return scan(rows, RULES.with_patterns(canary.canary_patterns(_canaries(spark), len(CANARIES))))
 
 
 @query("k2_canary_patterns", ScanSql(_TRAPPED, _CANARY_RULES).select("SELECT record_id, blocked, pattern_name, score FROM verdict"))
@@ -272,11 +295,18 @@ def canary_triggers_query(spark, sf):
 # --- streams: the same rows in micro-batches -----------------------------------
 
 
+FILES_A_BATCH = 16
+
+
 def _streamed(spark, sf, table_name, transform):
     """Run ``transform`` over a table read as a stream, to the end, and give what it wrote."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     folder = shared_dir(spark, f"stream-{uuid.uuid4().hex}")
-    rows = spark.readStream.schema(table(spark, sf, table_name).schema).option("pathGlobFilter", f"{table_name}.parquet").parquet(sf)
+    # a session of its own, so that the caller's settings stay as they are
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(name, spark.conf.get(name))
+    rows = own.readStream.option("maxFilesPerTrigger", FILES_A_BATCH).schema(table(spark, sf, table_name).schema).option("pathGlobFilter", f"{table_name}.parquet").parquet(sf)
     out = transform(rows)
     run = (out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
            .outputMode("append").trigger(availableNow=True).start())
@@ -301,6 +331,14 @@ def throttle_stream_query(spark, sf):
     return _streamed(spark, sf, "events", admit)
 
 
+@query("m9_repeat_suppress_ties_stream", ORACLES["m9_repeat_suppress_ties"])
+def repeat_suppress_ties_stream_query(spark, sf):
+    def gate(rows):
+        return repeat_suppress_stream(_tied(rows), order=("event_id",), interval=18000.0).select("event_id", "scanned")
+
+    return _streamed(spark, sf, "events", gate)
+
+
 @query("m9_repeat_suppress_stream", ORACLES["m9_repeat_suppress"])
 def repeat_suppress_stream_query(spark, sf):
     def gate(rows):

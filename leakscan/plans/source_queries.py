@@ -117,7 +117,7 @@ _FILES = f"""SELECT doc_id, {_pick_sql(_DIRS, 'doc_id')} || '/' || source || '/f
   ELSE text END AS content, doc_id % 8 AS kind FROM documents"""
 
 
-@query("s7_read_file_tree", f"""SELECT path, sha256(content) AS digest FROM ({_FILES}) WHERE strlen(content) BETWEEN 1 AND 1048576 AND kind <> 1
+@query("s7_read_file_tree", f"""SELECT path, sha256(content) AS digest FROM ({_FILES}) WHERE strlen(content) > 0 AND kind NOT IN (1, 2)
   AND NOT regexp_matches(path, '(^|/)(vendor|\\.git|node_modules)/')""")
 def file_tree_query(spark, sf):
     docs, kind = spread(table(spark, sf, "documents")), F.col("doc_id") % 8
@@ -173,7 +173,7 @@ _CORPUS_FILES = f"SELECT {_pick_sql(_CORPUS_PATHS, 'doc_id')} AS tail, doc_id ||
 
 @query("s9_build_corpus", f"""SELECT path, CAST(line_no AS INTEGER) AS line_no, replace(l, '|', chr(9)) AS content FROM (
   SELECT path, tail, unnest(ls) AS l, unnest(generate_series(1, len(ls))) AS line_no FROM (SELECT path, tail, string_split(regexp_replace(content, '\\n$', ''), chr(10)) AS ls FROM ({_CORPUS_FILES})))
-  WHERE strlen(l) BETWEEN 4 AND 16383 AND tail IN ('src/a.py', 'docs/b.MD', 'lib/f.tar.json')""")
+  WHERE strlen(l) >= 4 AND tail IN ('src/a.py', 'docs/b.MD', 'lib/f.tar.json')""")
 def build_corpus_query(spark, sf):
     docs = spread(table(spark, sf, "documents"))
     content = F.replace(F.replace("text", F.lit(", "), F.lit("|")), F.lit(" "), F.lit("\n"))
@@ -218,8 +218,9 @@ def _make_bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["record_id", "content_type", "content_encoding", "body"])
 
 
-def _bodies(spark, sf):
-    docs, kind = documents(spark, sf), F.pmod("record_id", F.lit(len(_KINDS)))
+def request_bodies(docs):
+    """(record_id, content_type, content_encoding, body) around the texts of (record_id, content)."""
+    kind = F.pmod("record_id", F.lit(len(_KINDS)))
     key = F.col("record_id")
     form = F.concat(F.lit("z=last&b="), F.url_encode("content"), F.lit("&a=first%20one"))
     json = F.concat(F.lit('{"data":"'), encoded(F.concat(F.lit("secret of number "), key.cast("string"))), F.lit('"}'))
@@ -230,24 +231,29 @@ def _bodies(spark, sf):
     return made.unionByName(native)
 
 
-@query("s11_extract_body_text", f"""SELECT record_id, true AS encoding_ok, sha256(CASE record_id % 6
+BODY_TEXT_SQL = """SELECT record_id, CASE record_id % 6
   WHEN 3 THEN 'first one' || chr(10) || content || chr(10) || 'last' WHEN 4 THEN 'a.env' || chr(10) || content || chr(10) || 'second'
   WHEN 5 THEN '{{"data":"' || to_base64(encode('secret of number ' || record_id)) || '"}}' || chr(10) || 'secret of number ' || record_id
-  ELSE content END) AS digest FROM (SELECT doc_id AS record_id, text AS content FROM documents)""")
+  ELSE content END AS content FROM ({records})"""
+
+
+@query("s11_extract_body_text", "SELECT record_id, true AS encoding_ok, sha256(content) AS digest FROM ("
+       + BODY_TEXT_SQL.format(records="SELECT doc_id AS record_id, text AS content FROM documents") + ")")
 def body_text_query(spark, sf):
-    rows = bodies.extract_body_text(_bodies(spark, sf))
+    rows = bodies.extract_body_text(request_bodies(documents(spark, sf).select("record_id", "content")))
     return rows.select("record_id", "encoding_ok", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
 
 
-@query("s12_decode_base64_text", """SELECT doc_id AS record_id, CASE doc_id % 4 WHEN 0 THEN left(text, 200) WHEN 1 THEN 'one of several things ' || left(text, 90) || chr(10) || 'two of several things ?>~ ' || substr(text, 5, 90)
-  ELSE '' END AS decoded FROM documents""")
+@query("s12_decode_base64_text", """SELECT doc_id AS record_id, CASE doc_id % 4 WHEN 0 THEN text || ' of some length' WHEN 1 THEN 'one of several things ' || text || chr(10) || 'two of several things ?>~ ' || text
+  WHEN 2 THEN 'a part of it: ' || text ELSE '' END AS decoded FROM documents""")
 def base64_text_query(spark, sf):
     docs, n = spread(table(spark, sf, "documents")), F.col("doc_id") % 4
 
-    one = encoded(F.concat(F.lit("one of several things "), F.substring("text", 1, 90)))
-    two = F.rtrim(F.translate(encoded(F.concat(F.lit("two of several things ?>~ "), F.substring("text", 5, 90))), "+/", "-_"), F.lit("="))
-    body = F.when(n == 0, encoded(F.substring("text", 1, 200))).when(
+    one = encoded(F.concat(F.lit("one of several things "), "text"))
+    two = F.rtrim(F.translate(encoded(F.concat(F.lit("two of several things ?>~ "), "text")), "+/", "-_"), F.lit("="))
+    body = F.when(n == 0, encoded(F.concat("text", F.lit(" of some length")))).when(n == 2, F.concat(
+        F.lit('{"b":"'), encoded(F.concat(F.lit("a part of it: "), "text")), F.lit('"}'))).when(
         n == 1, F.concat(F.lit('{"a":"'), one, F.lit('", "b": "'), two, F.lit('"}'))).otherwise(F.concat(F.lit("number "), F.col("doc_id").cast("string")))
     return docs.select(F.col("doc_id").alias("record_id"), decode_base64_text(body).alias("decoded"))
 

@@ -35,11 +35,14 @@ def local_session(cores: str = "8", app: str = "leakscan", **conf: str) -> Spark
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A folder every executor can reach, below ``spark.checkpoint.dir``.
 
-    The cluster names that folder; only where it is unset (tests, one machine)
-    is a local temporary one made and recorded in the session.
+    The cluster names that folder. Only where it is unset on a single machine
+    is a local temporary one made and recorded in the session; on a cluster each
+    executor would write to a folder of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="leakscan-")
         spark.conf.set("spark.checkpoint.dir", base)
     return os.path.join(base, name)

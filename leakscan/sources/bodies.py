@@ -11,15 +11,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from leakscan.functions.base64text import decode_base64_text
 from leakscan.functions.form import form_text
-from leakscan.functions.text import byte_slice
-
-# Most bytes inflated, and most bytes of text scanned, per body.
-MAX_BODY_BYTES = 40 * 1024 * 1024
-MAX_TEXT_BYTES = 4 * 1024 * 1024
 
 
 def inflate(data: bytes, encoding: str) -> tuple[bytes, bool]:
-    """Inflated bytes, at most 40 MiB of them; the bytes as they are and False if that fails."""
+    """All inflated bytes; the bytes as they are and False if that fails."""
     kind = (encoding or "").strip().lower()
     if kind in ("", "identity") or not data:
         return data, True
@@ -28,12 +23,12 @@ def inflate(data: bytes, encoding: str) -> tuple[bytes, bool]:
     window = 31 if "gzip" in kind else -15
     parts, size, rest = [], 0, data
     try:
-        while rest and size < MAX_BODY_BYTES:
+        while rest:
             engine = zlib.decompressobj(window)
-            part = engine.decompress(rest, MAX_BODY_BYTES - size)
+            part = engine.decompress(rest)
             parts.append(part)
             size += len(part)
-            if not engine.eof and size < MAX_BODY_BYTES:
+            if not engine.eof:
                 return data, False
             rest = engine.unused_data if window == 31 else b""
     except zlib.error:
@@ -108,11 +103,6 @@ def extract_body_text(bodies: DataFrame, key: str = "record_id") -> DataFrame:
     return text.drop("_raw", "_names", "_parts")
 
 
-def _capped(text: Column) -> Column:
-    return F.when(F.octet_length(text) <= MAX_TEXT_BYTES, text).otherwise(
-        F.regexp_replace(byte_slice(text.cast("binary"), F.lit(0), F.lit(MAX_TEXT_BYTES)), "�{1,3}\\z", ""))
-
-
 def _body_text(kind: Column, raw: Column, names: Column, parts: Column) -> Column:
     whole = F.make_valid_utf8(raw.cast("string"))
 
@@ -122,7 +112,7 @@ def _body_text(kind: Column, raw: Column, names: Column, parts: Column) -> Colum
 
     pieces = F.filter(F.zip_with(names, parts, part_text), lambda s: s != "")
     inline = F.concat_ws("\n", whole, F.nullif(decode_base64_text(whole), F.lit("")))
-    return _capped(
+    return (
         F.when(F.size(parts) > 0, F.array_join(pieces, "\n"))
         .when(F.contains(kind, F.lit("application/x-www-form-urlencoded")), form_text(whole))
         .otherwise(inline))

@@ -7,10 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from leakscan.functions.arrays import let
 from leakscan.session import settle
 
-# Directories never read, and limits.
+# Directories never read, file types of a corpus, and the shortest line.
 SKIP_TREE = (".git", "node_modules", "vendor", ".hg", ".svn")
-MAX_FILE_BYTES = 1 << 20
-BINARY_PROBE = 8192
 SKIP_CORPUS = ("node_modules", ".git", "vendor", "dist", "build", ".venv", "venv", "target", "__pycache__", ".next",
                "out", "tmp", ".cache")
 CORPUS_EXTENSIONS = (
@@ -19,9 +17,6 @@ CORPUS_EXTENSIONS = (
     ".txt", ".php", ".pl",
 )
 MIN_LINE_BYTES = 4
-MAX_LINE_BYTES = 16 * 1024
-MAX_FILE_LINES = 50_000
-CORPUS_LINES = 1_000_000
 
 
 def _below(path: Column, folders: tuple[str, ...]) -> Column:
@@ -37,11 +32,15 @@ def relative(path: Column, root: str) -> Column:
     return F.when(F.contains(bare, F.lit(prefix)), F.substring(bare, F.position(F.lit(prefix), bare) + len(prefix), F.length(bare))).otherwise(bare)
 
 
-def text_files(files: DataFrame) -> DataFrame:
-    """Text files (path, content) among (path, length, content BINARY): not empty, not over 1 MiB, not binary."""
-    sized = files.filter((F.col("length") > 0) & (F.col("length") <= MAX_FILE_BYTES) & ~_below(F.col("path"), SKIP_TREE))
-    probe = F.decode(F.substring("content", 1, BINARY_PROBE), "ISO-8859-1")
-    plain = sized.filter(~F.contains(probe, F.lit("\0")))
+def text_files(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Text files (path, content) among (path, length, content BINARY): not empty and without a byte 0.
+
+    ``max_bytes`` leaves larger files out.
+    """
+    sized = files.filter((F.col("length") > 0) & ~_below(F.col("path"), SKIP_TREE))
+    if max_bytes is not None:
+        sized = sized.filter(F.col("length") <= max_bytes)
+    plain = sized.filter(~F.contains(F.decode("content", "ISO-8859-1"), F.lit("\0")))
     return plain.withColumn("content", F.make_valid_utf8(F.col("content").cast("string")))
 
 
@@ -51,23 +50,24 @@ def read_file_tree(spark: SparkSession, root: str) -> DataFrame:
     return text_files(files.select(relative(F.col("path"), root).alias("path"), "length", "content")).select("path", "content")
 
 
-def build_corpus(files: DataFrame, target: int | None = CORPUS_LINES, per_file: int = MAX_FILE_LINES) -> DataFrame:
-    """Corpus lines (path, line_no, content) of files (path, content): known extensions, lines of 4 bytes to 16 KiB.
+def build_corpus(files: DataFrame, target: int | None = None, per_file: int | None = None, max_line: int | None = None) -> DataFrame:
+    """Corpus lines (path, line_no, content) of files (path, content): known extensions, lines of 4 bytes or more.
 
-    A file is read up to its first longer line. ``target`` keeps the first lines
-    in order of path, as the size of a corpus is given; None keeps all. The
-    ordered lines are written to the shared folder, and only line counts per
-    part come to the driver.
+    With ``max_line`` a file is read up to its first line of so many bytes, with
+    ``per_file`` up to so many lines. ``target`` keeps the first lines in order
+    of path, where the size of a corpus is given: the ordered lines are written
+    to the shared folder, and only line counts per part come to the driver.
     """
     extension = F.lower(F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"(\.[^.]*)\z", 1))
     known = files.filter(extension.isin(*CORPUS_EXTENSIONS) & ~_below(F.col("path"), SKIP_CORPUS))
     lines = F.transform(F.split(F.regexp_replace("content", r"\n\z", ""), "\n"), lambda x: F.regexp_replace(x, r"\r\z", ""))
     numbered = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("content")))
-    # reading stops at the first line that is too long
-    until = F.array_min(F.transform(F.filter(numbered, lambda x: F.octet_length(x["content"]) >= MAX_LINE_BYTES), lambda x: x["line_no"]))
-    read = let(F.coalesce(until, F.lit(2**31 - 1)), lambda end: F.filter(
-        numbered, lambda x: (F.octet_length(x["content"]) >= MIN_LINE_BYTES) & (x["line_no"] < end)))
-    rows = known.select("path", F.inline(F.slice(read, 1, per_file))).withColumn("content", F.replace("content", F.lit("|"), F.lit("\t")))
+    read = F.filter(numbered, lambda x: F.octet_length(x["content"]) >= MIN_LINE_BYTES)
+    if max_line is not None:
+        long = F.filter(numbered, lambda x: F.octet_length(x["content"]) >= max_line)
+        until = F.coalesce(F.array_min(F.transform(long, lambda x: x["line_no"])), F.lit(2**31 - 1))
+        read = let(until, lambda end: F.filter(numbered, lambda x: (F.octet_length(x["content"]) >= MIN_LINE_BYTES) & (x["line_no"] < end)))
+    rows = known.select("path", F.inline(read if per_file is None else F.slice(read, 1, per_file))).withColumn("content", F.replace("content", F.lit("|"), F.lit("\t")))
     if target is None:
         return rows
     ordered = settle(rows.repartitionByRange("path", "line_no").withColumn("_part", F.spark_partition_id()))

@@ -193,10 +193,12 @@ class RepeatGate(StatefulProcessor):
 
 
 def repeat_suppress_stream(reads: DataFrame, key: str = "key", ts: str = "ts", order: tuple[str, ...] = (), text: str = "text",
-                           interval: float = READ_INTERVAL, max_length: int = 1 << 20) -> DataFrame:
+                           interval: float = READ_INTERVAL, max_length: int | None = None) -> DataFrame:
     """Streaming form of ``repeat_suppress``; state holds a digest, never a text."""
     body = F.coalesce(F.col(text), F.lit(""))
-    usable = (F.length(body) > 0) & (F.length(body) <= max_length)
+    usable = F.length(body) > 0
+    if max_length is not None:
+        usable = usable & (F.length(body) <= max_length)
     timed = reads.withColumns({
         "at_sec": F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1_000_000.0),
         "text_digest": F.when(usable, F.sha2(body.cast("binary"), 256)).otherwise("")})

@@ -18,7 +18,7 @@ def normalize(text):
     text = unicodedata.normalize("NFKC", text.translate(FOLD))
     parts, used = [], 0
     for run in re.findall(r"[A-Za-z0-9+/=]+", text):
-        if not 16 <= len(run) <= 4096 or len(run) % 4:
+        if len(run) < 16 or len(run) % 4:
             continue
         try:
             raw = base64.b64decode(run, validate=True)
@@ -26,8 +26,6 @@ def normalize(text):
             continue
         if not raw or sum(0x20 <= b <= 0x7E for b in raw) / len(raw) < 0.8:
             continue
-        if used + len(raw) > 32 * 1024:
-            break
         used += len(raw) + (1 if parts else 0)
         parts.append(raw.decode("utf-8", "replace"))
     return text + "\n" + "\n".join(parts) if parts else text
@@ -88,15 +86,13 @@ def entropy(value):
     return h
 
 
-def scan(text, rules, config, windowed=True, source=None, allowed=lambda value: False, prior=""):
+def scan(text, rules, config, windowed=False, source=None, allowed=lambda value: False, prior=""):
     canonical = normalize(text)
     if prior:
         canonical = prior + "\n" + canonical
     data = canonical.encode()
     best = None
     for p in rules.patterns:
-        if len(data) >= 50 * 1024 and p.severity not in ("critical", "high"):
-            continue
         found = find(canonical, p, windowed)
         if not found or (p.min_matches > 0 and len(found) < p.min_matches):
             continue

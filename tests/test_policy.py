@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 from test_scan import AWS, frame
 
@@ -7,6 +8,7 @@ from leakscan.operators.dedup import scan_distinct
 from leakscan.operators.lookup import lookup
 from leakscan.operators.scan import scan
 from leakscan.sources.builtin import RULES
+from leakscan.sources.rules import RuleError
 
 
 def test_domain_lookup(spark):
@@ -27,7 +29,7 @@ def test_domain_lookup(spark):
 def test_large_lookup_is_salted(spark):
     facts = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
     keyed = spark.createDataFrame([(0, "a"), (1, "b")], "k bigint, v string")
-    small, large = lookup(facts, keyed, ["k"]), lookup(facts, keyed, ["k"], rows=1)
+    small, large = lookup(facts, keyed, ["k"]), lookup(facts, keyed, ["k"], most=0)
     assert sorted(small.collect()) == sorted(large.select(small.columns).collect())
     assert large.columns == small.columns
 
@@ -39,7 +41,7 @@ def test_overrides(spark):
     assert {tuple(r) for r in policy.apply_domain_overrides(df).collect()} == {("block", "a.com"), ("allow", "c.com")}
     assert {r.ts for r in policy.rejected_overrides(df).collect()} == {6, 7, 8}
     many = spark.range(30).select(F.col("id").alias("ts"), F.lit("add").alias("op"), F.lit("allow").alias("list"), F.concat(F.lit("h"), F.col("id"), F.lit(".com")).alias("domain"))
-    assert policy.apply_domain_overrides(many, limit=10).count() == 10
+    assert policy.apply_domain_overrides(many).count() == many.select("domain").distinct().count()
 
 
 def test_policy_changes(spark):
@@ -83,11 +85,13 @@ def test_allowlist(spark):
 
 
 def test_canaries(spark):
-    made = canary.make_canaries(spark, ["a.b", " two "], 10)
+    made = canary.make_canaries(spark.createDataFrame([("a.b",), (" two ",), ("",), ("x" * 129,)], "label string"), 10)
     tokens = {r.label: r.token for r in made.collect()}
     made = spark.createDataFrame(made.collect(), made.schema)
-    assert set(tokens) == {"a.b", "two"} and all(len(t) == 29 and t.startswith("PGCRY") for t in tokens.values())
-    rules = RULES.with_patterns(canary.canary_patterns(made))
+    assert set(tokens) == {"a.b", "two"} and all(len(t) == 29 and t.startswith("TRIPW") for t in tokens.values())
+    rules = RULES.with_patterns(canary.canary_patterns(made, 2))
+    with pytest.raises(RuleError):
+        canary.canary_patterns(made, 1)
     texts = [f"x {tokens['two']} y", f"aws {AWS}", tokens["two"][:-1]]
     verdicts = scan(frame(spark, texts), rules).withColumn("ts", F.lit(99))
     assert [r.pattern_name for r in verdicts.orderBy("record_id").collect()] == ["Canary:two", "AWS Access Key", ""]

@@ -150,8 +150,9 @@ def test_rules_that_match_nothing_are_refused(spark):
 
 def test_categories_and_large_content(spark):
     text = "mail d@mail7.example.com " + "x " * 30000
-    assert verdicts(scan(frame(spark, [text]), RULES))[0][0] is False
-    got = verdicts(scan(frame(spark, [text]), RULES, ScoreConfig(threshold_low=1), MatchOptions(large_filter=False)))
+    low = ScoreConfig(threshold_low=1)
+    assert verdicts(scan(frame(spark, [text]), RULES, low, MatchOptions(large_filter=True)))[0][0] is False
+    got = verdicts(scan(frame(spark, [text]), RULES, low))
     assert got[0][1] == "Email Addresses (bulk)"
     off = MatchOptions(disabled_categories=("financial",))
     assert verdicts(scan(frame(spark, ["card 4785380592391139"]), RULES, options=off))[0][0] is False
@@ -166,7 +167,7 @@ def test_many_matches_in_one_record(spark):
     """Offsets stay exact when one record holds thousands of matches."""
     text = "é +1 (743) 555-3824 " * 5000
     rules = RuleSet((PATTERNS[8],), EXCLUSIONS)
-    rows = match_evidence(frame(spark, [text]), rules, MatchOptions(large_filter=False)).orderBy("start").collect()
+    rows = match_evidence(frame(spark, [text]), rules).orderBy("start").collect()
     assert [(r.start, r.end) for r in rows] == [(3 + 21 * i, 20 + 21 * i) for i in range(5000)]
 
 

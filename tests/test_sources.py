@@ -58,18 +58,23 @@ def test_file_tree(spark, tmp_path):
         f.parent.mkdir(parents=True, exist_ok=True)
         f.write_bytes(data)
     rows = {r.path: r.content for r in files.read_file_tree(spark, str(tmp_path)).collect()}
-    assert set(rows) == {"a.txt", "sub/b.py", "late"} and rows["sub/b.py"] == "é"
+    assert set(rows) == {"a.txt", "sub/b.py", "big"} and rows["sub/b.py"] == "é" and len(rows["big"]) == (1 << 20) + 1
+    raw = spark.createDataFrame([("a", 5, b"hello"), ("b", 6, b"hello!")], "path string, length bigint, content binary")
+    assert [r.path for r in files.text_files(raw, max_bytes=5).collect()] == ["a"]
 
 
 def test_corpus(spark, tmp_path):
     long = "z" * (16 * 1024)
     df = spark.createDataFrame([("b/x.py", "abcd\nab\r\npipe|d\r\n" + long + "\nafter"), ("a/y.GO", "one1\n\ntwo2"), ("vendor/z.py", "skip"), ("q.exe", "skip")],
                                "path string, content string")
-    corpus = files.build_corpus(df)
+    whole = files.build_corpus(df)
+    assert {(r.path, r.line_no) for r in whole.collect()} >= {("b/x.py", 4), ("b/x.py", 5)}
+    assert files.build_corpus(df, per_file=1).count() == 2
+    corpus = files.build_corpus(df, max_line=16 * 1024)
     want = [("a/y.GO", 1, "one1"), ("a/y.GO", 3, "two2"), ("b/x.py", 1, "abcd"), ("b/x.py", 3, "pipe\td")]
     assert sorted(tuple(r) for r in corpus.collect()) == want
     for target in range(6):
-        assert sorted(tuple(r) for r in files.build_corpus(df, target=target).collect()) == want[:target]
+        assert sorted(tuple(r) for r in files.build_corpus(df, target=target, max_line=16 * 1024).collect()) == want[:target]
     files.format_corpus(corpus).write.text(str(tmp_path / "c"))
     assert sorted(tuple(r) for r in files.read_corpus(spark, str(tmp_path / "c")).collect()) == want
     lines = spark.createDataFrame([("p|x|a|b",), ("p|2",), ("p|-3|",)], "value string")
@@ -132,7 +137,7 @@ def test_bodies(spark):
     assert {k: v[0] for k, v in got.items() if k != 14} == {
         1: "hello", 2: "hello zip", 3: "hello flat", 4: "not gzip", 5: "odd", 6: part, 7: "no boundary", 8: "1\n2 x\n3", 9: "a=%zz&b=1",
         10: '{"d":"' + b64.decode() + '"}\n' + text, 11: b64.decode() + "\n" + text, 12: "", 13: "a=1;b=A", 15: part}
-    assert len(got[14][0]) == 4 * 1024 * 1024
+    assert len(got[14][0]) == 4 * 1024 * 1024 + 5
     assert {k for k, v in got.items() if not v[1]} == {4, 5}
 
 
