@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
 
 from leakscan.operators.ordered import seconds, time_bucket, with_carry
 
@@ -21,21 +24,31 @@ def threshold_alerts(blocks: DataFrame, key: str = "agent", ts: str = "ts", thre
     """An alert (key, fired_at, blocks) at the end of each interval with enough blocks since the last alert.
 
     Rows are first counted per interval, map-side too, so the fold over a key
-    sees one number per interval however many blocks the key has.
+    sees one number per interval however many blocks the key has. The intervals
+    are streamed through it in order, with one number of state.
     """
     need = effective_threshold(threshold)
     ticks = blocks.groupBy(key, ((time_bucket(F.col(ts), interval) + 1) * interval).alias("tick")).agg(F.count("*").alias("n"))
-    series = ticks.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("tick", "n"))).alias("series"))
-    none = F.array().cast("array<struct<fired_at:bigint,blocks:bigint>>")
-    start = F.struct(F.lit(0).cast("bigint").alias("open"), none.alias("fires"))
-
-    def step(acc: Column, x: Column) -> Column:
-        total = acc["open"] + x["n"]
-        fire = F.struct(x["tick"].alias("fired_at"), total.alias("blocks"))
-        return F.when(total >= need, F.struct(F.lit(0).cast("bigint").alias("open"), F.array_append(acc["fires"], fire).alias("fires"))).otherwise(
-            F.struct(total.alias("open"), acc["fires"].alias("fires")))
-
-    return series.select(key, F.inline(F.aggregate("series", start, step)["fires"]))
+    # as text a key equals itself, which a missing number does not
+    named = ticks.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, total = None, 0
+        for batch in batches:
+            fired, counts = [], []
+            for i, (k, n) in enumerate(zip(batch["_key"], batch["n"])):
+                if k != current:
+                    current, total = k, 0
+                total += int(n)
+                if total >= need:
+                    fired.append(i)
+                    counts.append(total)
+                    total = 0
+            hit = batch.iloc[fired]
+            yield pd.DataFrame({key: hit[key], "fired_at": hit["tick"], "blocks": counts})
+
+    kind = blocks.schema[key].dataType.simpleString()
+    return named.repartition("_key").sortWithinPartitions("_key", "tick").mapInPandas(fold, f"`{key}` {kind}, fired_at bigint, blocks bigint")
 
 
 def state_change_detections(checks: DataFrame, host: str = "host", ts: str = "ts", order: tuple[str, ...] = ()) -> DataFrame:

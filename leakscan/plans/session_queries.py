@@ -308,6 +308,8 @@ def _streamed(spark, sf, table_name, transform):
         own.conf.set(name, spark.conf.get(name))
     rows = own.readStream.option("maxFilesPerTrigger", FILES_A_BATCH).schema(table(spark, sf, table_name).schema).option("pathGlobFilter", f"{table_name}.parquet").parquet(sf)
     out = transform(rows)
+    if out is None:  # it has written its own table
+        return None
     run = (out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
            .outputMode("append").trigger(availableNow=True).start())
     run.awaitTermination()

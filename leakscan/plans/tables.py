@@ -10,13 +10,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table of few files; a table of many files is read as it lies.
+    """Use all cores on a table that is read in fewer parts than there are; any other is read as it lies.
 
-    One file with one row group is one task however many cores there are. Such
-    an input is small, so moving its rows is cheap.
+    A part is ``spark.sql.files.maxPartitionBytes`` at most, so only a table of
+    less than that for each core is moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
