@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from leakscan.llm.common import settled
 from leakscan.operators.ordered import with_carry
 
 NOT_MODIFIED = "server-not-modified"
@@ -107,12 +108,13 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     """
     response = (F.col("record_type") == "response") & F.col("status").between(200, 203)
     revisit = (F.col("record_type") == "revisit") & (F.col("profile").contains(NOT_MODIFIED) | (F.col("status") == 304))
-    narrow = records.where(response | revisit).select(
+    # records are parsed once; what is written has no payload
+    narrow = settled(records.where(response | revisit).select(
         "record_id", "date", canonical_url(F.col("uri")).alias("url_key"), "headers",
         F.coalesce(F.col("record_type") == "response", F.lit(False)).alias("is_full"),
         F.when(response, F.sha2(F.col("payload").cast("binary"), 256)).alias("payload_sha256"),
         F.when(response, F.octet_length("payload").cast("long")).alias("payload_bytes"),
-    )
+    ))
     known = F.col("url_key").isNotNull() & F.col("date").isNotNull()
     original = F.struct("record_id", "headers", "payload_sha256", "payload_bytes")
     keyed = narrow.where(known).withColumn("full_one", F.when(F.col("is_full"), original))
