@@ -279,15 +279,16 @@ def decode_stream(tokens: list[bytes], packed_ids: bytes, chunk: int = 1 << 16)
 
 
 def _encoder(joined: bytes, lengths: bytes, pattern: str) -> Encoder:
-    return once(("encoder", joined, lengths, pattern), lambda: Encoder(_tokens(joined, lengths), pattern))
+    return once(("encoder", joined, lengths, pattern), lambda: Encoder(_cut(joined, lengths), pattern))
 
 
 def _tokens(joined: bytes, lengths: bytes) -> list[bytes]:
-    def cut():
-        ends = np.cumsum(np.frombuffer(lengths, "<u2"))
-        return [joined[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    return once(("tokens", joined, lengths), lambda: _cut(joined, lengths))
 
-    return once(("tokens", joined, lengths), cut)
+
+def _cut(joined: bytes, lengths: bytes) -> list[bytes]:
+    ends = np.cumsum(np.frombuffer(lengths, "<u2"))
+    return [joined[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
 def _shipped(tokens: list[bytes]) -> tuple[bytes, bytes]:

@@ -73,15 +73,14 @@ def training_split(key: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(3))
 
 
-def once(key: Hashable, build: Callable[[], Any], most: int = 4) -> Any:
-    """What ``build`` makes, kept in the worker process for later tasks; the oldest of more than ``most`` goes.
+def once(key: Hashable, build: Callable[[], Any]) -> Any:
+    """What ``build`` makes, kept in the worker process for later tasks until something else is asked for.
 
     Functions travel to the workers by value, so a module of this package holds
     nothing there from one task to the next.
     """
     kept = sys.modules.setdefault("_leakscan_kept", types.ModuleType("_leakscan_kept")).__dict__.setdefault("kept", {})
     if key not in kept:
-        while len(kept) >= most:
-            kept.pop(next(iter(kept)))
+        kept.clear()  # a worker serves one operator after the other; what the last one held would only add up
         kept[key] = build()
     return kept[key]

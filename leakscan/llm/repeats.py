@@ -39,6 +39,7 @@ GROUP = 1500  # stretches of an anchor that are compared in one task
 RANGES = (32, 1)  # offsets in a range when a group is larger
 HELD = 1 << 18  # bytes of small groups that a task sorts together
 MOST = 1 << 20  # bytes that are hashed together, at most; a large group is under that
+STEP = 256  # rows that are Python objects at a time
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -169,12 +170,13 @@ def _mapped(df: DataFrame, schema: str, each: Callable[[dict, dict], pa.RecordBa
         held, size = [], 0
         for batch in batches:
             names = batch.schema.names
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                made = each(dict(zip(names, row)), seen)
-                if made is not None and made.num_rows:
-                    held.append(made)
-                    size += made.num_rows
-                if size > 50_000:
+            for start in range(0, batch.num_rows, STEP):
+                for row in zip(*[c.to_pylist() for c in batch.slice(start, STEP).columns]):
+                    made = each(dict(zip(names, row)), seen)
+                    if made is not None and made.num_rows:
+                        held.append(made)
+                        size += made.num_rows
+                if size > 10_000:
                     yield from pa.Table.from_batches(held).combine_chunks().to_batches()
                     held, size = [], 0
         if held:
@@ -264,7 +266,7 @@ def _sorted_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     held: list[tuple] = []
     size = 0
     for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns]):
+        for row in (r for at in range(0, batch.num_rows, STEP) for r in zip(*[c.to_pylist() for c in batch.slice(at, STEP).columns])):
             if size >= HELD and row[:3] != held[-1][:3]:
                 yield found(held)
                 held, size = [], 0
