@@ -98,7 +98,7 @@ class Transducer:
     keeping any.
     """
 
-    def __init__(self, merges: Merges, limit: int = 200_000):
+    def __init__(self, merges: Merges, limit: int = 400_000):
         self.merges, self.limit = merges, limit
         branches: list[dict[int, int]] = [{}]
         token = [-1]
@@ -212,7 +212,7 @@ def packed(ids: Iterable[int]) -> bytes:
 class Encoder(dict):
     """Ids of whole texts. As a dict it remembers the ids of up to ``limit`` pre-tokens."""
 
-    def __init__(self, tokens: list[bytes], pattern: str, limit: int = 150_000):
+    def __init__(self, tokens: list[bytes], pattern: str, limit: int = 250_000):
         super().__init__()
         self.machine = Transducer(Merges(tokens))
         self.pattern, self.limit = regex.compile(pattern), limit
