@@ -5,9 +5,11 @@ import hashlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from compare import compare, duck
 from samples import odd_table
+from test_llm_dedup import plain_fingerprint, plain_repeats, sets
 
 import corpus_pipeline
 from leakscan.llm import bpe, queries
@@ -75,3 +77,50 @@ def test_the_rest_stands_without_the_subpackage():
     code = ("import sys; sys.modules['leakscan.llm'] = None; import __spark_entry__ as e; "
             "assert not any(n.startswith('op') for n in e.queries()) and 'v14_scan' in e.queries() and set(e.oracle_sql()) <= set(e.queries())")
     assert subprocess.run([sys.executable, "-c", code], cwd="/".join(__file__.split("/")[:-3]) or "/").returncode == 0
+
+
+def plain_tokens(text):
+    """Tokens and templates of a text, by plain code."""
+    text = regex.sub(r"([\p{Ll}0-9,;:] )(\p{Lu}\p{Ll})", "\\1\x01\\2", text).lower()
+    found = regex.findall("\x01?[\\p{L}\\p{M}]+|[0-9]+(?:[.,:][0-9]+)*", text)
+    return [("<name>" if t[0] == "\x01" else "<num>" if t[0].isdigit() else t) for t in found]
+
+
+def test_the_pipeline_beside_plain_code(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    made = staged(spark, docs, DATA)
+
+    texts = {k: t for k, t in texts.items() if any(c.isalpha() for c in t)}
+    assert {r.doc_id for r in made[0][1]} == set(texts)
+
+    prints = {k: plain_fingerprint(t) for k, t in texts.items()}
+    values = sorted(set(prints.values()))
+    root = sets([(a, b) for i, a in enumerate(values) for b in values[i:] if (a ^ b).bit_count() <= 2])
+    least = {}
+    for k in sorted(texts):
+        least.setdefault(root[prints[k]], k)
+    texts = {k: texts[k] for k in least.values()}
+    assert {r.doc_id: r.text for r in made[1][1]} == texts
+
+    keys = sorted(texts)
+    plain = plain_repeats([texts[k].encode() for k in keys])
+    got = {r.doc_id: r.text for r in made[2][1]}
+    assert set(got) == set(keys)
+    for k, (size, gone, _, digest) in zip(keys, plain):
+        assert len(got[k].encode()) <= size - gone  # less where a cut went through a character
+        assert gone or got[k] == texts[k]
+        if len(got[k].encode()) == size - gone:
+            assert hashlib.sha256(got[k].encode()).hexdigest() == digest
+
+    items = {r.item_id: plain_tokens(r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+    leaked = set()
+    for k, text in got.items():
+        t = plain_tokens(text)
+        mine = {tuple(t[i : i + 8]) for i in range(len(t) - 7)}
+        for item in items.values():
+            windows = {tuple(item[i : i + 8]) for i in range(len(item) - 7)}
+            if len(mine & windows) >= 0.3 * len(windows):
+                leaked.add(k)
+    assert {r.doc_id for r in made[3][1]} == set(got) - leaked
+    assert {r.doc_id for r in made[4][1]} == set(got) - leaked
