@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from leakscan.functions.arrays import chunks, let, pack_span, prefix_sums, span_end, span_start
 from leakscan.functions.regex import required_literal, to_java
 from leakscan.functions.text import byte_slice, fold_case
-from leakscan.operators.bind import bind
+from leakscan.operators.bind import bind, expression
 from leakscan.sources.rules import RuleSet
 
 # Half-width of the regex window and the size that counts as large content.
@@ -153,7 +153,7 @@ def find_matches(canonical: DataFrame, rules: RuleSet, options: MatchOptions = M
     col = F.col(text)
     prepared = bind(canonical, _lower=F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(fold_case(col)),
                     _size=F.octet_length(col).cast("bigint"))
-    ordinals = candidate_ordinals(col, F.col("_lower"), F.col("_size"), rules, options)
+    ordinals = expression(rules, ("ordinals", text, options), lambda: candidate_ordinals(col, F.col("_lower"), F.col("_size"), rules, options))
     gated = bind(prepared, _ordinals=ordinals)
 
     def hit(data: Column, ordinal: Column) -> Column:
@@ -166,7 +166,8 @@ def find_matches(canonical: DataFrame, rules: RuleSet, options: MatchOptions = M
         )
 
     # the bytes are taken once per record, not once per window
-    found = let(col.cast("binary"), lambda data: F.transform(F.col("_ordinals"), lambda o: hit(data, o)))
+    found = expression(rules, ("hits", text, options.windowed), lambda: let(
+        col.cast("binary"), lambda data: F.transform(F.col("_ordinals"), lambda o: hit(data, o))))
     return bind(gated, hits=F.filter(found, lambda h: F.size(h["spans"]) > 0)).drop("_lower", "_size", "_ordinals")
 
 

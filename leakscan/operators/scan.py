@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leakscan.functions.context import source_columns, source_struct
-from leakscan.operators.bind import bind_fields
+from leakscan.operators.bind import bind_fields, expression
 from leakscan.operators.match import MatchOptions, find_matches
 from leakscan.operators.normalize import normalize_content
 from leakscan.operators.score import ScoreConfig, add_signals, best_verdict, pattern_results
@@ -46,8 +46,9 @@ def scan(records: DataFrame, rules: RuleSet, config: ScoreConfig = ScoreConfig()
     """Adds blocked, pattern_name and score to every record; no shuffle."""
     prepared, context = _with_source(records, source)
     found = signals_of(prepared, rules, options, content, canonical)
-    scored = bind_fields(found, best_verdict(pattern_results(F.col("signals"), config.struct(), context), "_v_"))
-    return _with_verdict(scored, records.columns)
+    verdict = expression(None, ("verdict", config, source is not None), lambda: best_verdict(
+        pattern_results(F.col("signals"), config.struct(), context), "_v_"))
+    return _with_verdict(bind_fields(found, verdict), records.columns)
 
 
 def explain_scan(records: DataFrame, rules: RuleSet, config: ScoreConfig = ScoreConfig(),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from leakscan.functions.arrays import let, span_end, span_start
 from leakscan.functions.context import source_bias
 from leakscan.functions.text import byte_slice, fold_case, is_placeholder_shape, is_public_example, remove_first, shannon_entropy
-from leakscan.operators.bind import bind
+from leakscan.operators.bind import bind, expression
 from leakscan.sources.rules import RuleSet
 
 # Fixed value: extra matches beyond this many add nothing to a score.
@@ -134,7 +134,8 @@ def add_signals(matched: DataFrame, rules: RuleSet, text: str = "canonical", kee
         return let(rules.literal(), lambda all_rules: let(F.get(all_rules, hit["ordinal"]), for_rule))
 
     # the bytes are taken once per record, not once per match
-    found = let(F.col(text).cast("binary"), lambda data: F.transform(F.col("hits"), lambda h: signal(data, h)))
+    found = expression(rules, ("signals", text, keep_values), lambda: let(
+        F.col(text).cast("binary"), lambda data: F.transform(F.col("hits"), lambda h: signal(data, h))))
     return bind(matched, signals=F.filter(found, lambda s: s["matches"].isNotNull()))
 
 
