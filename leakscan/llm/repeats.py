@@ -371,9 +371,15 @@ def kept_bytes(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
-def _kept_texts(docs: DataFrame, text: str, group: int, with_text: bool) -> DataFrame:
-    """A row for each different text: its print, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes if asked for."""
-    ddl = "t1 long, t2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
+    """``key``, n_bytes, n_removed, n_spans and kept_sha256 for each row.
+
+    A byte is removed if a window of ``WINDOW`` bytes that covers it starts at
+    another place too, in this or any other text, whatever else is removed. NULL
+    is the empty text. Repeated rows repeat each other's windows. Other columns
+    are left out; an empty table gives no rows.
+    """
+    ddl = "t1 long, t2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema = arrow_schema(docs.sparkSession, ddl)
     spans = settled(repeated_spans(docs, text, group))
 
@@ -381,32 +387,39 @@ def _kept_texts(docs: DataFrame, text: str, group: int, with_text: bool) -> Data
         data = row["text"].encode()
         runs = removed_runs(data, row["spans"]) if row["spans"] else []
         kept = kept_bytes(data, runs)
-        values = [row["t1"], row["t2"], len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")]
+        values = [row["t1"], row["t2"], len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()]
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
 
-    return _mapped(_once(_texts(docs, text)).join(spans, ["t1", "t2"], "left"), ddl, each)
-
-
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
-    """``key``, n_bytes, n_removed, n_spans and kept_sha256 for each row.
-
-    A byte is removed if a window of ``WINDOW`` bytes that covers it starts at
-    another place too, in this or any other text, whatever else is removed. NULL
-    is the empty text. Repeated rows repeat each other's windows. Other columns
-    are left out; an empty table gives no rows.
-    """
-    results = settled(_kept_texts(docs, text, group, False).dropDuplicates(["t1", "t2"]))
+    made = _mapped(_once(_texts(docs, text)).join(spans, ["t1", "t2"], "left"), ddl, each)
+    results = settled(made.dropDuplicates(["t1", "t2"]))
     return docs.select(key, *_print(whole(F.col(text)))).join(results, ["t1", "t2"]).drop("t1", "t2")
 
 
 def without_repeats(docs: DataFrame, text: str = "text", group: int = GROUP) -> DataFrame:
     """The rows of ``docs`` with all their columns, ``text`` without its repeated windows.
 
-    A character of which only a part is left goes too.
+    A character of which only a part is left goes too. Rows meet the spans of
+    their text once and are cut where they then lie.
     """
-    results = _kept_texts(docs, text, group, True).where("n_removed > 0").dropDuplicates(["t1", "t2"])
-    kept = settled(results.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "kept").withColumnRenamed("kept", "_kept"))
-    data = whole(docs[text])
-    same = (F.xxhash64(data) == kept["_t1"]) & (F.xxhash64(F.lit("second"), data) == kept["_t2"])
-    shown = F.when(kept["_t1"].isNull(), docs[text]).otherwise(kept["_kept"])
-    return docs.join(kept, same, "left").select(*[shown.alias(c) if c == text else docs[c] for c in docs.columns])
+    spans = settled(repeated_spans(docs, text, group))
+    found = spans.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("spans").alias("_spans_of_text"))
+    first, second = [F.xxhash64(whole(docs[text])), F.xxhash64(F.lit("second"), whole(docs[text]))]
+    joined = docs.join(found, (first == found["_t1"]) & (second == found["_t2"]), "left").select(*[docs[c] for c in docs.columns], "_spans_of_text")
+    at = docs.columns.index(text)
+
+    def cut(value: str | None, spans: list[dict] | None) -> str | None:
+        if not spans:
+            return value
+        data = value.encode()
+        return kept_bytes(data, removed_runs(data, spans)).decode(errors="ignore")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, STEP):
+                part = batch.slice(start, STEP)
+                columns = list(part.columns[:-1])
+                kept = [cut(v, s) for v, s in zip(columns[at].to_pylist(), part.columns[-1].to_pylist())]
+                columns[at] = pa.array(kept, columns[at].type)
+                yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(part.schema)[:-1]))
+
+    return joined.mapInArrow(run, docs.schema)
