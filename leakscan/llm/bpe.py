@@ -342,11 +342,12 @@ def round_trip(docs: DataFrame, tokens: list[bytes], pattern: str, keep: list[st
     return map_rows(source, _ddl(docs, keep) + "ids binary, decoded binary", rows)
 
 
-def digests(docs: DataFrame, tokens: list[bytes], pattern: str, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` with n_tokens, ids_sha256 and decoded_sha256 of the ids and of what they decode to."""
+def digests(docs: DataFrame, tokens: list[bytes], pattern: str, keep: list[str], text: str = "text", with_ids: bool = False) -> DataFrame:
+    """``keep`` with n_tokens, ids_sha256 and decoded_sha256 of the ids and of what they decode to; ``ids`` too if asked for."""
     return round_trip(docs, tokens, pattern, keep, text).select(
         *keep,
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *(["ids"] if with_ids else []),
     )

@@ -72,7 +72,7 @@ _OPERATORS = (
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {f.__name__: f for f in _OPERATORS} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in _OPERATORS} | {"pipeline": corpus_pipeline.token_ids}
 
 
 def oracle_sql() -> dict[str, str]:
