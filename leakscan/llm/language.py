@@ -24,6 +24,7 @@ from leakscan.llm.learning import sample_texts
 
 SEGMENT = 512
 LANES = 4096  # segments parsed together
+DENSE = 120  # the commonest letters are looked up in a table, the others among sorted edges
 UNKNOWN, SPACE = 0, 1  # a letter that no language has seen; a run of anything but letters
 UNDETERMINED = "und"
 
@@ -39,7 +40,7 @@ class Automaton:
 
 @dataclass(frozen=True)
 class Model:
-    letters: str  # symbol i + 2 is letter i
+    letters: str  # symbol i + 2 is letter i; the commonest come first
     languages: tuple[str, ...]
     automata: tuple[Automaton, ...]
 
@@ -91,7 +92,7 @@ class Reader:
     """Texts to symbols: letters in lower case, and one SPACE for each run of other characters."""
 
     def __init__(self, letters: str):
-        self.table = np.full(0x110000, SPACE, np.uint8)
+        self.table = np.full(0x110000, SPACE, np.uint32)
         alphabetic = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
         self.table[alphabetic] = UNKNOWN
         for i, letter in enumerate(letters):
@@ -113,17 +114,36 @@ class Reader:
 class Parser:
     def __init__(self, model: Model):
         self.model, self.reader = model, Reader(model.letters)
-        self.width = len(model.letters) + 2
-        self.tables = []
+        self.width = min(len(model.letters), DENSE) + 2
+        self.tables, self.rare = [], []
         for a in model.automata:
             edges = np.frombuffer(a.edges, "<u4").reshape(-1, 3).astype(np.int64)
             table = np.full((a.states + 1) * self.width, -1, np.int32)  # from the last state nothing goes on
-            table[edges[:, 0] * self.width + edges[:, 1]] = edges[:, 2] * self.width
+            dense = edges[edges[:, 1] < self.width]
+            table[dense[:, 0] * self.width + dense[:, 1]] = dense[:, 2] * self.width
             self.tables.append(table)
-
-    def phrases(self, table: np.ndarray, lanes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Phrases of each segment; ``lanes`` has a row for each step, segments sorted from the longest."""
-        first = table[: self.width]
+            rare = edges[edges[:, 1] >= self.width]
+            keys = rare[:, 0] * self.width << 32 | rare[:, 1]
+            order = np.argsort(keys)
+            self.rare.append((keys[order], (rare[order, 2] * self.width).astype(np.int32)))
+
+    @staticmethod
+    def rare_steps(edges: tuple[np.ndarray, np.ndarray], states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Where the symbols beyond the table lead; -1 where no edge goes on."""
+        keys, to = edges
+        if not len(keys):
+            return np.full(len(symbols), -1, np.int32)
+        wanted = states.astype(np.int64) << 32 | symbols
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, to[at], -1)
+
+    def phrases(self, table: np.ndarray, edges: tuple[np.ndarray, np.ndarray], lanes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Phrases of each segment; ``lanes`` has a row for each step, segments sorted from the longest.
+
+        ``edges`` are those of symbols that the table has no column for.
+        """
+        every = np.arange(len(self.model.letters) + 2)
+        first = np.concatenate([table[: self.width], self.rare_steps(edges, np.zeros(len(every) - self.width, np.int32), every[self.width :])])
         start = np.where(first < 0, len(table) - self.width, first)  # a symbol that begins no match is a phrase of its own
         count = np.ones(lanes.shape[1], np.int32)
         state = np.zeros(lanes.shape[1], np.int32)
@@ -131,7 +151,12 @@ class Parser:
         for step, row in enumerate(lanes):
             n = active[step]
             symbols, here = row[:n], state[:n]
-            to = table[here + symbols]
+            rare = np.flatnonzero(symbols >= self.width)
+            if len(rare):
+                to = table[here + np.where(symbols < self.width, symbols, UNKNOWN)]
+                to[rare] = self.rare_steps(edges, here[rare], symbols[rare])
+            else:
+                to = table[here + symbols]
             ends = to < 0
             if step:
                 count[:n] += ends
@@ -146,7 +171,7 @@ class Parser:
         owner = np.repeat(np.arange(len(texts)), parts)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
         lengths = np.minimum(SEGMENT, sizes[owner] - nth * SEGMENT)
-        flat = np.concatenate([s for s, _ in read]) if read else np.empty(0, np.uint8)
+        flat = np.concatenate([s for s, _ in read]) if read else np.empty(0, np.uint32)
         begin = (np.cumsum(sizes) - sizes)[owner] + nth * SEGMENT
         order = np.argsort(-lengths, kind="stable")
         totals = np.zeros((len(texts), len(self.tables)))
@@ -155,8 +180,8 @@ class Parser:
             size = lengths[part]
             steps = np.arange(size[0])
             lanes = flat[np.minimum(begin[part][None, :] + steps[:, None], len(flat) - 1)]
-            for k, table in enumerate(self.tables):
-                np.add.at(totals[:, k], owner[part], self.phrases(table, lanes, size))
+            for k, (table, edges) in enumerate(zip(self.tables, self.rare)):
+                np.add.at(totals[:, k], owner[part], self.phrases(table, edges, lanes, size))
         bits = np.array([math.log2(max(2, a.length)) for a in self.model.automata])
         return totals * bits / np.maximum(sizes, 1)[:, None], np.array([letters for _, letters in read], bool)
 
@@ -176,14 +201,14 @@ class Parser:
         return names, scores
 
 
-def train(samples: list[tuple[str, str]], symbols_each: int = 30_000, most_letters: int = 120) -> Model:
+def train(samples: list[tuple[str, str]], symbols_each: int = 30_000) -> Model:
     """A model of (language, text) pairs; whole texts are taken until a language has ``symbols_each`` symbols."""
     seen: dict[str, int] = {}
     for _, text in samples:
         for c in text.lower():
             if c.isalpha():
                 seen[c] = seen.get(c, 0) + 1
-    letters = "".join(sorted(sorted(seen, key=lambda c: (-seen[c], c))[:most_letters]))
+    letters = "".join(sorted(seen, key=lambda c: (-seen[c], c)))
     reader, languages, automata = Reader(letters), [], []
     for language in sorted({name for name, _ in samples}):
         joined: list[int] = []
