@@ -18,6 +18,7 @@ from leakscan.llm.common import settled, whole
 WINDOW = 8  # tokens; an item of fewer is one window of its own length
 SHORTEST = 3  # items with fewer tokens than this never match
 COVER = 0.3  # part of an item's different windows that a document must hold
+RUN = 13  # tokens in one alignment that are a leak whatever part of the item they are, where a caller asks for it
 BROADCAST_ROWS = 100_000  # about 10 MB of windows or hits; beyond it, joins are shuffled
 NAME_MARK, UNIT_MARK = "\x01", "\x02"
 # Units of measurement.
@@ -82,11 +83,12 @@ def _same(left: str, right: str) -> Column:
     return F.col(left).eqNullSafe(F.col(right))
 
 
-def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, cover: float = COVER) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, cover: float = COVER, run: int | None = None) -> DataFrame:
     """Pairs of document and item: ``key``, ``_print`` (of the text), item_id, n_windows, of, coverage, kind.
 
     A pair is there if the windows that line up consistently with the item are
-    at least ``cover`` of its different ones. ``kind`` is "verbatim" if some
+    at least ``cover`` of its different ones, or, with ``run``, if the windows of
+    one such alignment hold that many tokens. ``kind`` is "verbatim" if some
     alignment has all values unchanged, else "reparameterised". NULL and empty
     texts match nothing; repeated rows give one pair.
     """
@@ -100,7 +102,7 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
         .groupBy("_key", "_print", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "item_at")
         .agg(F.first("of").alias("of"))
     )
-    lined = hits.groupBy("_key", "_print", "item_id", "shift").agg(F.min("item_at").alias("low"), (F.max("item_at") + window).alias("high"))
+    lined = hits.groupBy("_key", "_print", "item_id", "shift").agg(F.min("item_at").alias("low"), (F.max("item_at") + window).alias("high"), F.count("*").alias("line"))
 
     # the tokens of the documents that were hit, once for each; then the values of the placeholders side by side
     hit = hits.select(F.col("_key").alias("_hit_key"), F.col("_print").alias("_hit_print")).distinct()
@@ -120,9 +122,9 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     checked = (
         lined.join(doc_tokens, _same("_key", "_doc_key") & (F.col("_print") == F.col("_doc_print")))
         .join(item_tokens, "item_id")
-        .select("_key", "_print", "item_id", "shift", values.alias("values"))
+        .select("_key", "_print", "item_id", "shift", "line", values.alias("values"))
         .select(
-            F.col("_key").alias("_c_key"), F.col("_print").alias("_c_print"), F.col("item_id").alias("_c_item"), F.col("shift").alias("_c_shift"),
+            F.col("_key").alias("_c_key"), F.col("_print").alias("_c_print"), F.col("item_id").alias("_c_item"), F.col("shift").alias("_c_shift"), "line",
             # consistent: no value of the item stands for two of the document
             (F.size("values") == F.size(F.array_distinct(F.transform("values", lambda p: p["item"])))).alias("consistent"),
             F.exists("values", lambda p: p["item"] != p["doc"]).alias("changed"),
@@ -131,8 +133,10 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     )
     same = _same("_key", "_c_key") & (F.col("_print") == F.col("_c_print")) & (F.col("item_id") == F.col("_c_item")) & (F.col("shift") == F.col("_c_shift"))
     found = hits.join(checked, same).groupBy("_key", "_print", "item_id").agg(
-        F.countDistinct("item_at").alias("n_windows"), F.max("of").alias("of"), F.min("changed").alias("changed"))
-    return found.withColumn("coverage", F.col("n_windows") / F.col("of")).where(F.col("coverage") >= cover).select(
+        F.countDistinct("item_at").alias("n_windows"), F.max("of").alias("of"), F.min("changed").alias("changed"), F.max("line").alias("line"))
+    # so many different windows at one shift hold at least that many tokens
+    long = F.lit(False) if run is None else F.col("line") + (window - 1) >= run
+    return found.withColumn("coverage", F.col("n_windows") / F.col("of")).where((F.col("coverage") >= cover) | long).select(
         F.col("_key").alias(key), "_print", "item_id", "n_windows", "of", "coverage",
         F.when(F.col("changed"), "reparameterised").otherwise("verbatim").alias("kind"),
     )
@@ -144,8 +148,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
         F.max("n_windows").alias("n_windows"), F.max("coverage").alias("coverage"), F.max("kind").alias("kind"))
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text holds no leak."""
-    found = settled(matches(docs, items, key, text).select(F.col(key).alias("_leak_key"), F.col("_print").alias("_leak_print")).distinct())
+def without_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", run: int | None = None) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text holds no leak; ``run`` as in :func:`matches`."""
+    found = settled(matches(docs, items, key, text, run=run).select(F.col(key).alias("_leak_key"), F.col("_print").alias("_leak_print")).distinct())
     mine = F.xxhash64(whole(docs[text]))
     return docs.join(_small(found, BROADCAST_ROWS), docs[key].eqNullSafe(found["_leak_key"]) & (mine == found["_leak_print"]), "left_anti")
