@@ -5,11 +5,13 @@ from __future__ import annotations
 import sys
 import tempfile
 import types
+import uuid
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -84,3 +86,62 @@ def once(key: Hashable, build: Callable[[], Any]) -> Any:
         kept.clear()  # a worker serves one operator after the other; what the last one held would only add up
         kept[key] = build()
     return kept[key]
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows written as Parquet to the shared folder and read back; :func:`discard` removes them."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.written_to = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove what :func:`written` wrote, once nothing that is still to run reads it."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(df: DataFrame, key: str, order: list[Column], at: str = "n") -> DataFrame:
+    """``df``, written, with the place ``at`` of each row among those of its ``key``, from 0, by ``order``.
+
+    Rows are dealt by ranges of key and order, so a key with a third of them is
+    spread over a third of the tasks, and each task counts along its sorted rows
+    with one number of state. Only keys that reach over from one task to the next
+    need more: a row for each such task, which the number of tasks bounds.
+    Rows of equal key and order are numbered in any order. NULL keys come first.
+    """
+    sort = [F.col(key), *order]
+    dealt = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
+    # a mixing of the key stands for it, so that one number tells neighbours apart whatever the key's type
+    source = dealt.select(F.spark_partition_id().alias("_task"), F.xxhash64(F.col(key).isNull(), key).alias("_mixed"), *df.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, count = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            mixed = batch.column(1).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.r_[True, mixed[1:] != mixed[:-1]])
+            sizes = np.diff(np.r_[starts, len(mixed)])
+            place = np.arange(len(mixed)) - np.repeat(starts, sizes)
+            if mixed[0] == last:
+                place[: sizes[0]] += count
+            last, count = mixed[-1], int(place[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place, pa.int64())], names=[*batch.schema.names, at])
+
+    from pyspark.sql.types import StructType
+
+    schema = StructType([*source.schema.fields]).add(at, "long")
+    local = written(source.mapInArrow(run, schema))
+    per = local.groupBy("_task", "_mixed").agg(F.max(at).alias("_most"))
+    several = per.join(per.groupBy("_mixed").agg(F.count("*").alias("_tasks")).where("_tasks > 1").drop("_tasks"), "_mixed")
+    before = F.sum(F.col("_most") + 1).over(Window.partitionBy("_mixed").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    carried = several.select("_task", "_mixed", F.coalesce(before, F.lit(0)).alias("_before"))
+    # at most two rows for each task, its first and its last key
+    placed = local.join(F.broadcast(carried), ["_task", "_mixed"], "left")
+    return placed.select(*df.columns, (F.col(at) + F.coalesce("_before", F.lit(0))).alias(at))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leakscan.llm import archive_sample, bpe, decontaminate, language, quality, repeats, sharding, simhash, tiff, token_count, warc
+from leakscan.llm import archive_sample, bpe, copied, decontaminate, language, quality, repeats, sharding, simhash, tiff, token_count, warc
 from leakscan.llm.common import table
 
 
@@ -63,9 +63,14 @@ def op10_template_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op12_countmin_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return copied.digests(table(spark, folder, "documents"))
+
+
 _OPERATORS = (
     op1_vector_bin_packing, op2_warc_revisits, op3_byte_bpe, op4_tiff, op5_compression_quality, op6_simhash, op7_repeated_windows,
     op8_cross_parsing_language, op9_whole_token_counts, op10_template_leaks,
+    op12_countmin_windows,
 )
 
 
@@ -76,7 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_revisits": archive_sample.RESOLVED_SQL, "op10_template_leaks": decontaminate_sql()}
+    return {"op2_warc_revisits": archive_sample.RESOLVED_SQL, "op10_template_leaks": decontaminate_sql(), "op12_countmin_windows": copied.SQL}
 
 
 def decontaminate_sql() -> str:
