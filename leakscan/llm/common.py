@@ -106,8 +106,8 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def numbered(df: DataFrame, key: str, order: list[Column], at: str = "n") -> DataFrame:
-    """``df``, written, with the place ``at`` of each row among those of its ``key``, from 0, by ``order``.
+def numbered(df: DataFrame, key: str, order: list[Column], at: str, keep: list[str]) -> DataFrame:
+    """The columns ``keep``, written, with the place ``at`` of each row among those of its ``key``, from 0, by ``order``.
 
     Rows are dealt by ranges of key and order, so a key with a third of them is
     spread over a third of the tasks, and each task counts along its sorted rows
@@ -118,7 +118,7 @@ def numbered(df: DataFrame, key: str, order: list[Column], at: str = "n") -> Dat
     sort = [F.col(key), *order]
     dealt = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
     # a mixing of the key stands for it, so that one number tells neighbours apart whatever the key's type
-    source = dealt.select(F.spark_partition_id().alias("_task"), F.xxhash64(F.col(key).isNull(), key).alias("_mixed"), *df.columns)
+    source = dealt.select(F.spark_partition_id().alias("_task"), F.xxhash64(F.col(key).isNull(), key).alias("_mixed"), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, count = None, 0
@@ -144,4 +144,4 @@ def numbered(df: DataFrame, key: str, order: list[Column], at: str = "n") -> Dat
     carried = several.select("_task", "_mixed", F.coalesce(before, F.lit(0)).alias("_before"))
     # at most two rows for each task, its first and its last key
     placed = local.join(F.broadcast(carried), ["_task", "_mixed"], "left")
-    return placed.select(*df.columns, (F.col(at) + F.coalesce("_before", F.lit(0))).alias(at))
+    return placed.select(*keep, (F.col(at) + F.coalesce("_before", F.lit(0))).alias(at))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leakscan.llm import archive_sample, bpe, copied, decontaminate, language, quality, repeats, sharding, simhash, tiff, token_count, warc
+from leakscan.llm import archive_sample, audit, bpe, copied, decontaminate, language, quality, repeats, sharding, simhash, tiff, token_count, turn_trie, warc
 from leakscan.llm.common import table
 
 
@@ -63,14 +63,22 @@ def op10_template_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_conversation_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.repaired(table(spark, folder, "conversations"))
+
+
 def op12_countmin_windows(spark: SparkSession, folder: str) -> DataFrame:
     return copied.digests(table(spark, folder, "documents"))
 
 
+def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return turn_trie.conversation_nodes(table(spark, folder, "conversations"))
+
+
 _OPERATORS = (
     op1_vector_bin_packing, op2_warc_revisits, op3_byte_bpe, op4_tiff, op5_compression_quality, op6_simhash, op7_repeated_windows,
     op8_cross_parsing_language, op9_whole_token_counts, op10_template_leaks,
-    op12_countmin_windows,
+    op11_conversation_audit, op12_countmin_windows, op13_conversation_trie,
 )
 
 
@@ -81,7 +89,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_revisits": archive_sample.RESOLVED_SQL, "op10_template_leaks": decontaminate_sql(), "op12_countmin_windows": copied.SQL}
+    return {"op2_warc_revisits": archive_sample.RESOLVED_SQL, "op10_template_leaks": decontaminate_sql(), "op11_conversation_audit": audit.SQL,
+            "op12_countmin_windows": copied.SQL, "op13_conversation_trie": turn_trie.SQL}
 
 
 def decontaminate_sql() -> str:
