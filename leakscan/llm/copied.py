@@ -15,30 +15,29 @@ A window is 50 consecutive words. Four passes over the texts, all in Arrow batch
 
 Texts that are copies as a whole are settled before step 2 by their hash, so a group
 of copies costs one text. The merged sketch is broadcast; its size follows the bytes
-of the texts up to ``MOST_CELLS``. Beyond that more anchors pass step 1 than need to,
+of the texts up to ``countmin.MOST``. Beyond that more anchors pass step 1 than need to,
 and step 2 pays for them; none is lost at any size.
 """
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
+from leakscan.llm import countmin
 from leakscan.llm.common import arrow_schema, discard, whole, written
+from leakscan.llm.countmin import mixed
 
 WIDTH = 50  # words of a window
 ANCHOR = 25  # words of the runs that stand for windows in the sketch
-DEPTH = 2  # rows of the sketch
-LEAST_CELLS, MOST_CELLS = 20, 29  # binary logarithms of a row's counters; 2**29 of them are 64 MB a row as bits
-BYTES_A_CELL = 8  # of text; an anchor comes about every 80 bytes
-SHARD = 17  # binary logarithm of the counters that are merged in one piece
-BUFFER = 1 << 21  # anchors that a task sketches at once
-BROADCAST_ROWS = 2_000_000  # anchors or places, 16 MB; with more of them texts are shuffled to meet them
+BYTES_A_CELL = 8  # of text for a counter; an anchor comes about every 80 bytes
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd
 
 
@@ -46,13 +45,6 @@ def split_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()  # bytes: ASCII white space only
 
 
-def mixed(values: np.ndarray) -> np.ndarray:
-    """The 64-bit values dealt out evenly, one to one."""
-    values = (values ^ (values >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    values = (values ^ (values >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return values ^ (values >> np.uint64(33))
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """Two 64-bit hashes of each word, as two rows."""
     digests = b"".join(map(xxhash.xxh3_128_digest, words))
@@ -74,91 +66,17 @@ def anchors(hashes: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(runs, WIDTH - ANCHOR + 1).min(axis=1)
 
 
+def text_anchors(text: str) -> np.ndarray:
+    """The different anchors of a text's windows."""
+    words = split_words(text)
+    return np.unique(anchors(word_hashes(words))) if len(words) >= WIDTH else np.empty(0, "<u8")
+
+
 def window_keys(hashes: np.ndarray) -> np.ndarray:
     """128 bits of each window, as two columns."""
     return np.stack([run_hashes(h, WIDTH, b) for h, b in zip(hashes, _BASES)], axis=1)
 
 
-def cells_of(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return mixed(keys + np.uint64(row * 0x632BE59BD9B4E019 + 1 & (1 << 64) - 1)) >> np.uint64(64 - bits)
-
-
-def _packed(cells: np.ndarray, twice: np.ndarray) -> bytes:
-    """Sorted places in a shard with a bit that tells whether they were met more than once."""
-    return zlib.compress(np.diff(cells.astype("<u4") << 1 | twice.astype("<u4"), prepend=np.uint32(0)).tobytes(), 1)
-
-
-def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = np.cumsum(np.frombuffer(zlib.decompress(data), "<u4"), dtype="<u4")
-    return both >> 1, both & 1
-
-
-def sketch(texts: DataFrame, bits: int) -> np.ndarray:
-    """For each row of the sketch, a bit for each of its 2**bits counters: whether it counts more than one.
-
-    ``texts`` has one string column. The driver gets a bit for each counter, at most.
-    """
-    shard_bits = min(SHARD, bits)
-
-    def blobs(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        keys, made = np.concatenate(held), []
-        for row in range(DEPTH):
-            cells, n = np.unique(cells_of(keys, row, bits), return_counts=True)
-            shards, starts = np.unique(cells >> np.uint64(shard_bits), return_index=True)
-            for s, a, b in zip(shards, starts, np.r_[starts[1:], len(cells)]):
-                made.append((row, int(s), _packed(cells[a:b] & np.uint64((1 << shard_bits) - 1), n[a:b] > 1)))
-        for i in range(0, len(made), 1024):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made[i : i + 1024]), (pa.int32(), pa.int64(), pa.binary()))], names=["row", "shard", "data"])
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for value in batch.column(0):
-                words = split_words(value.as_py())
-                if len(words) >= WIDTH:
-                    held.append(np.unique(anchors(word_hashes(words))))
-                    size += len(held[-1])
-                if size >= BUFFER:
-                    yield from blobs(held)
-                    held, size = [], 0
-        if held:
-            yield from blobs(held)
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, counts = None, None
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if at is not None and (counts > 1).any():
-                values = ([at[0]], [at[1]], [np.packbits(counts > 1, bitorder="little").tobytes()])
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.int64(), pa.binary()))], names=["row", "shard", "data"])
-
-        for batch in batches:
-            for row, shard, data in zip(*[c.to_pylist() for c in batch.columns]):
-                if (row, shard) != at:
-                    yield from done()
-                    at, counts = (row, shard), np.zeros(1 << shard_bits, np.uint8)
-                cells, twice = _unpacked(data)
-                counts[cells] = np.minimum(counts[cells] + 1 + twice, 2)
-        yield from done()
-
-    made = "row int, shard long, data binary"
-    parts = texts.mapInArrow(partial, made).repartition("row", "shard").sortWithinPartitions("row", "shard")
-    over = np.zeros((DEPTH, max(1, (1 << bits) // 8)), np.uint8)
-    step = (1 << shard_bits) // 8
-    for r in parts.mapInArrow(merged, made).toLocalIterator():
-        over[r["row"], r["shard"] * step : (r["shard"] + 1) * step] = np.frombuffer(r["data"], np.uint8)
-    return over
-
-
-def _estimated_repeated(keys: np.ndarray, over: np.ndarray, bits: int) -> np.ndarray:
-    """Whether each counter of a key is above one, in every row."""
-    found = np.ones(len(keys), bool)
-    for row in range(DEPTH):
-        cells = cells_of(keys, row, bits)
-        found &= (over[row][(cells >> np.uint64(3)).astype(np.int64)] >> (cells & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-    return found
-
-
 def _arrays(source: DataFrame, schema: str, rows, most: int = 1 << 16):
     """``rows(*values)`` of each row of ``source`` gives equally long lists or arrays, which are the rows of the result."""
     arrow = arrow_schema(source.sparkSession, schema)
@@ -184,12 +102,22 @@ def _arrays(source: DataFrame, schema: str, rows, most: int = 1 << 16):
     return source.mapInArrow(run, schema)
 
 
-def _known_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if rows <= limit else df
+def _travelling(texts: DataFrame) -> DataFrame:
+    """The last column, a text, as zstandard frames, a third of its size: what follows moves every text through a shuffle."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                frames = [None if t is None else pack(t.encode("utf-8", "surrogatepass")) for t in part.column(part.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(frames, pa.binary())], names=[*part.schema.names[:-1], "_frame"])
+
+    return texts.mapInArrow(run, StructType([*texts.schema.fields[:-1]]).add("_frame", "binary"))
 
-def copied_places(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
-    """``_id``, ``_h1``, ``_all`` and ``_places`` of the texts that lose words, and how many values those rows hold.
+
+def copied_places(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``_id``, ``_h1``, ``_all`` and ``_places`` of the texts that lose words.
 
     ``_all``: every window is lost; else ``_places`` has for each lost window, as
     a sequence of words, the first word at which it starts. NULL keys are before and
@@ -203,15 +131,12 @@ def copied_places(docs: DataFrame, key: str = "doc_id", text: str = "text") -> t
     groups = written(known.groupBy("_h1", "_h2").agg(
         F.min("_id").alias("_first"), F.max("_id").alias("_latest"), F.max(F.octet_length("_text")).alias("_bytes")))
     size = groups.agg(F.sum("_bytes")).first()[0] or 0
-    bits = min(MOST_CELLS, max(LEAST_CELLS, (size // BYTES_A_CELL).bit_length()))
-    over = docs.sparkSession.sparkContext.broadcast(sketch(known.select("_text"), bits))
+    bits = countmin.bits_for(size // BYTES_A_CELL)
+    over = docs.sparkSession.sparkContext.broadcast(countmin.sketch(known.select("_text"), text_anchors, bits))
 
     def repeated(i, h1, h2, text):
-        words = split_words(text)
-        if len(words) < WIDTH:
-            return None
-        keys = np.unique(anchors(word_hashes(words)))
-        keys = keys[_estimated_repeated(keys, over.value, bits)]
+        keys = text_anchors(text)
+        keys = keys[countmin.estimated_repeated(keys, over.value, bits)]
         return [i] * len(keys), [h1] * len(keys), [h2] * len(keys), keys.view("<i8")
 
     several = groups.where("_first < _latest")
@@ -223,8 +148,8 @@ def copied_places(docs: DataFrame, key: str = "doc_id", text: str = "text") -> t
     shared = written(anchored.join(crowded, "anchor"))
     wanted = shared.groupBy("_id", "_h1").agg(F.collect_set("anchor").alias("_anchors"))
 
-    def windows(i, h1, text, wanted):
-        hashes = word_hashes(split_words(text))
+    def windows(i, h1, frame, wanted):
+        hashes = word_hashes(zstandard.decompress(frame).split())
         at = np.flatnonzero(np.isin(anchors(hashes), np.array(wanted, "<i8").view("<u8")))
         keys = window_keys(hashes)[at].view("<i8")
         order = np.lexsort((at, keys[:, 1], keys[:, 0]))
@@ -233,7 +158,7 @@ def copied_places(docs: DataFrame, key: str = "doc_id", text: str = "text") -> t
         keys, at = keys[first], at[first]
         return keys[:, 0], keys[:, 1], [i] * len(at), [h1] * len(at), at
 
-    texts = known.select("_id", "_h1", "_text").join(_known_small(wanted, shared.count()), ["_id", "_h1"])
+    texts = _travelling(known.select("_id", "_h1", "_text")).join(wanted, ["_id", "_h1"])
     started = written(_arrays(texts, f"k0 long, k1 long, _id {id_type}, _h1 long, place int", windows))
     least = started.groupBy("k0", "k1").agg(F.min("_id").alias("low"), F.max("_id").alias("high")).where("low < high").select("k0", "k1", "low")
     lost = started.join(least, ["k0", "k1"]).where("_id > low")
@@ -241,10 +166,9 @@ def copied_places(docs: DataFrame, key: str = "doc_id", text: str = "text") -> t
     later = known.select("_id", "_h1", "_h2").join(several, ["_h1", "_h2"]).where("_id > _first")
     copies = later.select("_id", "_h1").distinct().select("_id", "_h1", F.lit(None).cast("array<int>").alias("_places"), F.lit(True).alias("_all"))
     made = written(places.unionByName(copies))
-    rows = made.agg(F.sum(F.lit(1) + F.greatest(F.lit(0), F.size("_places")))).first()[0] or 0
     discard(groups, anchored, shared, started)
     over.unpersist()
-    return made, rows
+    return made
 
 
 def covered(hashes: np.ndarray, places: list[int]) -> np.ndarray:
@@ -264,55 +188,57 @@ def covered(hashes: np.ndarray, places: list[int]) -> np.ndarray:
     return np.cumsum(edges[:-1]) > 0
 
 
-def remove_copied(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``_row`` (all columns of ``docs``), ``n_words``, ``n_removed`` and ``kept``, the words left, with one space between.
+def remove_copied(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
+    """``_row`` (the columns ``keep``), ``n_words``, ``n_removed`` and ``kept``.
 
     A word goes if a window over it, judged on the whole input, also starts in a
-    row of a smaller key. NULL and empty texts have no words. Repeated rows lose the same words.
+    row of a smaller key. ``kept`` is a text as it is where it loses nothing, else
+    the words left, with one space between; with ``digest``, the SHA-256 of the
+    words left so joined, in either case. NULL and empty texts have no words.
+    Repeated rows lose the same words.
     """
-    lost, values = copied_places(docs, key, text)
-    of_text = whole(docs[text])
-    named = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[key].alias("_id"), F.xxhash64(of_text).alias("_h1"), of_text.alias("_text"))
-    joined = named.join(_known_small(lost, values), ["_id", "_h1"], "left").select("_row", "_text", "_all", "_places")
-
-    def cut(text: str, everything: bool | None, places: list[int] | None) -> tuple[int, int, str]:
-        words = split_words(text)
+    lost = copied_places(docs, key, text)
+    named = docs.select(F.struct(*[docs[c] for c in keep]).alias("_row"), docs[key].alias("_id"), F.xxhash64(whole(docs[text])).alias("_h1"), docs[text].alias("_text"))
+    joined = _travelling(named).join(lost, ["_id", "_h1"], "left").select("_row", "_frame", "_all", "_places")
+
+    def cut(frame: bytes | None, everything: bool | None, places: list[int] | None) -> tuple[int, int, str | None]:
+        if frame is None:
+            return 0, 0, hashlib.sha256().hexdigest() if digest else None
+        text = zstandard.decompress(frame)
+        words = text.split()
         n, gone = len(words), 0
         if everything and n >= WIDTH:
             words, gone = [], n
         elif places:
             under = covered(word_hashes(words), places)
             words, gone = [w for w, u in zip(words, under) if not u], int(under.sum())
-        return n, gone, b" ".join(words).decode("utf-8", "surrogatepass")
+        if digest:
+            return n, gone, hashlib.sha256(b" ".join(words)).hexdigest()
+        return n, gone, (b" ".join(words) if gone else text).decode("utf-8", "surrogatepass")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                made = [cut(t.as_py(), a.as_py(), p.as_py()) for t, a, p in zip(*part.columns[1:])]
+                made = [cut(f.as_py(), a.as_py(), p.as_py()) for f, a, p in zip(*part.columns[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *[pa.array([m[i] for m in made], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string()))]],
                     names=["_row", "n_words", "n_removed", "kept"])
 
-    from pyspark.sql.types import StructType
-
     schema = StructType([joined.schema["_row"]]).add("n_words", "long").add("n_removed", "long").add("kept", "string")
     return joined.mapInArrow(run, schema)
 
 
 def without_copied(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with all its columns, its texts without copied words; a text that loses none stays as it is."""
-    made = remove_copied(docs, key, text)
-    return made.select(*[
-        F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("_row")[c]).alias(c) if c == text else F.col("_row")[c].alias(c)
-        for c in docs.columns
-    ])
+    made = remove_copied(docs, [c for c in docs.columns if c != text] or [key], key, text)
+    return made.select(*[F.col("kept").alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``n_words``, ``n_removed`` and ``kept_sha256`` of each row."""
-    return remove_copied(docs, key, text).select(
-        F.col("_row")[key].alias(key), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return remove_copied(docs, [key], key, text, digest=True).select(
+        F.col("_row")[key].alias(key), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
 SQL = f"""

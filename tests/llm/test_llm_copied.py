@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from samples import clashing, empty_table, odd_rows, rows_of, words
 
-from leakscan.llm import copied
+from leakscan.llm import copied, countmin
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -47,10 +47,9 @@ def shared_rows(seed=3):
 
 @pytest.mark.parametrize("small", [False, True])
 def test_words_of_copied_windows_go(spark, monkeypatch, small):
-    if small:  # a sketch that says "repeated" of nearly all, several shards, tables that are joined by a shuffle
-        for name, value in (("LEAST_CELLS", 6), ("MOST_CELLS", 6), ("SHARD", 4), ("BUFFER", 50), ("BROADCAST_ROWS", 0)):
-            monkeypatch.setattr(copied, name, value)
-        monkeypatch.setattr(copied._known_small, "__defaults__", (0,))
+    if small:  # a sketch that says "repeated" of nearly all, and several shards
+        for name, value in (("LEAST", 6), ("MOST", 6), ("SHARD", 4), ("BUFFER", 50)):
+            monkeypatch.setattr(countmin, name, value)
     rows = shared_rows()
     df = clashing(spark.createDataFrame(rows, SCHEMA).repartition(5))
     got = copied.digests(df)
@@ -75,15 +74,15 @@ def test_the_sketch_never_counts_too_low(spark):
     both = texts + [" ".join(t.split()[10:80]) for t in texts[:15]]
     df = spark.createDataFrame([(t,) for t in both], "text string").repartition(4)
     for bits in (6, 20):
-        over = copied.sketch(df, bits)
+        over = countmin.sketch(df, copied.text_anchors, bits)
         seen = {}
         for t in both:
             for a in np.unique(copied.anchors(copied.word_hashes(t.encode().split()))):
                 seen[int(a)] = seen.get(int(a), 0) + 1
         repeated = np.array([a for a, n in seen.items() if n > 1], "<u8")
-        assert len(repeated) and copied._estimated_repeated(repeated, over, bits).all()
+        assert len(repeated) and countmin.estimated_repeated(repeated, over, bits).all()
     once = np.array([a for a, n in seen.items() if n == 1], "<u8")
-    assert copied._estimated_repeated(once, over, 20).mean() < 0.01
+    assert countmin.estimated_repeated(once, over, 20).mean() < 0.01
 
 
 def test_equal_windows_have_equal_keys_and_anchors():

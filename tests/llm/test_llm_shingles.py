@@ -8,7 +8,7 @@ from samples import clashing, empty_table, odd_rows, odd_table, words
 from test_llm_dedup import sets
 
 import corpus_pipeline
-from leakscan.llm import shingles
+from leakscan.llm import countmin, shingles
 
 DATA = "/root/testdata/sf0.001"
 
@@ -58,8 +58,12 @@ def test_prefixes_of_sets_alike_meet():
         base = np.unique(rnd.integers(0, 1 << 63, rnd.integers(1, 60), dtype=np.uint64))
         other = np.unique(np.r_[base[rnd.random(len(base)) < 0.92], rnd.integers(0, 1 << 63, rnd.integers(0, 4), dtype=np.uint64)])
         last = np.sort(rnd.choice(base, rnd.integers(0, len(base) + 1), replace=False))
+        over = rnd.integers(0, 256, (1, 8), dtype=np.uint8)  # a sketch of 64 counters that says "repeated" of what both hold
+        for value in np.intersect1d(base, other):
+            cell = int(countmin.cells_of(np.array([value]), 0, 6)[0])
+            over[0, cell >> 3] |= 1 << (cell & 7)
         if len(other) and shingles.alike(base, other):
-            assert len(np.intersect1d(shingles.prefix(base, last), shingles.prefix(other, last)))
+            assert len(np.intersect1d(shingles.prefix(base, over, 6, last), shingles.prefix(other, over, 6, last)))
 
 
 def test_marks_differ_in_no_more_bits_than_shingles():
