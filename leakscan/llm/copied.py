@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from leakscan.llm import countmin
-from leakscan.llm.common import arrow_schema, discard, whole, written
+from leakscan.llm.common import arrow_schema, discard, small_batches, whole, written
 from leakscan.llm.countmin import mixed
 
 WIDTH = 50  # words of a window
@@ -197,7 +197,8 @@ def remove_copied(docs: DataFrame, keep: list[str], key: str = "doc_id", text: s
     words left so joined, in either case. NULL and empty texts have no words.
     Repeated rows lose the same words.
     """
-    lost = copied_places(docs, key, text)
+    with small_batches(docs.sparkSession):
+        lost = copied_places(docs, key, text)
     named = docs.select(F.struct(*[docs[c] for c in keep]).alias("_row"), docs[key].alias("_id"), F.xxhash64(whole(docs[text])).alias("_h1"), docs[text].alias("_text"))
     joined = _travelling(named).join(lost, ["_id", "_h1"], "left").select("_row", "_frame", "_all", "_places")
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 DEPTH = 2  # rows of the sketch
 LEAST, MOST = 20, 29  # binary logarithms of a row's counters; 2**29 of them are 64 MB a row as bits
 SHARD = 17  # binary logarithm of the counters that are merged in one piece
-BUFFER = 1 << 21  # keys that a task sketches at once
+BUFFER = 1 << 19  # keys that a task sketches at once, 4 MB and some copies of it
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
