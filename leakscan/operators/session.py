@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from leakscan.functions.text import byte_tail
 from leakscan.operators.match import MatchOptions
 from leakscan.operators.normalize import normalize_content
-from leakscan.operators.ordered import seconds, time_bucket, with_carry
+from leakscan.operators.ordered import greedy_gate, key_text, seconds, time_bucket, with_carry
 from leakscan.operators.scan import scan
 from leakscan.operators.score import ScoreConfig
 from leakscan.sources.rules import RuleSet
@@ -32,12 +32,14 @@ def session_combine(pastes: DataFrame, session: str = "session_id", ts: str = "t
 
     Only the last ``ttl`` seconds matter, so rows are windowed per session and
     time slot, and each row is also handed, without its text, to the next slot.
-    One busy session is thus shared by as many tasks as it has slots.
+    One busy session is thus shared by as many tasks as it has slots. Pastes with
+    no session, or an empty one, are strangers to each other and stay where they are.
     """
     tail = byte_tail(F.coalesce(F.col(text), F.lit("")), tail_bytes)
     if ended:
         tail = F.when(F.coalesce(F.col(ended), F.lit(False)), "").otherwise(tail)
-    marked = pastes.withColumns({"_tail": tail, "_at": seconds(F.col(ts))})
+    named = F.coalesce(F.col(session).cast("string"), F.lit("")) != ""
+    marked = pastes.filter(named).withColumns({"_tail": tail, "_at": seconds(F.col(ts))})
     copies = marked.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_copy")).withColumns({
         "_slot": time_bucket(F.col(ts), ttl) + F.col("_copy"),
         # the copy for the next slot needs neither the text nor anything else
@@ -45,10 +47,11 @@ def session_combine(pastes: DataFrame, session: str = "session_id", ts: str = "t
     })
     in_slot = Window.partitionBy(session, "_slot").orderBy(ts, *order)
     seen = copies.withColumns({"_prev_tail": F.lag("_tail").over(in_slot), "_prev_at": F.lag("_at").over(in_slot)})
-    alive = (F.coalesce(F.col(session).cast("string"), F.lit("")) != "") & (F.col("_at") - F.col("_prev_at") <= ttl)
+    alive = F.col("_at") - F.col("_prev_at") <= ttl
     prior = F.coalesce(F.when(alive, F.col("_prev_tail")), F.lit(""))
     own = F.coalesce(F.col(text), F.lit(""))
-    return seen.filter("_copy = 0").withColumn("prior_tail", prior).select(
+    alone = pastes.filter(~named).withColumn("prior_tail", F.lit(""))
+    return seen.filter("_copy = 0").withColumn("prior_tail", prior).select(*pastes.columns, "prior_tail").unionByName(alone).select(
         *pastes.columns, "prior_tail",
         F.when(F.col("prior_tail") == "", own).otherwise(F.concat("prior_tail", F.lit(sep), own)).alias("combined"),
     )
@@ -91,24 +94,25 @@ def _fold_runs(rows: DataFrame, key: str, at: str, order: tuple[str, ...], step,
     A run is streamed through its task in Arrow batches with one small state, so
     its length does not matter to memory. Runs of one key are independent and
     spread over tasks; a key that never rests is one run, in sequence by nature.
+    All other columns pass as they are.
     """
     schema = rows.drop("_run").schema.add(flag, "boolean")
     columns = [f.name for f in schema][:-1]
     # rows without a key are one key of their own; as text it equals itself, which a missing number does not
-    rows = rows.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
+    rows = rows.withColumn("_key", key_text(F.col(key)))
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = None, None
         for batch in batches:
             flags = []
-            for k, run, t in zip(batch["_key"], batch["_run"], batch[at]):
+            for k, run, t in zip(*[batch.column(c).to_pylist() for c in ("_key", "_run", at)]):
                 if (k, run) != current:
                     current, state = (k, run), None
                 state, admitted = step(state, t)
                 flags.append(admitted)
-            yield batch[columns].assign(**{flag: flags})
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(flags, pa.bool_())], names=[*columns, flag])
 
-    return rows.repartition("_key", "_run").sortWithinPartitions("_key", "_run", at, *order).mapInPandas(walk, schema)
+    return rows.repartition("_key", "_run").sortWithinPartitions("_key", "_run", at, *order).mapInArrow(walk, schema)
 
 
 def throttle(requests: DataFrame, rate: float, burst: int, key: str = "key", ts: str = "ts", order: tuple[str, ...] = ()) -> DataFrame:
@@ -138,18 +142,17 @@ def repeat_suppress(reads: DataFrame, key: str = "key", ts: str = "ts", order: t
     those over ``max_length``, if given) are skipped, and so is a text equal to
     the last one scanned. Reads without a key are one key of their own. Of reads
     at one instant the first by ``order`` counts, any one if that leaves a tie.
+    Reads without a time come first, all at one instant.
     """
-    def step(state, at):
-        return (at, True) if state is None or at - state >= interval else (state, False)
-
     body = F.coalesce(F.col(text), F.lit(""))
     usable = F.length(body) > 0
     if max_length is not None:
         usable = usable & (F.length(body) <= max_length)
-    timed = reads.withColumns({"_at": seconds(F.col(ts)), "_digest": F.when(usable, F.sha2(body.cast("binary"), 256))})
+    timed = reads.withColumns({
+        "_at": F.coalesce(seconds(F.col(ts)), F.lit(float("-inf"))), "_digest": F.when(usable, F.sha2(body.cast("binary"), 256))})
     # flags stay on the rows, so neither a tie nor a missing key can lose them
-    gated = _fold_runs(_rest_points(timed, key, "_at", order, interval), key, "_at", order, step, "_read")
+    gated = greedy_gate(timed, key, "_at", order, interval, "_read", "_piece")
     seen = gated.withColumn("_digest", F.when(F.col("_read"), F.col("_digest")))
-    carried = with_carry(seen, [key], ["_at", *order], F.floor(F.col("_at") / 3600.0), lasts=["_digest"])
+    carried = with_carry(seen, [key], ["_at", *order], F.col("_piece"), lasts=["_digest"])
     fresh = F.col("_digest").isNotNull() & ~F.col("_digest").eqNullSafe(F.col("last__digest"))
     return carried.select(*reads.columns, fresh.alias("scanned"))

@@ -17,7 +17,7 @@ from leakscan.plans.tables import PLANTED_SQL, planted_documents, spread, table
 from leakscan.sources.builtin import RULES
 from leakscan.session import shared_dir
 from leakscan.sources.rules import Pattern, RuleSet
-from leakscan.streaming.processors import repeat_suppress_stream, session_combine_stream, throttle_stream
+from leakscan.streaming.processors import active_sessions_stream, notify_once, repeat_suppress_stream, session_combine_stream, throttle_stream
 
 # --- sessions ----------------------------------------------------------------
 
@@ -348,3 +348,68 @@ def repeat_suppress_stream_query(spark, sf):
         return repeat_suppress_stream(keyed, order=("event_id",), interval=18000.0).select("event_id", "scanned")
 
     return _streamed(spark, sf, "events", gate)
+
+
+# --- sessions without a name ---------------------------------------------------
+
+# every third conversation has no session, every other third an empty one
+_STRANGE = f"""SELECT * REPLACE (CASE session_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE CAST(session_id AS VARCHAR) END AS session_id) FROM ({_PASTES})"""
+_STRANGERS = f"""SELECT record_id, CASE WHEN prior = '' THEN content ELSE prior || chr(10) || content END AS combined, prior, content FROM (
+  SELECT *, coalesce(CASE WHEN session_id <> '' AND sec - lag(sec) OVER s <= 30 THEN lag({_tail_sql('content')}) OVER s END, '') AS prior FROM ({_STRANGE})
+  WINDOW s AS (PARTITION BY session_id ORDER BY sec, turn))"""
+
+
+def _strange(pastes):
+    kind = F.col("session_id") % 3
+    return pastes.withColumn("session_id", F.when(kind == 1, "").when(kind == 2, F.col("session_id").cast("string")))
+
+
+@query("t1_session_combine_strangers", _HASHED.format(_STRANGERS))
+def session_strangers_query(spark, sf):
+    return _hashed(session_combine(_strange(_pastes(spark, sf)), order=("turn",), text="content"))
+
+
+@query("t2_session_combine_strangers_stream", _HASHED.format(_STRANGERS))
+def session_strangers_stream_query(spark, sf):
+    def combine(rows):
+        return _hashed(session_combine_stream(_strange(_as_pastes(rows)), order=("turn",), text="content"))
+
+    return _streamed(spark, sf, "conversations", combine)
+
+
+# a window closes when a paste comes that is a minute later than its end
+_CLOSED = f"""SELECT CAST(t * 10 AS DOUBLE) AS tick, count(DISTINCT session_id) AS active FROM (
+  SELECT session_id, unnest(generate_series(CAST(ceil(sec / 10.0) AS BIGINT), CAST(floor((sec + 30) / 10.0) AS BIGINT))) AS t FROM ({_PASTES}))
+  WHERE t * 10 < (SELECT max(sec) FROM ({_PASTES})) - 60 GROUP BY t"""
+
+
+@query("t4_active_sessions_stream", _CLOSED)
+def active_sessions_stream_query(spark, sf):
+    return _streamed(spark, sf, "conversations", lambda rows: active_sessions_stream(_as_pastes(rows)))
+
+
+SKETCH_SPREAD = 0.01
+
+
+@query("t4_active_sessions_sketch_stream", f"SELECT tick, true AS near FROM ({_CLOSED})")
+def active_sessions_sketch_query(spark, sf):
+    """Ticks at which a sketch's estimate is within five standard deviations (and one session) of the exact count."""
+    sketched = _streamed(spark, sf, "conversations", lambda rows: active_sessions_stream(_as_pastes(rows), spread=SKETCH_SPREAD))
+    exact = active_sessions(_pastes(spark, sf)).withColumnRenamed("active", "exact")
+    off = F.abs(F.col("active") - F.col("exact"))
+    return sketched.join(exact, "tick").select("tick", (off <= F.greatest(F.lit(1.0), 5 * SKETCH_SPREAD * F.col("exact"))).alias("near"))
+
+
+# notices of one user and kind do not repeat within six hours
+@query("m8_notify_once_stream", """WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS at,
+    row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events),
+  f AS (SELECT event_id, user_id, event_type, i, at AS passed, true AS told FROM e WHERE i = 1
+    UNION ALL SELECT e.event_id, e.user_id, e.event_type, e.i, CASE WHEN e.at - passed >= 21600000000 THEN e.at ELSE passed END, e.at - passed >= 21600000000
+    FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.i = f.i + 1)
+  SELECT event_id, user_id FROM f WHERE told""")
+def notify_once_query(spark, sf):
+    def notices(rows):
+        kept = rows.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+        return notify_once(kept, "event_type", within=21600.0, by=("user_id",), order=("event_id",)).select("event_id", "user_id")
+
+    return _streamed(spark, sf, "events", notices)

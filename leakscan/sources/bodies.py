@@ -6,7 +6,7 @@ import email.message
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leakscan.functions.base64text import decode_base64_text
@@ -63,17 +63,18 @@ def multipart_parts(data: bytes, content_type: str) -> list[tuple[str, bytes]]:
     return parts
 
 
-def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        opened, ok, names, parts = [], [], [], []
-        for kind, encoding, data in zip(batch["content_type"], batch["content_encoding"], batch["body"]):
-            raw, fine = inflate(bytes(data) if data is not None else b"", encoding)
-            found = multipart_parts(raw, kind) if "multipart/form-data" in (kind or "") else []
-            opened.append(None if found else raw)
-            ok.append(fine)
-            names.append([n for n, _ in found])
-            parts.append([b for _, b in found])
-        yield batch[["_id"]].assign(raw=opened, encoding_ok=ok, names=names, parts=parts)
+def _unpacked(batch: pa.RecordBatch) -> list[pa.Array]:
+    """Raw bytes, whether the encoding was right, and names and bytes of the parts, for each body of a batch."""
+    opened, ok, names, parts = [], [], [], []
+    for kind, encoding, data in zip(*[batch.column(c).to_pylist() for c in ("content_type", "content_encoding", "body")]):
+        raw, fine = inflate(data if data is not None else b"", encoding)
+        found = multipart_parts(raw, kind) if "multipart/form-data" in (kind or "") else []
+        opened.append(None if found else raw)
+        ok.append(fine)
+        names.append([n for n, _ in found])
+        parts.append([b for _, b in found])
+    types = (pa.binary(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.binary()))
+    return [pa.array(v, t) for v, t in zip((opened, ok, names, parts), types)]
 
 
 def extract_body_text(bodies: DataFrame, key: str = "record_id") -> DataFrame:
@@ -91,13 +92,13 @@ def extract_body_text(bodies: DataFrame, key: str = "record_id") -> DataFrame:
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in columns]
                        + ["_raw binary", "encoding_ok boolean", "_names array<string>", "_parts array<binary>"])
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = next(_unpack(iter([batch.assign(_id=batch[key])])))
-            yield batch[[f for f in batch.columns if f != "body"]].assign(
-                _raw=out["raw"].values, encoding_ok=out["encoding_ok"].values, _names=out["names"].values, _parts=out["parts"].values)
+            others = [c for c in batch.schema.names if c != "body"]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in others], *_unpacked(batch)], names=[*others, "_raw", "encoding_ok", "_names", "_parts"])
 
-    opened = bodies.filter(packed).mapInPandas(unpack, schema)
+    opened = bodies.filter(packed).mapInArrow(unpack, schema)
     both = ready.drop("body").unionByName(opened)
     text = both.withColumn("text", _body_text(kind, F.col("_raw"), F.col("_names"), F.col("_parts")))
     return text.drop("_raw", "_names", "_parts")
