@@ -401,10 +401,10 @@ def active_sessions_sketch_query(spark, sf):
 
 
 # notices of one user and kind do not repeat within six hours
-@query("m8_notify_once_stream", """WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS at,
+@query("m8_notify_once_stream", """WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS us,
     row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events),
-  f AS (SELECT event_id, user_id, event_type, i, at AS passed, true AS told FROM e WHERE i = 1
-    UNION ALL SELECT e.event_id, e.user_id, e.event_type, e.i, CASE WHEN e.at - passed >= 21600000000 THEN e.at ELSE passed END, e.at - passed >= 21600000000
+  f AS (SELECT event_id, user_id, event_type, i, us AS passed, true AS told FROM e WHERE i = 1
+    UNION ALL SELECT e.event_id, e.user_id, e.event_type, e.i, CASE WHEN e.us - passed >= 21600000000 THEN e.us ELSE passed END, e.us - passed >= 21600000000
     FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.i = f.i + 1)
   SELECT event_id, user_id FROM f WHERE told""")
 def notify_once_query(spark, sf):
