@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from leakscan.llm.common import settled, whole
 
 WINDOW = 8  # tokens; an item of fewer is one window of its own length
-SHORTEST = 3  # items with fewer tokens than this never match
+SHORTEST = 3  # items with fewer tokens than this match only texts that have no other tokens
 COVER = 0.3  # part of an item's different windows that a document must hold
-RUN = 13  # tokens in one alignment that are a leak whatever part of the item they are, where a caller asks for it
+RUN = 13  # tokens in one alignment that are a leak whatever part of the item they are
 BROADCAST_ROWS = 100_000  # about 10 MB of windows or hits; beyond it, joins are shuffled
 NAME_MARK, UNIT_MARK = "\x01", "\x02"
 # Units of measurement.
@@ -48,7 +48,8 @@ def template(token: Column) -> Column:
 def _windows(hashes: str, size: int) -> Column:
     """Hashes of all windows of ``size`` tokens, with their places."""
     at = F.col(hashes)
-    places = F.when(F.size(at) >= size, F.sequence(F.lit(0), F.size(at) - size)).otherwise(F.array().cast("array<int>"))
+    fits = F.size(at) >= size if size >= SHORTEST else F.size(at) == size  # so short a window says something only of a whole text
+    places = F.when(fits, F.sequence(F.lit(0), F.size(at) - size)).otherwise(F.array().cast("array<int>"))
     return F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(size), *[F.get(at, i + k) for k in range(size)]).alias("window")))
 
 
@@ -62,9 +63,9 @@ def _placed(texts: DataFrame, keep: list[str], sizes: list[int]) -> DataFrame:
 def benchmark_windows(items: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """Each different window of each item with its first place, ``size`` and ``of``, the item's count of them."""
     tokenised = items.where(F.col(text).isNotNull()).select(F.col(item).alias("item_id"), tokens(F.col(text)).alias("_tokens")).distinct()
-    sized = tokenised.withColumn("size", F.least(F.size("_tokens"), F.lit(window))).where(F.col("size") >= SHORTEST)
+    sized = tokenised.withColumn("size", F.least(F.size("_tokens"), F.lit(window))).where(F.col("size") > 0)
     parts = [
-        _placed(sized.where(F.col("size") == s), ["item_id", "size"], [s]) for s in range(SHORTEST, window + 1)
+        _placed(sized.where(F.col("size") == s), ["item_id", "size"], [s]) for s in range(1, window + 1)
     ]
     placed = parts[0]
     for part in parts[1:]:
@@ -83,17 +84,18 @@ def _same(left: str, right: str) -> Column:
     return F.col(left).eqNullSafe(F.col(right))
 
 
-def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, cover: float = COVER, run: int | None = None) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, cover: float = COVER, run: int | None = RUN) -> DataFrame:
     """Pairs of document and item: ``key``, ``_print`` (of the text), item_id, n_windows, of, coverage, kind.
 
     A pair is there if the windows that line up consistently with the item are
-    at least ``cover`` of its different ones, or, with ``run``, if the windows of
-    one such alignment hold that many tokens. ``kind`` is "verbatim" if some
+    at least ``cover`` of its different ones, or, unless ``run`` is None, if the windows of
+    one such alignment hold that many tokens. An item without a full window is one
+    window; one of fewer than ``SHORTEST`` tokens matches a text of just these. ``kind`` is "verbatim" if some
     alignment has all values unchanged, else "reparameterised". NULL and empty
     texts match nothing; repeated rows give one pair.
     """
     known = settled(benchmark_windows(items, window=window))
-    sizes = sorted(r[0] for r in known.select("size").distinct().collect()) or [window]  # window - 2 sizes at most
+    sizes = sorted(r[0] for r in known.select("size").distinct().collect()) or [window]  # as many sizes as a window has tokens, at most
     named = docs.select(F.col(key).alias("_key"), F.xxhash64(whole(F.col(text))).alias("_print"), whole(F.col(text)).alias("_text"))
     tokenised = named.select("_key", "_print", tokens(F.col("_text")).alias("_tokens"))
     hits = settled(
@@ -148,7 +150,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
         F.max("n_windows").alias("n_windows"), F.max("coverage").alias("coverage"), F.max("kind").alias("kind"))
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", run: int | None = None) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", run: int | None = RUN) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text holds no leak; ``run`` as in :func:`matches`."""
     found = settled(matches(docs, items, key, text, run=run).select(F.col(key).alias("_leak_key"), F.col("_print").alias("_leak_print")).distinct())
     mine = F.xxhash64(whole(docs[text]))

@@ -18,7 +18,7 @@ def sample_texts(docs: DataFrame, marks: DataFrame, key: str, text: str, mark: s
     placed = clear.select("_key", "_mark", drawn_at)
     # twice as many as are wanted pass by their draw alone, so no task ranks more than about that
     counts = placed.groupBy("_mark").agg(F.count("*").alias("_n"))
-    near = placed.join(counts, "_mark").where(F.col("_at") * F.col("_n") < 2 * each)
+    near = placed.join(F.broadcast(counts), "_mark")  # a row for each mark, the labels there are.where(F.col("_at") * F.col("_n") < 2 * each)
     rank = F.row_number().over(Window.partitionBy("_mark").orderBy("_at", "_key"))
     drawn = near.select("_key", "_mark", "_at", rank.alias("_rank")).where(F.col("_rank") <= each).drop("_rank")
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.length("_text") > 0)

@@ -113,7 +113,7 @@ def decontaminate_sql() -> str:
     def windows(source: str, keys: str, size: str) -> str:
         return (f"SELECT {keys}, {size} AS size, unnest(range(1, len(tpl) - {size} + 2)) AS place, "
                 f"unnest(list_transform(range(1, len(tpl) - {size} + 2), lambda i: array_to_string(tpl[i:i + {size} - 1], ' '))) AS w "
-                f"FROM {source} WHERE len(tpl) >= {size}")
+                f"FROM {source} WHERE len(tpl) >= {size} AND ({size} >= {d.SHORTEST} OR len(tpl) = {size})")
 
     return f"""
 WITH items AS (
@@ -124,14 +124,16 @@ WITH items AS (
   SELECT doc_id, text, tok, list_transform(tok, lambda x: {template('x')}) AS tpl FROM (SELECT doc_id, text, {tokens('text')} AS tok FROM texts)
 ), known AS (
   SELECT item_id, size, w, min(place) AS item_at FROM ({windows('(SELECT *, least(len(tpl), ' + str(w) + ') AS n FROM items)', 'item_id', 'n')})
-  WHERE size >= {d.SHORTEST} GROUP BY ALL
+  WHERE size > 0 GROUP BY ALL
+), sizes AS (
+  SELECT DISTINCT size AS n FROM known
 ), counted AS (
   SELECT *, count(*) OVER (PARTITION BY item_id) AS of_all FROM known
 ), hits AS (
   SELECT DISTINCT doc_id, text, item_id, place - item_at AS shift, item_at, of_all
-  FROM ({windows('docs', 'doc_id, text', str(w))}) JOIN counted USING (size, w)
+  FROM ({windows('docs, sizes', 'doc_id, text', 'n')}) JOIN counted USING (size, w)
 ), lined AS (
-  SELECT doc_id, text, item_id, shift, min(item_at) AS low, max(item_at) + {w} - 1 AS high FROM hits GROUP BY ALL
+  SELECT doc_id, text, item_id, shift, min(item_at) AS low, max(item_at) + {w} - 1 AS high, count(*) AS line FROM hits GROUP BY ALL
 ), valued AS (
   SELECT l.*, unnest(range(greatest(low, 1 - shift), high + 1)) AS i FROM lined l
 ), slots AS (
@@ -139,14 +141,14 @@ WITH items AS (
   FROM valued v JOIN items t USING (item_id) JOIN docs x ON x.doc_id = v.doc_id AND x.text = v.text
   WHERE t.tok[v.i] < ':' AND t.tpl[v.i] = x.tpl[v.i + v.shift]
 ), checked AS (
-  SELECT l.doc_id, l.text, l.item_id, l.shift, coalesce(bool_or(s.item_value <> s.doc_value), false) AS changed
+  SELECT l.doc_id, l.text, l.item_id, l.shift, max(l.line) AS line, coalesce(bool_or(s.item_value <> s.doc_value), false) AS changed
   FROM lined l LEFT JOIN slots s USING (doc_id, text, item_id, shift) GROUP BY ALL
   HAVING count(DISTINCT s.item_value) = count(DISTINCT (s.item_value, s.doc_value)) FILTER (s.item_value IS NOT NULL)
 ), found AS (
-  SELECT doc_id, text, item_id, count(DISTINCT item_at) AS n_windows, max(of_all) AS of_all, min(changed) AS changed
+  SELECT doc_id, text, item_id, count(DISTINCT item_at) AS n_windows, max(of_all) AS of_all, min(changed) AS changed, max(line) AS line
   FROM hits JOIN checked USING (doc_id, text, item_id, shift) GROUP BY ALL
 )
 SELECT doc_id, item_id, max(n_windows) AS n_windows, max(n_windows / of_all) AS coverage,
   max(CASE WHEN changed THEN 'reparameterised' ELSE 'verbatim' END) AS kind
-FROM found WHERE n_windows / of_all >= {d.COVER} GROUP BY doc_id, item_id
+FROM found WHERE n_windows / of_all >= {d.COVER} OR line + {w} - 1 >= {d.RUN} GROUP BY doc_id, item_id
 """

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 from samples import clashing, empty_table, odd_rows, odd_table, words
@@ -126,7 +127,10 @@ def test_coverage_beside_a_plain_search(spark):
         for d, text in enumerate(texts):
             t = plain_tokens(text)
             hit = windows & {tuple(t[a : a + size]) for a in range(len(t) - size + 1)}
-            if size >= dec.SHORTEST and len(hit) / len(windows) >= dec.COVER:
+            if size < dec.SHORTEST:
+                hit = hit if len(t) == size else set()
+            lined = Counter(j - i for i in range(len(k) - size + 1) for j in range(len(t) - size + 1) if k[i : i + size] == t[j : j + size])
+            if len(hit) / len(windows) >= dec.COVER or size == dec.WINDOW and max(lined.values(), default=0) + size - 1 >= dec.RUN:
                 want[(d, i)] = len(hit) / len(windows)
     assert got == want and want
 
