@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from leakscan.operators.lookup import lookup
+from leakscan.session import settle
 
 # Counters, lengths of histories, finding document.
 COUNTERS = ("dns_queries_total", "dns_blocks_total", "dlp_scans_total", "dlp_blocks_total", "tamper_detections_total")
@@ -70,29 +68,35 @@ def findings_summary(verdicts: DataFrame) -> DataFrame:
 
 
 def _with_commas(rows: DataFrame, order: list[str], line: str) -> DataFrame:
-    """A comma before every line but the first of the order; only that one key comes to the driver."""
-    first = rows.agg(F.min(F.struct(*order)).alias("first")).first()["first"]
-    if first is None:
-        return rows
-    is_first = reduce(and_, [F.col(c) == F.lit(first[c]) for c in order])
-    return rows.withColumn(line, F.concat(F.when(is_first, "").otherwise(","), F.col(line)))
+    """A comma before every line but the first, and ``position``, which follows the order.
+
+    Rows are dealt by ranges, sorted and numbered where they lie, and written; the
+    first is the one of the least number. So neither repeated rows nor missing keys
+    are taken for it, and no key comes to the driver.
+    """
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = settle(dealt.withColumn("position", F.monotonically_increasing_id()))
+    first = placed.agg(F.min("position").alias("position")).withColumn("_first", F.lit(True))  # one row
+    told = placed.join(F.broadcast(first), "position", "left")
+    return told.withColumn(line, F.concat(F.when(F.col("_first"), "").otherwise(","), F.col(line))).drop("_first")
 
 
 def findings_lines(verdicts: DataFrame, file: str = "file") -> DataFrame:
-    """The findings document as lines (section, sort_key, line).
+    """The findings document as lines (section, sort_key, line, position).
 
-    Sorted by section and sort_key and written one after the other the lines are
-    one JSON document; no task holds all findings. The verdicts are read several
+    Sorted by section and position and written one after the other the lines are
+    one JSON document; no task holds all findings. Repeated rows stay, and files
+    without a name come first. The verdicts are read several
     times, so pass a written table (``session.settle``).
     """
-    s = findings_summary(verdicts)
+    s, zero = findings_summary(verdicts), F.lit(0).cast("long").alias("position")
     head = s.select(F.lit(0).alias("section"), F.lit("").alias("sort_key"), F.concat(
         F.lit('{"scanned":'), F.col("scanned").cast("string"), F.lit(',"blocked":'), F.col("blocked").cast("string"),
-        F.lit(',"findings":[')).alias("line"))
+        F.lit(',"findings":[')).alias("line"), zero)
     found = findings(verdicts, file)
     body = found.select(F.lit(1).alias("section"), F.col("file").alias("sort_key"),
                         F.to_json(F.struct("file", "blocked", "pattern_name", "score")).alias("line"))
-    foot = s.select(F.lit(2).alias("section"), F.lit("").alias("sort_key"), F.lit("]}").alias("line"))
+    foot = s.select(F.lit(2).alias("section"), F.lit("").alias("sort_key"), F.lit("]}").alias("line"), zero)
     return head.unionByName(_with_commas(body, ["sort_key", "line"], "line")).unionByName(foot)
 
 
@@ -104,14 +108,14 @@ def sarif_results(found: DataFrame) -> DataFrame:
     """One SARIF result object per finding, as JSON."""
     region = F.struct(F.lit(1).alias("startLine"))
     place = F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
-    text = F.concat("file", F.lit(" has a match of "), "pattern_name")
+    text = F.concat(F.coalesce("file", F.lit("")), F.lit(" has a match of "), F.coalesce("pattern_name", F.lit("")))
     result = F.struct(F.col("pattern_name").alias("ruleId"), sarif_level(F.col("score")).alias("level"),
                       F.struct(text.alias("text")).alias("message"), F.array(place).alias("locations"))
     return found.select("file", "pattern_name", F.to_json(result).alias("result"))
 
 
 def sarif_lines(found: DataFrame, tool: str = "leakscan", uri: str = "", version: str = "dev") -> DataFrame:
-    """A SARIF 2.1.0 document as lines (section, sort_key, line); see :func:`findings_lines`."""
+    """A SARIF 2.1.0 document as lines (section, sort_key, line, position); see :func:`findings_lines`."""
     spark = found.sparkSession
     help_text = "This file holds what looks like a credential or personal data. Take it out, and replace it wherever it is in use."
     names = F.col("pattern_name")
@@ -123,10 +127,10 @@ def sarif_lines(found: DataFrame, tool: str = "leakscan", uri: str = "", version
     results = sarif_results(found).select(F.lit(3).alias("section"), F.col("file").alias("sort_key"), F.col("result").alias("line"))
     frame = spark.createDataFrame([
         (0, "", f'{{"$schema":"{SARIF_SCHEMA}","version":"{SARIF_VERSION}","runs":[{{"tool":{{"driver":'
-                f'{{"name":"{tool}","informationUri":"{uri}","version":"{version}","rules":['),
-        (2, "", ']}},"results":['),
-        (4, "", "]}]}"),
-    ], "section int, sort_key string, line string")
+                f'{{"name":"{tool}","informationUri":"{uri}","version":"{version}","rules":[', 0),
+        (2, "", ']}},"results":[', 0),
+        (4, "", "]}]}", 0),
+    ], "section int, sort_key string, line string, position long")
     return (
         frame.unionByName(_with_commas(rules, ["sort_key"], "line"))
         .unionByName(_with_commas(results, ["sort_key", "line"], "line"))
@@ -135,7 +139,7 @@ def sarif_lines(found: DataFrame, tool: str = "leakscan", uri: str = "", version
 
 def write_lines(lines: DataFrame, path: str) -> None:
     """Part files that give the document when read in the order of their names."""
-    lines.orderBy("section", "sort_key", "line").select("line").write.mode("overwrite").text(path)
+    lines.orderBy("section", "position").select("line").write.mode("overwrite").text(path)
 
 
 def privacy_sweep(df: DataFrame, forbidden: list[str], name: str = "table") -> DataFrame:
