@@ -27,6 +27,7 @@ TYPES = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4)}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 NAMES = {NONE: "none", LZW: "lzw", DEFLATE: "deflate", OLD_DEFLATE: "deflate", PACKBITS: "packbits"}
 CLEAR, END = 256, 257
+MOST_PACKED = 4096  # a byte of a file never stands for so many of its image
 
 
 class TiffError(ValueError):
@@ -192,6 +193,8 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
 
 def _field(fields: dict[int, tuple], tag: int, default: int | None = None) -> int:
     if tag in fields:
+        if not fields[tag]:
+            raise TiffError(f"tag {tag} is empty")
         return fields[tag][0]
     if default is None:
         raise TiffError(f"tag {tag} is missing")
@@ -210,10 +213,14 @@ def read_page(data: bytes, order: str, fields: dict[int, tuple]) -> dict:
         across, down = _field(fields, TILE_WIDTH), _field(fields, TILE_HEIGHT)
         offsets, sizes = fields[TILE_OFFSETS], fields.get(TILE_BYTES, ())
     else:
-        across, down = width, min(_field(fields, ROWS_PER_STRIP, height), height) or 1
+        across, down = width, min(_field(fields, ROWS_PER_STRIP, height), height)
         offsets, sizes = fields.get(STRIP_OFFSETS, ()), fields.get(STRIP_BYTES, ())
+    if not all(isinstance(x, int) and x > 0 for x in (width, height, samples, across, down)):
+        raise TiffError("an image, strip or tile of no size")
     planes, each = (samples, 1) if planar == 2 else (1, samples)
-    columns, lines = -(-width // across) if across else 0, -(-height // down) if down else 0
+    columns, lines = -(-width // across), -(-height // down)
+    if max(width * height, across * down) * samples * dtype.itemsize > MOST_PACKED * len(data):
+        raise TiffError("larger than its file can hold")
     if len(offsets) < planes * columns * lines or len(sizes) != len(offsets):
         raise TiffError("too few strips or tiles")
     page = np.zeros((height, width, samples), dtype)

@@ -93,6 +93,37 @@ def test_rgb_sixteen_bits_and_planes():
             assert page["pixels"] == image.astype("<u2").tobytes() and page["bits"] == 16 and page["samples"] == 3
 
 
+STRIP = {256: (3, [4]), 257: (3, [4]), 258: (3, [8]), 259: (3, [1]), 273: (4, None), 277: (3, [1]), 278: (3, [4]), 279: (4, [16])}
+TILE = {256: (3, [4]), 257: (3, [4]), 258: (3, [8]), 259: (3, [1]), 277: (3, [1]), 322: (3, [16]), 323: (3, [16]), 324: (4, None), 325: (4, [256])}
+
+
+@pytest.mark.parametrize("fields,tag", [(STRIP, 256), (STRIP, 257), (STRIP, 277), (STRIP, 278), (TILE, 322), (TILE, 323)])
+@pytest.mark.parametrize("values", [[0], [], [60_000]])
+def test_sizes_that_cannot_be(fields, tag, values):
+    size = 16 if fields is STRIP else 256
+    assert len(list(tiff.read_pages(build(fields, [bytes(size)])))) == 1
+    if (tag, values) != (278, [60_000]):  # a strip may be longer than its image
+        with pytest.raises(tiff.TiffError):
+            list(tiff.read_pages(build(fields | {tag: (3, values)}, [bytes(size)])))
+
+
+def test_any_bytes_give_pages_or_an_error():
+    rnd = random.Random(12)
+    image = np.arange(400, dtype=np.uint8).reshape(20, 20)
+    good = [tiff.write_tiff([image, image], kind, 2, tile) for kind in (tiff.NONE, tiff.PACKBITS, tiff.LZW, tiff.DEFLATE) for tile in (None, 16)]
+    good += [build(STRIP, [bytes(16)]), build(TILE, [bytes(256)])]
+    for _ in range(6000):
+        data = bytearray(rnd.choice(good))
+        (at,) = struct.unpack_from("<I", data, 4)
+        for _ in range(rnd.randint(1, 6)):  # mostly in the directory
+            place = rnd.randrange(at, len(data)) if rnd.random() < 0.8 else rnd.randrange(len(data))
+            data[place] = rnd.choice([0, 1, 255, rnd.randrange(256)])
+        try:
+            list(tiff.read_pages(bytes(data)))
+        except tiff.TiffError:
+            pass
+
+
 def test_broken_files_tell_why(spark):
     good = tiff.write_tiff([np.arange(64, dtype=np.uint8).reshape(8, 8)] * 2, tiff.DEFLATE)
     loop = bytearray(tiff.write_tiff([np.zeros((2, 2), np.uint8)]))
