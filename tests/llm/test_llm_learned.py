@@ -140,3 +140,48 @@ def test_the_whole_text_counts():
     start = good[0][1][:1000]
     assert scorer.score(good[1][1]) > 0.5 > scorer.score(bad[1][1])
     assert scorer.score((start + " ") * 3 + bad[2][1] * 12) < scorer.score((start + " ") * 3 + good[2][1] * 12)
+
+
+def test_scores_beside_plain_compression(spark):
+    """Every document's score, from sizes that are taken here, without the module's scorer."""
+    import zlib
+
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("documents", "labels"))
+    model = quality.learn(docs, labels)
+    dictionaries = [zstandard.ZstdCompressionDict(d) for d in (model.good, model.bad)]
+
+    def size(data, dictionary):
+        total = 0
+        for at in range(0, len(data), 2048):
+            packer = zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False)
+            total += len(packer.compress(data[at : at + 2048]))
+        return total
+
+    rows = {r.doc_id: r for r in quality.score(docs, model).collect()}
+    some = docs.select("doc_id", "text").collect()
+    assert len(rows) == len(some)
+    for doc_id, text in some:
+        data = (text or "").encode()
+        x = (size(data, dictionaries[1]) - size(data, dictionaries[0])) / len(data) if data else 0.0
+        want = 1 / (1 + math.exp(-(model.slope * x + model.base)))
+        got = rows[doc_id]
+        assert got.score == pytest.approx(want, abs=1e-12) and got.predicted == (got.score >= 0.5)
+        assert got.held_out == (zlib.crc32(str(doc_id).encode()) % 3 == 1)
+
+
+def test_the_curve_is_the_best_of_its_kind():
+    """No slope and base nearby explain the labels better, both labels weighing the same."""
+    rnd = np.random.default_rng(4)
+    x = np.r_[rnd.normal(0.1, 0.05, 40), rnd.normal(-0.02, 0.05, 90)]
+    y = np.r_[np.ones(40), np.zeros(90)]
+    weight, scale = np.where(y == 1, 0.5 / 40, 0.5 / 90) * len(y), x.std()
+
+    def loss(slope, base):
+        p = 1 / (1 + np.exp(-(slope * x + base)))
+        return -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() + 0.5 * (slope * scale) ** 2
+
+    slope, base = quality._curve(x, y)
+    for a, b in itertools.product((-0.02, 0, 0.02), repeat=2):
+        assert loss(slope, base) <= loss(slope * (1 + a), base + b) + 1e-9
