@@ -1,47 +1,172 @@
-"""Added lines of unified diffs."""
+"""Added lines of unified diffs.
+
+Lines are put in order once, per diff and slot of positions. A slot knows its own
+headers and hunks; what it takes over from earlier slots (the file it begins in, the
+steps so far, the last hunk) is worked out on a table with one row per slot, so a
+huge diff is shared by many tasks. Lines leave a slot as pieces, one for each run
+of a file.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+SLOT = 100_000  # positions of a diff that are ordered together
+_FLUSH = 20_000  # lines given out at once
+_NUMBERS = pa.struct([("start", pa.int64()), ("steps", pa.int64()), ("open", pa.int64())])
+_END = pa.struct([("file", pa.string()), ("steps", pa.int64()), ("open", pa.int64()), ("hunk", _NUMBERS)])
+_CONTEXT, _ADDED, _OTHER, _HEADER, _HUNK = range(5)
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each diff and slot, which come together."""
+    held: list[pa.RecordBatch] = []
+    current = None
+    for batch in batches:
+        begin = 0
+        for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            if key != current:
+                if i > begin:
+                    held.append(batch.slice(begin, i - begin))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, current, begin = [], key, i
+        held.append(batch.slice(begin))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _pieces_of(rows: pa.Table) -> tuple[pa.Table, list[dict], pa.Table]:
+    """Added lines of a slot, its pieces (number of lines, file), and the numbers of the lines.
+
+    ``inside`` numbers a line for a slot that begins in a file, ``outside`` for one that does
+    not; ``own`` says that the hunk is of the slot. The last piece says how the slot ends.
+    """
+    kind = rows.column("_kind").to_numpy()
+    start = rows.column("_start").fill_null(0).to_numpy()
+    value = rows.column("_value").combine_chunks()
+    places = np.arange(len(kind))
+    header = np.maximum.accumulate(np.where(kind == _HEADER, places, -1))
+    hunk = np.maximum.accumulate(np.where(kind == _HUNK, places, -1))
+    in_file = (header >= 0) & pc.not_equal(value, "").fill_null(False).to_numpy(zero_copy_only=False)[header]
+    known, open_ = (kind == _ADDED) & in_file, (kind == _ADDED) & (header < 0)
+    steps, opens = np.cumsum((kind == _CONTEXT) | known), np.cumsum(open_)
+    own = hunk >= 0
+    outside = steps - 1 + np.where(own, start[hunk] - steps[hunk], 0)
+    inside = outside + opens - np.where(own, opens[hunk], 0)
+    wanted = np.flatnonzero(known | open_)
+    cuts = np.flatnonzero(np.r_[True, np.diff(header[wanted]) != 0]) if len(wanted) else np.array([0])
+
+    def file_at(place: int) -> str | None:
+        return value[int(place)].as_py() if place >= 0 else None
+
+    pieces = [{"file": file_at(header[wanted[a]]) if len(wanted) else None, "n": int(b - a)} for a, b in zip(cuts, np.r_[cuts[1:], len(wanted)])]
+    last = int(hunk[-1])
+    end = {"file": file_at(header[-1]), "steps": int(steps[-1]), "open": int(opens[-1]), "hunk": None if last < 0 else {
+        "start": int(start[last]), "steps": int(steps[last]), "open": int(opens[last])}}
+    pieces[-1]["end"] = end
+    numbers = pa.table({"inside": inside[wanted], "outside": outside[wanted], "own": own[wanted]})
+    return rows.take(wanted), pieces, numbers
+
+
+def _pieces(lines: DataFrame, diff: str, pos: str, line: str, slot: int) -> DataFrame:
+    """(diff, _slot, file, lines, end): the added lines of each run of a file within a slot.
 
-from leakscan.operators.ordered import with_carry
+    ``file`` is NULL before the slot's first header. ``end`` is set for one piece of each slot.
+    """
+    text, kind = F.col("_line"), F.col("_kind")
+    tail = F.substring(text, 5, 1 << 30)
+    path = F.when(tail == "/dev/null", "").otherwise(F.regexp_replace(tail, r"\Ab/", ""))
+    digits = F.regexp_extract(text, r"\A[^+]*\+(-?[0-9]+)(?:[, ]|\z)", 1).try_cast("int")
+    kinds = (F.when(text.isNull(), _OTHER).when(text.startswith("+++ "), _HEADER).when(text.startswith("+"), _ADDED)
+             .when(text.startswith("@@"), _HUNK).when(text.startswith("-"), _OTHER).otherwise(_CONTEXT))
+    numbered = lines.select(diff, F.floor(F.col(pos) / slot).alias("_slot"), pos, F.col(line).alias("_line")).withColumn("_kind", kinds)
+    marked = numbered.select(
+        diff, "_slot", pos, "_kind", F.when(kind == _HUNK, F.when(digits >= 1, digits).otherwise(1)).cast("long").alias("_start"),
+        F.when(kind == _ADDED, F.substring(text, 2, 1 << 30)).when(kind == _HEADER, path).alias("_value"))
+    source = marked.repartition(diff, "_slot").sortWithinPartitions(diff, "_slot", pos)
+    end = "struct<file:string,steps:bigint,open:bigint,hunk:struct<start:bigint,steps:bigint,open:bigint>>"
+    types = dict(source.dtypes)
+    each = f"array<struct<pos:{types[pos]},content:string,inside:bigint,outside:bigint,own:boolean>>"
+    schema = f"`{diff}` {types[diff]}, _slot bigint, file string, lines {each}, end {end}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, found, numbers, pieces, held = [], [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            rows, counted = pa.concat_tables(found), pa.concat_tables(numbers)
+            columns = [rows.column(pos), rows.column("_value"), *counted.columns]
+            names = ["pos", "content", *counted.column_names]
+            structs = pa.StructArray.from_arrays([pa.concat_arrays(c.chunks) for c in columns], names=names)
+            offsets = np.r_[0, np.cumsum([p["n"] for p in pieces])].astype(np.int32)
+            ends = pa.array([p.get("end") for p in pieces], _END)
+            heads = pa.concat_tables(keys)
+            arrays = [pa.concat_arrays(heads.column(i).chunks) for i in range(2)]
+            arrays += [pa.array([p["file"] for p in pieces], pa.string()), pa.ListArray.from_arrays(pa.array(offsets), structs), ends]
+            return pa.RecordBatch.from_arrays(arrays, names=[diff, "_slot", "file", "lines", "end"])
+
+        for rows in _slots(batches):
+            lines_, made, numbered = _pieces_of(rows)
+            keys.append(rows.select([0, 1]).take([0] * len(made)))
+            found.append(lines_)
+            numbers.append(numbered)
+            pieces += made
+            held += len(lines_) + len(made)
+            if held >= _FLUSH:
+                yield out()
+                keys, found, numbers, pieces, held = [], [], [], [], 0
+        if pieces:
+            yield out()
+
+    return source.mapInArrow(run, schema)
+
+
+def _carried(pieces: DataFrame, diff: str) -> DataFrame:
+    """What each slot takes over: ``from`` (file, or empty), ``before`` (steps), ``last`` (start and steps of a hunk)."""
+    slots = pieces.filter("end IS NOT NULL").select(diff, "_slot", "end.*")
+    earlier = Window.partitionBy(diff).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    filed = slots.withColumn("from", F.coalesce(F.last("file", True).over(earlier), F.lit("")))
+    opened = F.when(F.col("from") == "", 0).otherwise(1)
+    counted = filed.withColumn("before", F.coalesce(F.sum(F.col("steps") + opened * F.col("open")).over(earlier), F.lit(0)))
+    hunk = F.when(F.col("hunk").isNotNull(), F.struct(
+        F.col("hunk.start").alias("start"), (F.col("before") + F.col("hunk.steps") + opened * F.col("hunk.open")).alias("steps")))
+    return counted.select(F.col(diff).alias("_of"), F.col("_slot").alias("_at"), "from", "before", F.last(hunk, True).over(earlier).alias("last"))
 
 
-def added_lines(lines: DataFrame, diff: str = "diff_id", pos: str = "pos", line: str = "line", slot: int = 100_000) -> DataFrame:
+def _filed(pieces: DataFrame, diff: str) -> DataFrame:
+    """Pieces that lie in a file, with it, and what their slot takes over."""
+    same = F.col(diff).eqNullSafe(F.col("_of")) & F.col("_slot").eqNullSafe(F.col("_at"))
+    joined = pieces.filter(F.size("lines") > 0).drop("end").join(_carried(pieces, diff), same)
+    return joined.withColumn("file", F.coalesce("file", "from")).filter("file <> ''")
+
+
+def _new_line(row: Column) -> Column:
+    number = F.when(F.col("from") == "", row["outside"]).otherwise(row["inside"])
+    carried = F.coalesce(F.col("last.start") - F.col("last.steps"), F.lit(0)) + F.col("before")
+    return (number + F.when(row["own"], 0).otherwise(carried)).cast("int")
+
+
+def added_lines(lines: DataFrame, diff: str = "diff_id", pos: str = "pos", line: str = "line", slot: int = SLOT) -> DataFrame:
     """Added lines (diff, pos, file, new_line, content) of diffs given line by line.
 
     The file and the hunk a line belongs to are the last headers before it, and
-    its number is the hunk's start plus the lines of the new file since. Both
-    are carried from slot to slot, so a huge diff is shared by many tasks.
+    its number is the hunk's start plus the lines of the new file since.
     """
-    text = F.col(line)
-    header = text.startswith("+++ ")
-    hunk = text.startswith("@@") & ~header
-    added = text.startswith("+") & ~header
-    path = F.regexp_replace(F.substring(text, 5, 1 << 30), r"\Ab/", "")
-    number = F.regexp_extract(text, r"\A[^+]*\+(-?[0-9]+)(?:[, ]|\z)", 1).try_cast("int")
-    start = F.when(number >= 1, number).otherwise(1)
-    context = ~header & ~hunk & ~added & ~text.startswith("--- ") & ~text.startswith("-")
-    marked = lines.select(
-        diff, pos, line,
-        F.when(header, F.when(path == "/dev/null", "").otherwise(path)).alias("_file"),
-        added.alias("_added"), F.when(hunk, start).alias("_start"), hunk.cast("int").alias("_hunk"), context.cast("int").alias("_context"))
-    bucket = F.floor(F.col(pos) / slot)
-    placed = with_carry(marked, [diff], [pos], bucket, lasts=["_file", "_start"], sums=["_hunk"])
-    inside = F.col("_added") & (F.coalesce(F.col("last__file"), F.lit("")) != "")
-    # an added line counts only inside a file; lines that neither count nor are wanted stay behind
-    kept = placed.select(
-        diff, pos, line, F.col("last__file").alias("file"), F.col("last__start").alias("_start"), F.col("sum__hunk").alias("_hunk_no"),
-        inside.alias("_wanted"), F.when(inside, 1).otherwise(F.col("_context")).alias("_step")).filter("_step = 1")
-    numbered = with_carry(kept, [diff, "_hunk_no"], [pos], bucket, sums=["_step"]).filter("_wanted")
-    return numbered.select(
-        diff, pos, "file", (F.coalesce("_start", F.lit(0)) + F.col("sum__step")).cast("int").alias("new_line"),
-        F.substring(line, 2, 1 << 30).alias("content"))
-
-
-def parse_unified_diff(lines: DataFrame, diff: str = "diff_id", pos: str = "pos", line: str = "line") -> DataFrame:
+    rows = _filed(_pieces(lines, diff, pos, line, slot), diff).withColumn("_row", F.explode("lines"))
+    row = F.col("_row")
+    return rows.select(diff, row["pos"].alias(pos), "file", _new_line(row).alias("new_line"), row["content"].alias("content"))
+
+
+def parse_unified_diff(lines: DataFrame, diff: str = "diff_id", pos: str = "pos", line: str = "line", slot: int = SLOT) -> DataFrame:
     """One record per diff and file: its added lines as one text, and the number of the first."""
-    rows = added_lines(lines, diff, pos, line)
-    grouped = rows.groupBy(diff, "file").agg(
-        F.min_by("new_line", pos).alias("first_line"), F.sort_array(F.collect_list(F.struct(pos, "content"))).alias("_lines"))
-    return grouped.select(diff, "file", "first_line", F.array_join(F.transform("_lines", lambda x: x["content"]), "\n").alias("content"))
+    first = F.get("lines", 0)
+    pieces = _filed(_pieces(lines, diff, pos, line, slot), diff).select(
+        diff, "file", first["pos"].alias("_pos"), _new_line(first).alias("_number"), F.array_join(F.col("lines.content"), "\n").alias("_text"))
+    grouped = pieces.groupBy(diff, "file").agg(
+        F.min_by("_number", "_pos").alias("first_line"), F.sort_array(F.collect_list(F.struct("_pos", "_text"))).alias("_texts"))
+    return grouped.select(diff, "file", "first_line", F.array_join("_texts._text", "\n").alias("content"))

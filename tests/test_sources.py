@@ -111,8 +111,8 @@ def test_diff(spark):
         rows = [(r.file, r.new_line, r.content) for r in diff.added_lines(df, slot=slot).orderBy("pos").collect()]
         assert rows == [("x", 10, "one"), ("x", 11, "two"), ("x", 13, "four"), ("x", 14, "five"), ("w", 1, "before any hunk of it"),
                         ("w", 1, "at one"), ("x", 90, "more")]
-    got = {r.file: (r.first_line, r.content) for r in diff.parse_unified_diff(df).collect()}
-    assert got == {"x": (10, "one\ntwo\nfour\nfive\nmore"), "w": (1, "before any hunk of it\nat one")}
+        got = {r.file: (r.first_line, r.content) for r in diff.parse_unified_diff(df, slot=slot).collect()}
+        assert got == {"x": (10, "one\ntwo\nfour\nfive\nmore"), "w": (1, "before any hunk of it\nat one")}
 
 
 def test_bodies(spark):
