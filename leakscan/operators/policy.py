@@ -95,6 +95,51 @@ def query_log_verdicts(log: DataFrame, domains: DataFrame, policies: DataFrame,
     return checked.withColumn("verdict", F.when(F.col("action") == "deny", "NXDOMAIN").otherwise("forward"))
 
 
+def _in_force(history: Column, at: Column) -> Column:
+    """Entries of an array that hold at a time: from ``since`` on, and before ``until`` if that is given."""
+    return F.filter(history, lambda h: (h["since"] <= at) & F.coalesce(at < h["until"], F.lit(True)))
+
+
+def lookup_domain_at(hosts: DataFrame, domains: DataFrame, ts: str = "ts", host: str = "host") -> DataFrame:
+    """:func:`lookup_domain` by the entries that hold at ``ts`` of each row.
+
+    ``domains`` also has ``since`` and ``until`` (NULL: still in force). A distinct host takes along
+    the history of its own and its parents' entries, so rows are not moved for it. A row
+    without a time has no category.
+    """
+    entry = F.lower(F.trim("entry"))
+    history = domains.select(
+        F.regexp_replace(entry, r"\A\.", "").alias("key"),
+        F.struct(entry.startswith(".").alias("wide"), "source_ordinal", "category", "since", "until").alias("e")).filter("key <> ''")
+    index = history.groupBy("key").agg(F.collect_set("e").alias("entries"))
+    keyed = hosts.withColumn("_name", F.lower(F.regexp_replace(F.trim(F.col(host)), r"\.\z", "")))
+    labels = F.split("_name", r"\.")
+    suffixes = F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
+    parents = keyed.select("_name").distinct().select("_name", F.posexplode(suffixes).alias("level", "key")).filter("key <> ''")
+    covering = F.filter("entries", lambda e: (F.col("level") == 0) | e["wide"])
+    found = lookup(parents, index, ["key"], "inner").select("_name", F.transform(covering, lambda e: F.struct(
+        F.col("level").alias("level"), e["source_ordinal"].alias("source_ordinal"), e["category"].alias("category"),
+        e["since"].alias("since"), e["until"].alias("until"))).alias("entries"))
+    per_name = found.groupBy("_name").agg(F.flatten(F.collect_list("entries")).alias("_history"))
+    return lookup(keyed, per_name, ["_name"]).select(
+        *hosts.columns, F.array_min(_in_force(F.col("_history"), F.col(ts)))["category"].alias("category"))
+
+
+def query_log_verdicts_at(log: DataFrame, domains: DataFrame, policies: DataFrame, ts: str = "ts", host: str = "host") -> DataFrame:
+    """:func:`query_log_verdicts` by the domains and policies that hold at each row's own time.
+
+    Both tables have ``since`` and ``until``. A late row is judged by the versions of its time, and
+    a repeated batch gives what it gave before. Of several policies of a category the latest counts.
+    """
+    found = lookup_domain_at(log, domains, ts, host)
+    history = policies.groupBy("category").agg(F.collect_set(F.struct("since", "until", "action")).alias("_policies"))
+    ruled = lookup(found, history, ["category"])
+    action = F.array_max(_in_force(F.col("_policies"), F.col(ts)))["action"]
+    decided = F.when(F.col("category").isNull(), "allow").otherwise(F.coalesce(action, F.lit("deny")))
+    judged = ruled.select(*log.columns, "category", decided.alias("action"))
+    return judged.withColumn("verdict", F.when(F.col("action") == "deny", "NXDOMAIN").otherwise("forward"))
+
+
 def query_log_counters(verdicts: DataFrame) -> DataFrame:
     return verdicts.agg(F.count("*").alias("dns_queries"), F.count_if(F.col("verdict") == "NXDOMAIN").alias("dns_blocks"))
 

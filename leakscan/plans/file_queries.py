@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from leakscan.functions import context as ctx
 from leakscan.operators import report
 from leakscan.plans import scan_queries  # noqa: F401  (its SQL is used again here)
-from leakscan.plans.policy_queries import _hosts
+from leakscan.plans.policy_queries import _history, _hosts
 from leakscan.plans.registry import ORACLES, query
 from leakscan.plans.report_queries import _count_events, _verdict_files
 from leakscan.plans.session_queries import _as_pastes, _streamed, _TICKS
@@ -114,3 +115,15 @@ def counters_stream_query(spark, sf):
     _streamed(spark, sf, "events", flushed)
     deltas = spark.read.parquet(f"{folder}/out")
     return deltas.groupBy("agent").agg(*[F.sum(c).alias(c) for c in report.COUNTERS])
+
+
+@query("p6_query_log_stream", ORACLES["p6_query_log_at"])
+def query_log_stream_query(spark, sf):
+    folder = shared_dir(spark, f"log-{uuid.uuid4().hex}")
+
+    def judged(rows):
+        log = rows.select("page_id", "url", ctx.url_host(F.col("url")).alias("host"))
+        streams.query_log_stream(log, lambda: _history(rows.sparkSession, sf), f"{folder}/out", f"{folder}/checkpoint", ts="page_id").awaitTermination()
+
+    _streamed(spark, sf, "pages", judged)
+    return spark.read.parquet(f"{folder}/out").select("page_id", "host", "category", "verdict")

@@ -24,11 +24,14 @@ _HOSTS = f"SELECT page_id, url, {_HOST_SQL} AS host, {_PATH_SQL} AS path FROM pa
 
 def _domains(spark, sf):
     """A domain list of every fifth page: exact hosts, parents of hosts, and upper-case spellings of them."""
-    rows = _hosts(spark, sf).filter("page_id % 5 = 0")
+    return _entries(_hosts(spark, sf).filter("page_id % 5 = 0")).drop("page_id")
+
+
+def _entries(rows):
     parent = F.regexp_replace("host", r"^[^.]*", "")
     entry = F.when(F.col("page_id") % 3 == 0, F.col("host")).when(F.col("page_id") % 3 == 1, F.upper(parent)).otherwise(
         F.concat(F.lit("."), F.col("host")))
-    return rows.select(_pick(CATEGORIES, F.col("page_id")).alias("category"), entry.alias("entry"),
+    return rows.select("page_id", _pick(CATEGORIES, F.col("page_id")).alias("category"), entry.alias("entry"),
                        (F.col("page_id") % 2).cast("int").alias("source_ordinal"))
 
 
@@ -112,6 +115,38 @@ def query_counters_query(spark, sf):
     return policy.query_log_counters(policy.query_log_verdicts(_hosts(spark, sf), _domains(spark, sf), _policies(spark)))
 
 
+# a page's number is its time; a domain is of a category from the first page that says so to the last, every fifth one for good
+_HISTORY = f"""SELECT category, entry, source_ordinal, min(page_id) AS since, CASE WHEN min(page_id) % 5 > 0 THEN max(page_id) END AS until
+  FROM ({_DOMAINS.removesuffix(" WHERE page_id % 5 = 0").replace("AS source_ordinal", "AS source_ordinal, page_id")}) GROUP BY category, entry, source_ordinal"""
+RULED = (("AI Chat DLP", "allow_with_dlp", 0, 300), ("AI Chat DLP", "deny", 300, None), ("Phishing", "deny", 0, None),
+         ("News", "allow", 0, 150), ("News", "deny", 200, 400), ("News", "allow", 350, None))
+_RULED = "(VALUES " + ", ".join(f"('{c}', '{a}', {s}, {'NULL' if u is None else u})" for c, a, s, u in RULED) + ") p(category, action, since, until)"
+_AT_TIME = f"""WITH hosts AS ({_HOSTS}), hist AS (SELECT lower(trim(entry)) AS entry, category, source_ordinal, since, until FROM ({_HISTORY})),
+  keys AS (SELECT *, regexp_replace(entry, '^\\.', '') AS key, starts_with(entry, '.') AS wide FROM hist),
+  found AS (SELECT page_id, category, source_ordinal, length(host) - length(key) AS gap FROM hosts
+    JOIN keys ON (host = key OR (wide AND ends_with(host, '.' || key))) AND since <= page_id AND (until IS NULL OR page_id < until)),
+  cat AS (SELECT hosts.*, f.category FROM hosts LEFT JOIN (
+    SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY gap, source_ordinal, category) = 1) f USING (page_id)),
+  rule AS (SELECT page_id, action FROM cat JOIN {_RULED} USING (category) WHERE since <= page_id AND (until IS NULL OR page_id < until)
+    QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY since DESC) = 1)
+  SELECT page_id, host, category, CASE WHEN category IS NOT NULL AND coalesce(action, 'deny') = 'deny' THEN 'NXDOMAIN' ELSE 'forward' END AS verdict
+  FROM cat LEFT JOIN rule USING (page_id)"""
+
+
+def _history(spark, sf):
+    """The domain list with times, and the policies of each time."""
+    rows = _entries(_hosts(spark, sf)).withColumn("_at", F.col("page_id").cast("bigint"))
+    first, last = F.min("_at"), F.max("_at")
+    domains = rows.groupBy("category", "entry", "source_ordinal").agg(first.alias("since"), F.when(first % 5 > 0, last).alias("until"))
+    return domains, spark.createDataFrame(list(RULED), "category string, action string, since bigint, until bigint")
+
+
+@query("p6_query_log_at", _AT_TIME)
+def query_log_at_query(spark, sf):
+    rows = policy.query_log_verdicts_at(_hosts(spark, sf), *_history(spark, sf), ts="page_id")
+    return rows.select("page_id", "host", "category", "verdict")
+
+
 # requests carry the planted document of the same number, under a mode and a path in turn
 MODES = ("block", "mask", "bypass", "mask")
 TAILS = ("/chat", "/v1/PREPARE/x", "/send", "/ces/v1", "/ping", "/upload")

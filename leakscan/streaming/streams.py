@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from leakscan.operators.policy import query_log_verdicts
+from leakscan.operators.policy import query_log_verdicts, query_log_verdicts_at
 from leakscan.operators.report import counters
 from leakscan.operators.scan import scan
 from leakscan.sources.rules import RuleSet
@@ -35,10 +35,14 @@ def scan_stream(records: DataFrame, rules: RuleSet, **options) -> DataFrame:
 
 
 def query_log_stream(log: DataFrame, tables: Callable[[], tuple[DataFrame, DataFrame]], path: str, checkpoint: str,
-                     host: str = "host") -> StreamingQuery:
-    """Verdicts on a query log. ``tables`` gives domains and policies anew for each micro-batch, so changes take hold."""
+                     host: str = "host", ts: str | None = None) -> StreamingQuery:
+    """Verdicts on a query log. ``tables`` gives domains and policies anew for each micro-batch, so changes take hold.
+
+    With ``ts``, the tables have ``since`` and ``until``, and each row is judged by what held at its time.
+    """
     def write(batch: DataFrame, epoch: int) -> None:
         domains, policies = tables()
-        query_log_verdicts(batch, domains, policies, host).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+        judged = query_log_verdicts_at(batch, domains, policies, ts, host) if ts else query_log_verdicts(batch, domains, policies, host)
+        judged.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
 
     return log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
