@@ -7,6 +7,8 @@ import string
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leakscan.functions.regex import quote
+from leakscan.operators.lookup import lookup
+from leakscan.operators.normalize import normalize_content
 from leakscan.sources.rules import Pattern, RuleError
 
 NAME_PREFIX = "Canary:"
@@ -52,6 +54,24 @@ def canary_patterns(canaries: DataFrame, most: int, prefix: str = TOKEN_PREFIX)
     return tuple(Pattern(NAME_PREFIX + r["label"], quote(r["token"]), prefix, "critical", 100, category="canary") for r in rows)
 
 
+def canary_matches(records: DataFrame, canaries: DataFrame, record_id: str = "record_id", content: str = "content",
+                   prefix: str = TOKEN_PREFIX) -> DataFrame:
+    """Canaries (``record_id``, label, token, occurrences) whose tokens stand in the normalised text of a record.
+
+    Every token has one shape, so one constant expression cuts all that may be
+    tokens from a text, and these are joined to the table: canaries may be as
+    many as they like and never come to the driver. A token that several rows
+    have belongs to the least label. Missing texts and tokens match nothing.
+    """
+    # a look-ahead, since a token may begin inside what only looks like one
+    shape = f"(?=({quote(prefix)}[0-9a-f]{{8}}[A-Z2-7]{{{RANDOM_LETTERS}}}))"
+    texts = normalize_content(records.select(record_id, content), content, "_canonical")
+    cut = texts.select(record_id, F.explode(F.regexp_extract_all("_canonical", F.lit(shape), F.lit(1))).alias("token"))
+    counted = cut.groupBy(record_id, "token").agg(F.count("*").alias("occurrences"))
+    known = canaries.groupBy("token").agg(F.min("label").alias("label"))
+    return lookup(counted, known, ["token"], "inner").select(record_id, "label", "token", "occurrences")
+
+
 def canary_triggers(canaries: DataFrame, verdicts: DataFrame, ts: str = "ts") -> DataFrame:
     """Canaries with the verdicts they won added to their counts."""
     won = verdicts.filter(F.col("blocked") & F.col("pattern_name").startswith(NAME_PREFIX))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -292,6 +293,33 @@ def canary_triggers_query(spark, sf):
     return rows.select("label", "trigger_count", "last_triggered")
 
 
+# twenty canaries for each document; every third document holds one of its own, every fourth one that may exist, twice
+TRAPS = 20
+_TOKEN_SQL = "'TRIPW' || left(sha256({0}), 8) || translate(upper(substr(sha256({0}), 9, 16)), '0189', 'GHJK')"
+_SPARK_TOKEN = re.sub(r"sha256\(\{0\}\)", "sha2({0}, 256)", _TOKEN_SQL)
+_LABEL_SQL = "'trap ' || {0} || '/' || {1}"
+
+
+def _bait(token):
+    own, other = (token.format(f"({_LABEL_SQL.format(doc, trap)})") for doc, trap in (("doc_id", "(doc_id % 20)"), ("(doc_id + 5)", "(doc_id % 25)")))
+    return f"""text || CASE WHEN doc_id % 3 = 0 THEN ' ' || {own} ELSE '' END
+  || CASE WHEN doc_id % 4 = 0 THEN {other} || 'TRIPW' || {other} ELSE '' END AS content"""
+
+
+def _traps(spark, sf):
+    label = F.concat(F.lit("trap "), F.col("doc_id").cast("string"), F.lit("/"), F.col("i").cast("string"))
+    rows = table(spark, sf, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(TRAPS - 1))).alias("i"))
+    return rows.select(label.alias("label")).withColumn("token", F.expr(_SPARK_TOKEN.format("label")))
+
+
+@query("k2_canary_join", f"""WITH canary AS (SELECT label, {_TOKEN_SQL.format('label')} AS token FROM (SELECT {_LABEL_SQL.format('doc_id', 'i')} AS label
+    FROM documents, generate_series(0, {TRAPS - 1}) g(i))),
+  cut AS (SELECT record_id, unnest(regexp_extract_all(content, 'TRIPW[0-9a-f]{{8}}[A-Z2-7]{{16}}')) AS token FROM (SELECT doc_id AS record_id, {_bait(_TOKEN_SQL)} FROM documents))
+  SELECT record_id, label, token, count(*) AS occurrences FROM cut JOIN canary USING (token) GROUP BY ALL""")
+def canary_join_query(spark, sf):
+    return canary.canary_matches(spread(table(spark, sf, "documents")).selectExpr("doc_id AS record_id", _bait(_SPARK_TOKEN)), _traps(spark, sf))
+
+
 # --- streams: the same rows in micro-batches -----------------------------------
 
 

@@ -135,3 +135,32 @@ def test_copies_are_scanned_once(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "record_id bigint, content string")
     got = {r.record_id: (r.blocked, r.pattern_name, r.score) for r in scan_distinct(df, RULES).collect()}
     assert got == {r.record_id: (r.blocked, r.pattern_name, r.score) for r in scan(df, RULES).collect()}
+
+
+def test_verdicts_by_time(spark):
+    domains = spark.createDataFrame(
+        [("Phishing", "a.com", 0, 0, 10), ("News", ".a.com", 1, 0, None), ("News", "b.org", 0, 5, None), ("News", "b.org", 0, 5, None),
+         ("Phishing", None, 0, 0, None), ("Phishing", "c.net", 0, None, None)],
+        "category string, entry string, source_ordinal int, since bigint, until bigint")
+    policies = spark.createDataFrame(
+        [("Phishing", "deny", 0, None), ("News", "allow", 0, 20), ("News", "deny", 15, 20), ("News", "allow", 30, None)],
+        "category string, action string, since bigint, until bigint")
+    log = spark.createDataFrame(
+        [(1, "a.com", 3), (2, "A.com.", 10), (3, "x.a.com", 3), (4, "x.a.com", 15), (5, "x.a.com", 25), (6, "b.org", 4), (7, "b.org", 40),
+         (8, None, 3), (9, "a.com", None), (10, "c.net", 3), (11, "", 3)], "id int, host string, ts bigint")
+    want = {1: ("Phishing", "NXDOMAIN"), 2: ("News", "forward"), 3: ("News", "forward"), 4: ("News", "NXDOMAIN"), 5: ("News", "NXDOMAIN"),
+            6: (None, "forward"), 7: ("News", "forward"), 8: (None, "forward"), 9: (None, "forward"), 10: (None, "forward"), 11: (None, "forward")}
+    assert {r.id: (r.category, r.verdict) for r in policy.query_log_verdicts_at(log, domains, policies).collect()} == want
+    none = policy.query_log_verdicts_at(log, domains.limit(0), policies.limit(0)).collect()
+    assert {r.id: r.verdict for r in none} == dict.fromkeys(want, "forward")
+
+
+def test_any_number_of_canaries(spark):
+    token = lambda i: f"TRIPW{i:08x}" + "ABCDEFGHIJKLMNOP"
+    many = spark.range(100_000).selectExpr("concat('trap ', id) AS label", "concat('TRIPW', lower(lpad(hex(id), 8, '0')), 'ABCDEFGHIJKLMNOP') AS token")
+    own = "TRIPW23456723" + "Q" * 16
+    canaries = many.union(spark.createDataFrame([("z", token(1)), ("own", own), ("no token", None)], "label string, token string"))
+    rows = [(1, f"a {token(7)}{token(99_999)} {token(7)}"), (2, token(100_000)), (3, None), (4, ""), (5, "TRIPW00000000" + "A" * 11 + own),
+            (6, f"x{token(1)[:9]}\u200b{token(1)[9:]}"), (7, token(7).lower())]
+    got = canary.canary_matches(spark.createDataFrame(rows, "record_id int, content string"), canaries).collect()
+    assert sorted((r.record_id, r.label, r.occurrences) for r in got) == [(1, "trap 7", 2), (1, "trap 99999", 1), (5, "own", 1), (6, "trap 1", 1)]
