@@ -20,6 +20,8 @@ from leakscan.sources.rules import RuleSet
 REGEX_WINDOW = 1024
 LARGE_CONTENT = 50 * 1024
 
+FEW_PREFIXES = 32  # so many literals are found faster one by one than together
+
 
 @dataclass(frozen=True)
 class MatchOptions:
@@ -108,6 +110,36 @@ def rule_spans(text: Column, data: Column, lowered: Column, size: Column, rule:
     return F.array_distinct(F.flatten(F.transform(chunks(windows), distinct)))
 
 
+def _any_of(words: list[str]) -> str:
+    """A regex for the longest of some words that begins at a place, branching letter by letter."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            heads.setdefault(w[0], []).append(w[1:])
+    branches = [(c if c.isascii() and c.isalnum() else f"\\x{{{ord(c):x}}}") + _any_of(rest) for c, rest in sorted(heads.items())]
+    if not branches:
+        return ""
+    return f"(?:{'|'.join(branches)})" + ("?" if "" in words else "")
+
+
+def present_prefixes(lowered: Column, prefixes: dict[int, str], few: int = FEW_PREFIXES) -> Column:
+    """Ordinals, in order, of the lower-cased literals (none empty) that a text holds.
+
+    A few are looked for one by one. Of more, one pass finds the longest at every
+    place; the shorter ones that stand at a place are just those it begins with.
+    """
+    words = sorted(set(prefixes.values()))
+    if len(words) <= few:
+        table = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(p).alias("prefix")) for i, p in sorted(prefixes.items())])
+        present = F.filter(table, lambda r: F.contains(lowered, r["prefix"]))
+        return F.transform(present, lambda r: r["ordinal"])
+    longest = F.create_map(*[x for w in words for x in (
+        F.lit(w), F.array(*[F.lit(i) for i, p in sorted(prefixes.items()) if w.startswith(p)]))])
+    found = F.array_distinct(F.regexp_extract_all(lowered, F.lit(f"(?=({_any_of(words)}))"), F.lit(1)))
+    ordinals = F.array_distinct(F.flatten(F.transform(found, lambda w: F.element_at(longest, w))))
+    return F.coalesce(F.array_sort(ordinals), F.array().cast("array<int>"))
+
+
 def candidate_ordinals(text: Column, lowered: Column, size: Column, rules: RuleSet, options: MatchOptions) -> Column:
     """Ordinals of the patterns worth running: literal prefix present, or no prefix and a likely match.
 
@@ -128,13 +160,11 @@ def candidate_ordinals(text: Column, lowered: Column, size: Column, rules: RuleS
     parts = []
     prefixed = [(i, p) for i, p in allowed if p.prefix]
     if prefixed:
-        table = F.array(*[
-            F.struct(F.lit(i).alias("ordinal"), F.lit(p.prefix.lower()).alias("prefix"),
-                     F.lit(p.severity in ("critical", "high")).alias("kept"))
-            for i, p in prefixed
-        ])
-        present = F.filter(table, lambda r: (r["kept"] | ~small_only) & F.contains(lowered, r["prefix"]))
-        parts.append(F.transform(present, lambda r: r["ordinal"]))
+        present = present_prefixes(lowered, {i: p.prefix.lower() for i, p in prefixed})
+        if options.large_filter:
+            kept = [i for i, p in prefixed if p.severity in ("critical", "high")]
+            present = F.filter(present, lambda o: o.isin(*kept) | ~small_only)
+        parts.append(present)
 
     def may_match(p) -> Column:
         literal = required_literal(p.regex)
@@ -179,7 +209,11 @@ def prefix_candidates(canonical: DataFrame, rules: RuleSet, record_id: str = "re
         F.struct(F.lit(p.name).alias("pattern_name"), F.lit(p.prefix.lower()).alias("prefix")) for p in rules.patterns
     ])
     lowered = bind(canonical.select(record_id, text), _lower=fold_case(col))
-    present = F.filter(table, lambda r: (r["prefix"] == "") | F.contains(F.col("_lower"), r["prefix"]))
+    lowered = bind(canonical.select(record_id, text), _lower=fold_case(col))
+    prefixes = {i: p.prefix.lower() for i, p in enumerate(rules.patterns) if p.prefix}
+    bare = F.array(*[F.lit(i) for i in range(len(rules.patterns)) if i not in prefixes]).cast("array<int>")
+    ordinals = F.concat(present_prefixes(F.col("_lower"), prefixes), bare) if prefixes else bare
+    present = let(table, lambda every: F.transform(ordinals, lambda o: F.get(every, o)))
     rows = lowered.select(record_id, "_lower", F.inline(present))
     offsets = F.when(F.col("prefix") == "", F.array(F.lit(0).cast("bigint"))).otherwise(
         prefix_offsets(F.col("_lower"), F.col("prefix"))

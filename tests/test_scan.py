@@ -4,7 +4,7 @@ import os
 import pytest
 from plain_scan import normalize, scan as plain
 
-from leakscan.operators.match import MatchOptions
+from leakscan.operators.match import MatchOptions, find_matches, present_prefixes
 from leakscan.operators.normalize import normalize_content
 from leakscan.operators.scan import compare_configs, compare_context, explain_scan, match_evidence, scan, size_gate
 from leakscan.operators.score import ScoreConfig
@@ -175,3 +175,21 @@ def test_dictionary_words_inside_the_value_do_not_count(spark):
     rules = RuleSet((Pattern("T", "tk_[a-z]{8}", "tk_", "critical"),), (Exclusion("T", words=("abc",), window=10),))
     got = verdicts(scan(frame(spark, ["tk_abcdefgh", "abc tk_abcdefgh", "tk_abcdefgh tk_abcdefgh"]), rules))
     assert got == {0: (True, "T", 1), 1: (False, "", 0), 2: (False, "", 0)}
+
+
+def test_prefixes_that_overlap(spark):
+    prefixes = {0: "ab", 1: "abab", 2: "b", 3: "a.b", 4: "\n[", 5: "ab", 6: "\U0001f511k", 7: "ba"}
+    texts = ["ababab", "xab", "axb a.b", "\n[", "k\U0001f511k", "", None, "aba", "AB"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for few in (0, 32):
+        got = {r.i: r.o for r in df.select("i", present_prefixes(F.col("t"), prefixes, few).alias("o")).collect()}
+        assert got == {i: [o for o, p in prefixes.items() if p in (t or "")] for i, t in enumerate(texts)}
+
+
+def test_many_rules_find_what_few_find(spark):
+    extra = tuple(Pattern(f"made {i}", f"q{i:03d}_[a-z]{{5}}", f"q{i:03d}_", "high", 1) for i in range(100))
+    df = spark.createDataFrame([(i, f"{AWS} q{i:03d}_abcde") for i in range(0, 100, 7)], "record_id int, content string")
+    few, many = find_matches(normalize_content(df), RULES), find_matches(normalize_content(df), RULES.with_patterns(extra))
+    mine = F.filter("hits", lambda h: h["ordinal"] < len(RULES.patterns))
+    assert {r.record_id: r.h for r in many.select("record_id", mine.alias("h")).collect()} == {r.record_id: r.hits for r in few.collect()}
+    assert many.filter(F.size("hits") == F.size(mine) + 1).count() == df.count()
