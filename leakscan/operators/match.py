@@ -209,7 +209,6 @@ def prefix_candidates(canonical: DataFrame, rules: RuleSet, record_id: str = "re
         F.struct(F.lit(p.name).alias("pattern_name"), F.lit(p.prefix.lower()).alias("prefix")) for p in rules.patterns
     ])
     lowered = bind(canonical.select(record_id, text), _lower=fold_case(col))
-    lowered = bind(canonical.select(record_id, text), _lower=fold_case(col))
     prefixes = {i: p.prefix.lower() for i, p in enumerate(rules.patterns) if p.prefix}
     bare = F.array(*[F.lit(i) for i in range(len(rules.patterns)) if i not in prefixes]).cast("array<int>")
     ordinals = F.concat(present_prefixes(F.col("_lower"), prefixes), bare) if prefixes else bare

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, LongType
 
-from leakscan.functions.arrays import chunks, let, prefix_sums, span_end, span_start
+from leakscan.functions.arrays import chunks, let, pack_span, prefix_sums, span_end, span_start
 from leakscan.functions.context import source_columns, source_struct
 from leakscan.functions.form import form_pairs, path_escape, query_escape
 from leakscan.functions.text import byte_slice, is_placeholder_shape, is_public_example
@@ -21,6 +25,10 @@ from leakscan.sources.rules import UNCATEGORIZED, RuleSet
 # Fixed value: the token of a region that covers several secrets.
 MIXED_TOKEN = "**"
 
+FEW_SECRETS = 16  # so many are looked for one by one
+_HEAD = 8  # bytes of a literal that single out its places
+_SWEEP = 1 << 20  # places that are looked at together
+
 _SPAN = "struct<start:bigint,end:bigint,token:string,pattern_name:string>"
 
 
@@ -67,22 +75,25 @@ def allocate_tokens(text: Column, secrets: Column) -> Column:
     """Map from secret key to token. ``secrets`` is an array of (key, slug) in order.
 
     Tokens count from 1 per slug, over numbers whose token is not in the text
-    already. Each earlier occurrence of the label rules out at most 19 numbers
-    of bigint size, so the candidates below are enough.
+    already. The numbers that stand after a label rule out themselves and all
+    that they begin with, so one search of the text tells what is taken.
     """
     def of_slug(slug: Column) -> Column:
         keys = F.transform(F.filter(secrets, lambda s: s["slug"] == slug), lambda s: s["key"])
         label = F.concat(F.lit("KEY_"), slug, F.lit("_"))
-        taken = (F.length(text) - F.length(F.replace(text, label, F.lit("")))) / F.length(label)
 
         def tokens(p: Column) -> Column:
-            numbers = F.sequence(F.lit(1).cast("bigint"), F.size(p["keys"]) + 19 * p["taken"])
-            free = F.when(p["taken"] == 0, numbers).otherwise(
-                F.filter(numbers, lambda n: ~F.contains(text, F.concat(label, n.cast("string")))))
-            chosen = F.transform(F.slice(free, F.lit(1), F.size(p["keys"])), lambda n: F.concat(label, n.cast("string")))
+            numbers = F.transform(F.sequence(F.lit(1), F.size(p["keys"]) + F.size(p["taken"])), lambda n: n.cast("string"))
+            free = F.when(F.size(p["taken"]) == 0, numbers).otherwise(F.array_except(numbers, p["taken"]))
+            chosen = F.transform(F.slice(free, F.lit(1), F.size(p["keys"])), lambda n: F.concat(label, n))
             return F.arrays_zip(p["keys"].alias("key"), chosen.alias("token"))
 
-        return let(F.struct(keys.alias("keys"), taken.cast("bigint").alias("taken")), tokens)
+        # looked at from every place, as one label may begin within another
+        after = F.regexp_extract_all(text, F.concat(F.lit("(?="), label, F.lit("([1-9][0-9]{0,18}))")), F.lit(1))
+        beginnings = F.flatten(F.transform(F.array_distinct(after), lambda n: F.transform(
+            F.sequence(F.lit(1), F.length(n)), lambda k: F.substring(n, F.lit(1), k))))
+        taken = F.when(F.contains(text, label), F.array_distinct(beginnings)).otherwise(F.array().cast("array<string>"))
+        return let(F.struct(keys.alias("keys"), taken.alias("taken")), tokens)
 
     slugs = F.array_distinct(F.transform(secrets, lambda s: s["slug"]))
     pairs = F.flatten(F.transform(slugs, of_slug))
@@ -118,28 +129,82 @@ def secrets_of(hits: Column, canonical: Column, rules: RuleSet) -> Column:
     return F.transform(keys, described)
 
 
-def locate_secrets(text: Column, secrets: Column) -> Column:
-    """Struct (found, spans): every occurrence of every secret, and whether each has one."""
-    def spans_of(token_of: Column) -> Column:
-        def occurrences(s: Column) -> Column:
-            def at(target: Column) -> Column:
-                width = F.octet_length(target).cast("bigint")
-                return F.transform(prefix_offsets(text, target), lambda o: F.struct(
-                    o.alias("start"), (o + width).alias("end"), F.element_at(token_of, s["key"]).alias("token"),
-                    s["pattern_name"].alias("pattern_name")))
+def _spans_one_by_one(text: Column, secrets: Column) -> Column:
+    """For each secret the packed spans of its spellings, each looked for by itself."""
+    def occurrences(s: Column) -> Column:
+        def at(target: Column) -> Column:
+            width = F.octet_length(target).cast("bigint")
+            return F.transform(prefix_offsets(text, target), lambda o: pack_span(o, o + width))
 
-            present = F.filter(spellings(s["value"]), lambda t: F.contains(text, t))
-            return F.flatten(F.transform(present, at))
+        present = F.filter(spellings(s["value"]), lambda t: F.contains(text, t))
+        return F.flatten(F.transform(present, at))
+
+    return F.transform(secrets, occurrences)
 
-        return let(
-            F.transform(secrets, occurrences),
-            lambda per_secret: F.struct(
-                F.forall(per_secret, lambda o: F.size(o) > 0).alias("found"),
-                F.array_sort(F.flatten(per_secret)).alias("spans")),
-        )
 
-    named = F.transform(secrets, lambda s: F.struct(s["key"].alias("key"), s["slug"].alias("slug")))
-    return let(allocate_tokens(text, named), spans_of)
+def literal_spans(data: bytes, groups: list[list[bytes]]) -> list[list[int]]:
+    """For each group of literals (none empty) the packed spans of all of them in ``data``; those of one literal do not overlap.
+
+    One sweep for all: places are kept where the next eight bytes (fewer for a
+    shorter literal) begin some literal, and there a table by length and bytes
+    is asked. What it takes grows with the text and with the number of literals,
+    not with their product.
+    """
+    literals = {t for group in groups for t in group}
+    heads: dict[int, set[bytes]] = {}
+    lengths: dict[bytes, set[int]] = {}
+    for t in literals:
+        heads.setdefault(min(len(t), _HEAD), set()).add(t[:_HEAD])
+        lengths.setdefault(t[:_HEAD], set()).add(len(t))
+    known = {size: np.sort(np.array([int.from_bytes(h, "little") for h in begins], np.uint64)) for size, begins in heads.items()}
+    found: dict[bytes, list[int]] = {t: [] for t in literals}
+    padded = data + bytes(_HEAD)
+    for start in range(0, len(data), _SWEEP):
+        places = min(_SWEEP, len(data) - start)
+        piece = np.frombuffer(padded, np.uint8, places + _HEAD - 1, start)
+        eight = np.zeros(places, np.uint64)
+        for i in range(_HEAD):
+            eight |= piece[i : i + places].astype(np.uint64) << np.uint64(8 * i)
+        for size, begins in known.items():
+            here = (eight & np.uint64((1 << 8 * size) - 1))[: max(0, len(data) - start - size + 1)]
+            at = np.minimum(np.searchsorted(begins, here), len(begins) - 1)
+            for p in (np.flatnonzero(begins[at] == here) + start).tolist():
+                for n in lengths.get(data[p : p + size], ()):
+                    spans = found.get(data[p : p + n])
+                    if spans is not None and p + n <= len(data) and (not spans or spans[-1] & 0xFFFFFFFF <= p):
+                        spans.append(p << 32 | p + n)
+    return [[span for t in dict.fromkeys(group) for span in found[t]] for group in groups]
+
+
+@pandas_udf(ArrayType(ArrayType(LongType())))
+def _literal_spans_batch(data: pd.Series, groups: pd.Series) -> pd.Series:
+    return pd.Series([None if d is None else literal_spans(d, [list(g) for g in gs]) for d, gs in zip(data, groups)], dtype=object)
+
+
+def with_secret_spans(records: DataFrame, text: Column, secrets: str, few: int = FEW_SECRETS) -> DataFrame:
+    """Adds ``_spans_of``: for each of ``secrets`` the packed spans where one of its spellings stands in ``text``.
+
+    Few secrets are looked for one by one. The texts that hold more go through
+    one sweep in Python; all other rows pass there as NULL.
+    """
+    many = F.size(secrets) > few
+    groups = F.transform(F.col(secrets), lambda s: F.transform(spellings(s["value"]), lambda t: t.cast("binary")))
+    swept = records.withColumn("_swept", _literal_spans_batch(F.when(many, text.cast("binary")), F.when(many, groups)))
+    return bind(swept, _spans_of=F.when(many, F.col("_swept")).otherwise(_spans_one_by_one(text, F.col(secrets)))).drop("_swept")
+
+
+def locate_secrets(text: Column, secrets: Column, spans_of: Column) -> Column:
+    """Struct (found, spans): every occurrence of every secret under its token, and whether each has one."""
+    def named(secret: Column, token: Column, spans: Column) -> Column:
+        return F.transform(spans, lambda s: F.struct(
+            span_start(s).alias("start"), span_end(s).alias("end"), token.alias("token"), secret["pattern_name"].alias("pattern_name")))
+
+    def of_all(token_of: Column) -> Column:
+        return F.array_sort(F.flatten(F.transform(secrets, lambda s, i: let(
+            F.element_at(token_of, s["key"]), lambda token: named(s, token, F.get(spans_of, i))))))
+
+    keys = F.transform(secrets, lambda s: F.struct(s["key"].alias("key"), s["slug"].alias("slug")))
+    return F.struct(F.forall(spans_of, lambda o: F.size(o) > 0).alias("found"), let(allocate_tokens(text, keys), of_all).alias("spans"))
 
 
 def splice_spans(text: Column, merged: Column) -> Column:
@@ -172,6 +237,13 @@ def _whole(options: MatchOptions) -> MatchOptions:
     return replace(options, windowed=False, large_filter=False)
 
 
+def _located(records: DataFrame, text: Column) -> DataFrame:
+    """``found`` and ``spans`` for ``_secrets``, NULL where that is NULL."""
+    placed = with_secret_spans(records, text, "_secrets")
+    secrets, spans_of = F.col("_secrets"), F.col("_spans_of")
+    return bind_fields(placed, F.when(secrets.isNotNull(), locate_secrets(text, secrets, spans_of))).drop("_secrets", "_spans_of")
+
+
 def redact(records: DataFrame, rules: RuleSet, config: ScoreConfig = ScoreConfig(), options: MatchOptions = MatchOptions(),
            content: str = "content", source: str | None = None) -> DataFrame:
     """Adds the verdict, ``action`` (allow, redact or block), ``redacted_content`` and ``redactions``.
@@ -190,8 +262,8 @@ def redact(records: DataFrame, rules: RuleSet, config: ScoreConfig = ScoreConfig
     found = add_signals(find_matches(normal, rules, options, "_canonical"), rules, "_canonical")
     judged = bind_fields(found, best_verdict(pattern_results(F.col("signals"), config.struct(), context), "_first_")).drop("signals")
     text = F.coalesce(F.col(content), F.lit(""))
-    located = bind_fields(judged, F.when(F.col("_first_blocked"), let(
-        secrets_of(F.col("hits"), F.col("_canonical"), rules), lambda s: locate_secrets(text, s)))).drop("hits", "_canonical")
+    named = bind(judged, _secrets=F.when(F.col("_first_blocked"), secrets_of(F.col("hits"), F.col("_canonical"), rules))).drop("hits", "_canonical")
+    located = _located(named, text)
     usable = F.coalesce(F.col("found"), F.lit(False)) & (F.size("spans") > 0)
     spliced = bind_fields(located, F.when(usable, let(merge_sorted_spans(F.col("spans")), lambda m: splice_spans(text, m))),
                           "redacted_content", "redactions").drop("found", "spans")
@@ -211,7 +283,7 @@ def located_secrets(records: DataFrame, rules: RuleSet, options: MatchOptions =
     normal = normalize_content(records, content, "_canonical")
     hits = find_matches(normal, rules, _whole(options), "_canonical")
     text = F.coalesce(F.col(content), F.lit(""))
-    located = bind_fields(hits, let(secrets_of(F.col("hits"), F.col("_canonical"), rules), lambda s: locate_secrets(text, s)))
+    located = _located(bind(hits, _secrets=secrets_of(F.col("hits"), F.col("_canonical"), rules)), text)
     return located.select(*records.columns, "found", "spans")
 
 

@@ -1,6 +1,11 @@
+import random
+import re
+
+import pytest
 from pyspark.sql import functions as F
 from test_scan import AWS, GH, frame, verdicts
 
+from leakscan.operators import redact as red
 from leakscan.operators.redact import merge_spans, redact, redact_form_fields
 from leakscan.operators.scan import scan
 from leakscan.sources.builtin import RULES
@@ -71,3 +76,37 @@ def test_form_fields(spark):
         3: (bodies[2][1], False),
         4: ("y=&z=KEY_CLOUD_1+aws&z=two", True),
     }
+
+
+@pytest.mark.parametrize("sweep", [7, 64, 1 << 20])
+def test_one_sweep_finds_what_single_searches_find(monkeypatch, sweep):
+    monkeypatch.setattr(red, "_SWEEP", sweep)
+    rnd = random.Random(sweep)
+    for _ in range(300):
+        data = bytes(rnd.choice(b"ab\0") for _ in range(rnd.randrange(0, 150)))
+        groups = [[bytes(rnd.choice(b"ab\0") for _ in range(rnd.choice((1, 2, 5, 8, 9, 12)))) for _ in range(rnd.randrange(0, 3))] for _ in range(rnd.randrange(0, 12))]
+        groups.append([data[-9:] or b"a", data[-3:] or b"b"])
+        want = [[m.start() << 32 | m.end() for t in dict.fromkeys(g) for m in re.finditer(re.escape(t), data)] for g in groups]
+        assert red.literal_spans(data, groups) == want
+
+
+def test_few_and_many_secrets_are_placed_alike(spark):
+    df = spark.createDataFrame([(1, "a%20b a+b a b a\u00e9\u00e9 aa aaa", ["a b", "a", "\u00e9", "a/b", "a"]), (2, "", ["x"]), (3, "x", []), (4, "x", None)],
+                               "record_id int, content string, vs array<string>")
+    held = df.withColumn("_secrets", F.transform("vs", lambda v: F.struct(v.alias("value"))))
+    rows = [{r.record_id: r._spans_of for r in red.with_secret_spans(held, F.col("content"), "_secrets", few).collect()} for few in (0, 100)]
+    plain = [{k: v and [sorted(x) for x in v] for k, v in r.items()} for r in rows]
+    assert plain[0] == plain[1] and plain[0][2] == [[]] and plain[0][3] == [] and plain[0][4] is None
+    assert len(plain[0][1][0]) == 3 and plain[0][1][3] == [] and plain[0][1][1] == plain[0][1][4]
+
+
+def test_tokens_shun_every_number_in_the_text(spark):
+    text = "KEY_A_1 KEY_A_12x KEY_A_40 KEY_A_KEY_A_7 KEY_A_05 KEY_A_B_2 KEY_A_99999999999999999999999"
+    df = spark.createDataFrame([(text, [(str(i), "A") for i in range(6)] + [("k", "A_B"), ("m", "C")])], "t string, s array<struct<key:string,slug:string>>")
+    got = df.select(red.allocate_tokens(F.col("t"), F.col("s")).alias("m")).first().m
+
+    def free(label, n):
+        return [label + str(i) for i in range(1, 200) if label + str(i) not in text][:n]
+
+    assert [got[str(i)] for i in range(6)] == free("KEY_A_", 6)
+    assert got["k"] == free("KEY_A_B_", 1)[0] and got["m"] == "KEY_C_1"
