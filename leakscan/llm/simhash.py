@@ -5,8 +5,8 @@ values. Two values within the radius of 2 agree in two of four 16-bit blocks, so
 they meet in one of six buckets. A bucket's members are stored as bit planes:
 plane b holds bit b of all members, 64 to a word. A query's distances to all
 members are then added up plane by plane in carry-save counters, two bits and an
-overflow for each member, and the block of members is left as soon as all of
-them are beyond the radius.
+overflow for each member. A query leaves a block of 64 members, one word, as soon
+as all of them are beyond the radius, and goes on with the other blocks only.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ RADIUS = 2
 BLOCKS = 4
 SLAB = 1024  # members of a bucket that are compared with each other in one piece
 QUERIES = 256  # queries whose counters are updated together
+LOOK = 8  # planes between two looks at which blocks are left
 
 
 def fingerprint(text: str, width: int = 3) -> int:
@@ -65,24 +66,42 @@ def bit_planes(values: np.ndarray) -> np.ndarray:
     return np.packbits(planes, axis=1, bitorder="little").view("<u8")
 
 
-def within_radius(queries: np.ndarray, planes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, member) of at most two differing bits; ``n`` members lie in ``planes``."""
-    ones = np.zeros((len(queries), planes.shape[1]), np.uint64)
-    twos, over = ones.copy(), ones.copy()
+def _near_in(ones: np.ndarray, twos: np.ndarray, over: np.ndarray) -> np.ndarray:
+    """The lanes of each word that are still within the radius."""
+    return ~(over | (ones & twos))
+
+
+def within_radius(queries: np.ndarray, planes: np.ndarray, n: int, since: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, member) of at most two differing bits; ``n`` members lie in ``planes``.
+
+    ``since`` is the first member that each query is compared with (all, if None).
+    The counters are held for each query and block of 64 members; every
+    ``LOOK`` planes, those whose members are all beyond the radius are left.
+    """
+    q, word = (a.ravel() for a in np.indices((len(queries), planes.shape[1])))
     full = ~np.uint64(0)
+    over = np.zeros(len(q), np.uint64)
     if n % 64:
-        over[:, -1] = full << np.uint64(n % 64)  # lanes without a member
+        over[word == planes.shape[1] - 1] = full << np.uint64(n % 64)  # lanes without a member
+    if since is not None:
+        skipped = np.clip(since[q] - 64 * word, 0, 64)
+        over |= np.where(skipped == 64, full, (np.uint64(1) << (skipped % 64).astype(np.uint64)) - np.uint64(1))
+    ones, twos = np.zeros_like(over), np.zeros_like(over)
     for b in range(64):
-        mask = (np.uint64(0) - ((queries >> np.uint64(b)) & np.uint64(1)))[:, None]
-        differ = planes[b][None, :] ^ mask
+        if b % LOOK == 0:
+            stay = _near_in(ones, twos, over) != 0
+            if not stay.all():
+                q, word, ones, twos, over = (a[stay] for a in (q, word, ones, twos, over))
+            if not len(q):
+                break
+        differ = planes[b][word] ^ (np.uint64(0) - ((queries >> np.uint64(b)) & np.uint64(1)))[q]
         carry = ones & differ
         ones ^= differ
         over |= twos & carry
         twos ^= carry
-        if b % 8 == 7 and ((over | (ones & twos)) == full).all():
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-    near = ~(over | (ones & twos))
-    return np.nonzero(np.unpackbits(near.view(np.uint8), axis=1, bitorder="little"))
+    near = _near_in(ones, twos, over)
+    cell, lane = np.nonzero(np.unpackbits(near.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    return q[cell], word[cell] * 64 + lane
 
 
 def _joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -114,7 +133,7 @@ def tile_links(values: np.ndarray, in_first: np.ndarray | None) -> tuple[np.ndar
         planes = bit_planes(np.ascontiguousarray(unsigned[second]))
         for start in range(0, len(first), QUERIES):
             part = first[start : start + QUERIES]
-            q, m = within_radius(unsigned[part], planes, len(second))
+            q, m = within_radius(unsigned[part], planes, len(second), part + 1 if in_first is None else None)
             labels = _joined(labels, part[q], second[m])
     moved = np.flatnonzero(labels != np.arange(len(values)))
     return values[moved], values[labels[moved]]
