@@ -79,6 +79,25 @@ def test_bit_slices_find_all_near_pairs():
     assert all(links.get(v, v) == truth[v] for v in truth)
 
 
+def test_blocks_beyond_the_radius_are_left(monkeypatch):
+    looked = []
+    near_in = simhash._near_in
+    monkeypatch.setattr(simhash, "_near_in", lambda ones, twos, over: looked.append(len(over)) or near_in(ones, twos, over))
+    rnd = np.random.default_rng(14)
+    values = np.sort(np.unique(rnd.integers(0, 1 << 63, 1000, dtype=np.uint64)))
+    # alone in its tile, and beside others: no value meets itself, so all blocks are left
+    links = simhash.tile_links(values.view(np.int64), None)
+    assert len(links[0]) == 0
+    starts = [i for i, n in enumerate(looked) if n == 256 * 16 or i == 0 or n > looked[i - 1]]
+    for a, b in zip(starts, starts[1:]):
+        assert b - a < 64 // simhash.LOOK and looked[b - 1] < looked[a] / 20  # few cells are left well before the last plane
+    looked.clear()
+    near = values.copy()
+    near[700] = near[10] ^ np.uint64(5)
+    q, m = simhash.within_radius(near[:256], simhash.bit_planes(near), len(near), np.arange(1, 257))
+    assert (q.tolist(), m.tolist()) == ([10], [700]) and looked[-1] == 1  # one block of one query went through all planes
+
+
 def test_crowded_buckets_are_cut_into_slabs(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SLAB", 8)
     rnd = random.Random(8)
@@ -196,14 +215,46 @@ def test_shards_are_level_and_gapless(spark):
     assert set(load) == {0, 1, 2, 3} and all(sorted(s) == list(range(len(s))) for s in slots.values())
     largest = max(sum(c.values()) for k, c in where.items() if len(c) == 1)
     assert max(load.values()) - min(load.values()) <= 0.15 * sum(load.values()) / 4 or largest > 0.15 * sum(load.values()) / 4
-    cut = sharding.CUT * sum(load.values()) / 4
-    assert all(len(c) == 1 for c in where.values() if sum(c.values()) < cut / 4)
+    copies = collections.Counter(r.text_crc32 for r in got)
+    assert all(len(c) == 1 for k, c in where.items() if sum(c.values()) <= sum(load.values()) / 4 and copies[k] <= len(got) / 4)
     assert {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None}
     again = {(r.doc_id, r.text_crc32, r.slot): r.shard for r in sharding.assign_shards(df.repartition(7), 4).collect()}
     assert again == {(r.doc_id, r.text_crc32, r.slot): r.shard for r in got}
     assert sharding.assign_shards(empty_table(spark)).count() == 0
 
 
+def test_only_what_no_shard_can_hold_is_cut():
+    rnd = np.random.default_rng(12)
+    for shards in (1, 3, 16):
+        loads = rnd.pareto(1.0, (60, 3)) + 0.01
+        loads[:4, 1] = 0
+        loads[0] = loads.sum(axis=0) / 2  # half of all
+        room = np.tile(loads.sum(axis=0) / shards, (shards, 1))
+        left = room / room.sum(axis=0)
+        for load, pieces in zip(loads / room.sum(axis=0), sharding.place_whole_or_cut(loads, room)):
+            assert abs(sum(p for p, _ in pieces) - 1) < 1e-9 and len({s for _, s in pieces}) == len(pieces) <= shards
+            holds = [(left[s] >= load - 1e-6).all() for s in range(shards)]
+            assert len(pieces) == 1 or not any((left[s] >= load + 1e-6).all() for s in range(shards))
+            if len(pieces) == 1 and any(holds):
+                assert holds[pieces[0][1]]
+            for part, s in pieces:
+                left[s] -= load * part
+    one = sharding.place_whole_or_cut(np.array([[4.0, 0, 1]]), np.array([[2.0, 0, 1], [3.0, 0, 1]]))[0]
+    assert [(round(part, 9), shard) for part, shard in one] == [(0.75, 1), (0.25, 0)]
+
+
+def test_copies_that_fit_a_shard_stay_together(spark):
+    rnd = random.Random(13)
+    rows = [(i, "copy one " * 20) for i in range(150)] + [(1000 + i, "copy two " * 20) for i in range(100)]
+    rows += [(2000 + i, words(rnd, 30)) for i in range(600)]
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    shards_of, load = collections.defaultdict(set), collections.Counter()
+    for r in got:
+        shards_of[r.text_crc32].add(r.shard)
+        load[r.shard] += r.size
+    assert all(len(s) == 1 for s in shards_of.values()) and max(load.values()) - min(load.values()) < 0.02 * sum(load.values())
+
+
 def test_a_group_goes_where_the_dot_product_is_highest():
     loads = np.array([[8.0, 1, 1], [1, 8, 1], [8, 1, 1], [1, 8, 1]])
     assert sharding.pack(loads, np.full((2, 3), 9.0)).tolist() in ([0, 1, 1, 0], [0, 1, 0, 1], [0, 0, 1, 1], [0, 1, 1, 0])
