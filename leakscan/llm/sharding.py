@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from leakscan.llm.common import settled, whole
 
 DIMENSIONS = ("bytes", "tokens", "rows")
-WEIGHTS = (4.0, 1.0, 1.0)  # in the dot product; bytes are what the law of the shards is about
+WEIGHTS = (256.0, 1.0, 1.0)  # in the dot product; the law of the shards is about bytes, the others decide between shards level in them
 GRAIN = 1 << 20  # a cut group's rows are dealt to its pieces by hashes of their keys, of so many values
 LARGE = 1 / 1024  # groups over this part of the whole in some dimension are placed first: 3 * 1024 of them at most
 BLOCK = 2000  # groups in a block, about
@@ -62,7 +62,8 @@ def place_whole_or_cut(loads: np.ndarray, room: np.ndarray) -> list[list[tuple[f
     left, loads, weights = room / whole_room, loads / whole_room, np.array(WEIGHTS)
     placed = []
     for load in loads:
-        pieces, rest = [], 1.0
+        pieces: dict[int, float] = {}
+        rest = 1.0
         while rest > 0:
             # the part of the group that each shard has room for
             parts = np.where(load > 0, np.maximum(left, 0) / np.where(load > 0, load, 1.0), 1.0).min(axis=1)
@@ -73,9 +74,9 @@ def place_whole_or_cut(loads: np.ndarray, room: np.ndarray) -> list[list[tuple[f
             best = int(np.where(able | ~able.any(), left @ (load * weights), -np.inf).argmax())
             part = float(parts[best]) if cut else rest
             left[best] -= load * part
-            pieces.append((part, best))
+            pieces[best] = pieces.get(best, 0.0) + part
             rest -= part
-        placed.append(pieces)
+        placed.append([(part, shard) for shard, part in pieces.items()])
     return placed
 
 
