@@ -334,7 +334,8 @@ def _streamed(spark, sf, table_name, transform):
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         own.conf.set(name, spark.conf.get(name))
-    rows = own.readStream.option("maxFilesPerTrigger", FILES_A_BATCH).schema(table(spark, sf, table_name).schema).option("pathGlobFilter", f"{table_name}.parquet").parquet(sf)
+    # a pattern, since a stream takes no plain file; it fits a table of one file as well as a folder of many
+    rows = own.readStream.option("maxFilesPerTrigger", FILES_A_BATCH).schema(table(spark, sf, table_name).schema).parquet(f"{sf}/{table_name}.[p]arquet")
     out = transform(rows)
     if out is None:  # it has written its own table
         return None

@@ -9,6 +9,7 @@ from test_scan import AWS
 from leakscan.operators import policy, report
 from leakscan.operators.alerts import threshold_alerts
 from leakscan.operators.session import repeat_suppress, scan_session, session_combine, throttle
+from leakscan.plans import all_queries
 from leakscan.sources.builtin import RULES
 from leakscan.streaming import processors as p, streams as s
 
@@ -140,3 +141,17 @@ def test_notify_once(spark, tmp_path):
     df = spark.createDataFrame([("a", 0), ("b", 1), ("a", 3), ("a", 60), ("b", 61)], "content string, sec int").withColumn("ts", F.timestamp_seconds(F.col("sec") + 1_700_000_000))
     got = run(p.notify_once(stream_of(spark, df, tmp_path / "in", 5)), tmp_path)
     assert sorted((r.content, r.sec) for r in got.collect()) == [("a", 0), ("a", 60), ("b", 1), ("b", 61)]
+
+
+STREAMS = ("t2_session_combine_stream", "t2_session_combine_strangers_stream", "t4_active_sessions_stream",
+           "t4_active_sessions_sketch_stream", "p6_query_log_stream")
+
+
+def test_tables_of_many_files(spark, tmp_path):
+    """A stream reads a table that is a folder of files as it does one that is a file."""
+    for name in ("conversations", "pages"):
+        spark.read.parquet(f"{DATA}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    registry = all_queries().QUERIES
+    for name in STREAMS:
+        want, got = (sorted(registry[name](spark, folder).collect(), key=repr) for folder in (DATA, str(tmp_path)))
+        assert want and got == want, name
