@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 from leakscan.llm.common import map_rows, once, whole
 
 ROOT = 0
+LIMITS = 250_000, 400_000  # pre-tokens and transitions that an encoder keeps
+FEW = 50_000, 100_000  # the same beside other work in one session: about 60 MB less of a worker, for half as much time again
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -212,9 +214,9 @@ def packed(ids: Iterable[int]) -> bytes:
 class Encoder(dict):
     """Ids of whole texts. As a dict it remembers the ids of up to ``limit`` pre-tokens."""
 
-    def __init__(self, tokens: list[bytes], pattern: str, limit: int = 250_000):
+    def __init__(self, tokens: list[bytes], pattern: str, limit: int = LIMITS[0], moves: int = LIMITS[1]):
         super().__init__()
-        self.machine = Transducer(Merges(tokens))
+        self.machine = Transducer(Merges(tokens), moves)
         self.pattern, self.limit = regex.compile(pattern), limit
 
     def __missing__(self, piece: str) -> bytes:
@@ -278,8 +280,8 @@ def decode_stream(tokens: list[bytes], packed_ids: bytes, chunk: int = 1 << 16)
     yield decoder.finish()
 
 
-def _encoder(joined: bytes, lengths: bytes, pattern: str) -> Encoder:
-    return once(("encoder", joined, lengths, pattern), lambda: Encoder(_cut(joined, lengths), pattern))
+def _encoder(joined: bytes, lengths: bytes, pattern: str, limits: tuple[int, int] = LIMITS) -> Encoder:
+    return once(("encoder", joined, lengths, pattern, limits), lambda: Encoder(_cut(joined, lengths), pattern, *limits))
 
 
 def _tokens(joined: bytes, lengths: bytes) -> list[bytes]:
@@ -328,12 +330,14 @@ def _ddl(df: DataFrame, keep: list[str]) -> str:
     return "".join(f"`{c}` {types[c]}, " for c in keep)
 
 
-def round_trip(docs: DataFrame, tokens: list[bytes], pattern: str, keep: list[str], text: str = "text") -> DataFrame:
-    """:func:`encode` and :func:`decode` in one pass: ``keep``, ``ids`` and ``decoded``."""
+def round_trip(
+    docs: DataFrame, tokens: list[bytes], pattern: str, keep: list[str], text: str = "text", limits: tuple[int, int] = LIMITS
+) -> DataFrame:
+    """:func:`encode` and :func:`decode` in one pass: ``keep``, ``ids`` and ``decoded``; ``limits`` bear on memory and time only."""
     vocabulary = _shipped(tokens)
 
     def rows(*columns):
-        encoder = _encoder(*vocabulary, pattern)
+        encoder = _encoder(*vocabulary, pattern, limits)
         words = encoder.machine.merges.tokens
         ids = [encoder.encode(t) for t in columns[-1]]
         return dict(zip(keep, columns)) | {"ids": ids, "decoded": [b"".join(decode_stream(words, x)) for x in ids]}
@@ -342,9 +346,11 @@ def round_trip(docs: DataFrame, tokens: list[bytes], pattern: str, keep: list[st
     return map_rows(source, _ddl(docs, keep) + "ids binary, decoded binary", rows)
 
 
-def digests(docs: DataFrame, tokens: list[bytes], pattern: str, keep: list[str], text: str = "text", with_ids: bool = False) -> DataFrame:
+def digests(
+    docs: DataFrame, tokens: list[bytes], pattern: str, keep: list[str], text: str = "text", with_ids: bool = False, limits: tuple[int, int] = LIMITS
+) -> DataFrame:
     """``keep`` with n_tokens, ids_sha256 and decoded_sha256 of the ids and of what they decode to; ``ids`` too if asked for."""
-    return round_trip(docs, tokens, pattern, keep, text).select(
+    return round_trip(docs, tokens, pattern, keep, text, limits).select(
         *keep,
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

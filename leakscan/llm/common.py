@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import sys
 import tempfile
 import types
@@ -59,6 +61,7 @@ def map_rows(df: DataFrame, schema: str, rows: Callable[..., dict], step: int =
                 part = batch.slice(start, step)
                 made = rows(*[c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
+        give_back()
 
     arrow = arrow_schema(df.sparkSession, schema)
     return df.mapInArrow(run, schema)
@@ -85,10 +88,20 @@ def once(key: Hashable, build: Callable[[], Any]) -> Any:
     kept = sys.modules.setdefault("_leakscan_kept", types.ModuleType("_leakscan_kept")).__dict__.setdefault("kept", {})
     if key not in kept:
         kept.clear()  # a worker serves one operator after the other; what the last one held would only add up
+        give_back()
         kept[key] = build()
     return kept[key]
 
 
+def give_back() -> None:
+    """Memory that is free in this worker goes back to the system; a worker outlives its tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library has it
+    if trim:
+        trim(0)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows written as Parquet to the shared folder and read back; :func:`discard` removes them."""
     spark = df.sparkSession

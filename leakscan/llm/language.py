@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from leakscan.llm.bpe import _ddl
-from leakscan.llm.common import map_rows, once, training_split, whole
+from leakscan.llm.common import give_back, map_rows, once, training_split, whole
 from leakscan.llm.learning import sample_texts
 
 SEGMENT = 512
@@ -255,5 +255,6 @@ def with_language(docs: DataFrame, model: Model, text: str = "text") -> DataFram
                 part = batch.slice(start, 4096)
                 names, _ = _parser(model).predict([t or "" for t in part.column(at).to_pylist()])
                 yield part.filter(pa.array([n != UNDETERMINED for n in names], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from leakscan.llm.bpe import _ddl
 from leakscan.llm.common import map_rows, settled, whole
@@ -40,7 +40,11 @@ def fingerprint(text: str, width: int = 3) -> int:
     else:
         shingles = map(b" ".join, zip(*[words[i:] for i in range(width)]))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, 42) for s in shingles], "<u8")
+    return majority(np.array([digest(s, 42) for s in shingles], "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed 64-bit integer; 0 for none."""
     set_bits = np.zeros(64, np.int64)
     for start in range(0, len(hashes), 1 << 14):  # bits of a long text are counted in pieces
         part = hashes[start : start + (1 << 14)]
@@ -170,6 +174,22 @@ def _links_of_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield batch(close(held[0]))
 
 
+def buckets(fingerprint: Column, radius: int, blocks: int) -> Column:
+    """An array of longs of which two values within the radius have at least one in common.
+
+    Of so many blocks of bits they agree in all but ``radius``; each choice of the others is a bucket.
+    """
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    parts = [F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << b - a) - 1)) for a, b in zip(cuts, cuts[1:])]
+    made = []
+    for k, chosen in enumerate(combinations(range(blocks), blocks - radius)):
+        key = F.lit(k).cast("long")
+        for i in chosen:
+            key = F.shiftleft(key, cuts[i + 1] - cuts[i]) + parts[i]
+        made.append(key)
+    return F.array(*made)
+
+
 def near_links(values: DataFrame) -> DataFrame:
     """Links ``(hi, lo)`` that join the distinct values of ``fingerprint`` as all pairs within the radius do."""
     parts = [F.shiftrightunsigned("fingerprint", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(BLOCKS)]

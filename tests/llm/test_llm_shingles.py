@@ -4,11 +4,12 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 from samples import clashing, empty_table, odd_rows, odd_table, words
 from test_llm_dedup import sets
 
 import corpus_pipeline
-from leakscan.llm import countmin, shingles
+from leakscan.llm import countmin, shingles, simhash
 
 DATA = "/root/testdata/sf0.001"
 
@@ -90,6 +91,37 @@ def test_one_row_of_each_group_alike_stays(spark, monkeypatch):
     assert sorted((r.doc_id for r in shingles.without_near_duplicates(odd_table(spark)).collect()), key=repr) == plain_kept([r[:2] for r in odd_rows()])
 
 
+def test_fingerprints_within_the_radius_share_a_bucket(spark):
+    rnd = random.Random(8)
+    values = []
+    for _ in range(60):
+        base = rnd.getrandbits(64)
+        other = base
+        for bit in rnd.sample(range(64), rnd.randint(0, shingles.RADIUS)):
+            other ^= 1 << bit
+        values.append(tuple(int(v) - (1 << 64) if v >> 63 else v for v in (base, other)))
+    made = spark.createDataFrame(values, "a long, b long").select(
+        *[simhash.buckets(F.col(c), shingles.RADIUS, shingles.BLOCKS).alias(c) for c in "ab"]).collect()
+    assert all(len(r.a) == 28 and any(x == y for x, y in zip(r.a, r.b)) for r in made)
+
+
+def test_fingerprints_alone_link_what_lies_within_the_radius(spark, monkeypatch):
+    rnd = random.Random(9)
+    rows = []
+    for b in range(12):
+        base = words(rnd, 900)
+        rows += [(10 * b, base), (10 * b + 1, edited(rnd, base, 2)), (10 * b + 2, words(rnd, 50))]
+
+    def known(text):
+        return shingles.shingle_set(text), simhash.majority(shingles.shingle_set(text)) % (1 << 64)
+
+    near = {10 * b + 1 for b in range(12) if (known(rows[3 * b][1])[1] ^ known(rows[3 * b + 1][1])[1]).bit_count() <= shingles.RADIUS}
+    assert len(near) > 5
+    monkeypatch.setattr(shingles, "TURNS", 1)  # without the exact search after them
+    kept = shingles.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {k for k, _ in rows} - {r.doc_id for r in kept.collect()} == near
+
+
 def test_the_stage_beside_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     kept = corpus_pipeline.near_dedup(spark, docs, DATA)

@@ -44,6 +44,14 @@ def test_a_full_machine_reads_on():
         assert unpacked(small.run(word.encode())) == REFERENCE._encode_single_piece(word.encode())
 
 
+def test_an_encoder_keeps_no_more_than_its_limits():
+    few, rnd = bpe.Encoder(TOKENS, PATTERN, 30, 200), random.Random(5)
+    for _ in range(60):
+        text = " ".join("".join(rnd.choice("etaoinshr") for _ in range(rnd.randint(1, 12))) for _ in range(20))
+        assert unpacked(few.encode(text)) == REFERENCE.encode_ordinary(text)
+        assert len(few) <= 30 + 20 and len(few.machine.moves) <= 200
+
+
 def test_output_is_late_by_less_than_the_longest_token():
     machine, state, out, longest = ENCODER.machine, 0, 0, max(map(len, TOKENS))
     for read, byte in enumerate(b"internationalisation" * 20, 1):
