@@ -6,7 +6,7 @@ import gzip
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from leakscan.functions.base64text import decode_base64_text
@@ -198,11 +198,12 @@ def read_corpus_query(spark, sf):
 _KINDS = ("plain", "gzip", "deflate", "form", "multipart", "json")
 
 
-def _make_bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _make_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Request bodies around the documents, one kind after the other."""
-    for batch in batches:
+    types = (pa.int64(), pa.string(), pa.string(), pa.binary())
+    for batch in (b.slice(start, bodies.STEP) for b in batches for start in range(0, b.num_rows, bodies.STEP)):
         rows = []
-        for key, text in zip(batch["record_id"], batch["content"]):
+        for key, text in zip(*[batch.column(c).to_pylist() for c in ("record_id", "content")]):
             kind, data = _KINDS[key % len(_KINDS)], text.encode()
             content_type, encoding = "text/plain", ""
             if kind == "gzip":
@@ -215,7 +216,8 @@ def _make_bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 data = (b'--XX\r\nContent-Disposition: form-data; name="f"; filename="a.env"\r\n\r\n' + data
                         + b'\r\n--XX\r\nContent-Disposition: form-data; name="g"\r\n\r\nsecond\r\n--XX--\r\n')
             rows.append((key, content_type, encoding, data))
-        yield pd.DataFrame(rows, columns=["record_id", "content_type", "content_encoding", "body"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["record_id", "content_type", "content_encoding", "body"])
 
 
 def request_bodies(docs):
@@ -224,7 +226,7 @@ def request_bodies(docs):
     key = F.col("record_id")
     form = F.concat(F.lit("z=last&b="), F.url_encode("content"), F.lit("&a=first%20one"))
     json = F.concat(F.lit('{"data":"'), encoded(F.concat(F.lit("secret of number "), key.cast("string"))), F.lit('"}'))
-    made = docs.filter(~kind.isin(3, 5)).mapInPandas(_make_bodies, "record_id bigint, content_type string, content_encoding string, body binary")
+    made = docs.filter(~kind.isin(3, 5)).mapInArrow(_make_bodies, "record_id bigint, content_type string, content_encoding string, body binary")
     native = docs.filter(kind.isin(3, 5)).select(
         "record_id", F.when(kind == 3, "application/x-www-form-urlencoded").otherwise("application/json").alias("content_type"),
         F.lit("identity").alias("content_encoding"), F.when(kind == 3, form).otherwise(json).cast("binary").alias("body"))

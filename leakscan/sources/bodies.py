@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from leakscan.functions.base64text import decode_base64_text
 from leakscan.functions.form import form_text
 
+STEP = 256  # bodies that are held unpacked at once
+
 
 def inflate(data: bytes, encoding: str) -> tuple[bytes, bool]:
     """All inflated bytes; the bytes as they are and False if that fails."""
@@ -95,8 +97,10 @@ def extract_body_text(bodies: DataFrame, key: str = "record_id") -> DataFrame:
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             others = [c for c in batch.schema.names if c != "body"]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in others], *_unpacked(batch)], names=[*others, "_raw", "encoding_ok", "_names", "_parts"])
+            for start in range(0, batch.num_rows, STEP):
+                part = batch.slice(start, STEP)
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(c) for c in others], *_unpacked(part)], names=[*others, "_raw", "encoding_ok", "_names", "_parts"])
 
     opened = bodies.filter(packed).mapInArrow(unpack, schema)
     both = ready.drop("body").unionByName(opened)

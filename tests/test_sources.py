@@ -169,3 +169,14 @@ def test_code_blocks(spark):
     df = spark.createDataFrame([(1, page), (2, "no code"), (3, "")], "page_id int, html string")
     rows = [(r.page_id, r.block, r.in_code_fence, r.language_hint) for r in html.explode_code_blocks(df).orderBy("page_id", "block").collect()]
     assert rows == [(1, 0, False, ""), (1, 1, True, "yaml"), (1, 2, False, ""), (1, 3, True, ""), (1, 4, True, "go"), (2, 0, False, "")]
+
+
+def test_bodies_are_made_in_slices():
+    import pyarrow as pa
+
+    from leakscan.plans.source_queries import _make_bodies
+
+    batch = pa.RecordBatch.from_pydict({"record_id": list(range(0, 6000, 6)), "content": ["x"] * 1000})
+    made = list(_make_bodies(iter([batch])))
+    assert max(b.num_rows for b in made) <= bodies.STEP
+    assert [k for b in made for k in b.column("record_id").to_pylist()] == list(range(0, 6000, 6))
