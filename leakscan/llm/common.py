@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import ctypes
 import gc
 import sys
@@ -16,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from leakscan.session import small_batches  # noqa: F401, used by the operators here
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -120,21 +121,6 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, megabytes: int = 8) -> Iterator[None]:
-    """Rows go to Python in batches of so many MB at most, whatever a row holds, in all that runs within the block."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(megabytes << 20))
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
-
-
 def numbered(df: DataFrame, key: str, order: list[Column], at: str, keep: list[str]) -> DataFrame:
     """The columns ``keep``, written, with the place ``at`` of each row among those of its ``key``, from 0, by ``order``.
 

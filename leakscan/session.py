@@ -6,9 +6,11 @@ calls :func:`local_session`.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +60,18 @@ def settle(df: DataFrame) -> DataFrame:
     path = shared_dir(spark, f"settled-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, megabytes: int = 8) -> Iterator[None]:
+    """Rows go to Python in batches of so many MB at most, whatever a row holds, in all that runs within the block."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(megabytes << 20))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)

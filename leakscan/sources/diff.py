@@ -1,10 +1,11 @@
 """Added lines of unified diffs.
 
-Lines are put in order once, per diff and slot of positions. A slot knows its own
+Lines that come together move together, as one row of lists, and are put in order once,
+per diff and slot of positions; whole slots are worked on many at a time. A slot knows its own
 headers and hunks; what it takes over from earlier slots (the file it begins in, the
 steps so far, the last hunk) is worked out on a table with one row per slot, so a
 huge diff is shared by many tasks. Lines leave a slot as pieces, one for each run
-of a file.
+of a file. The pieces are written, since both the slots' ends and the lines are read from them.
 """
 
 from __future__ import annotations
@@ -16,114 +17,184 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from leakscan.operators.lookup import fits_broadcast
+from leakscan.session import settle, small_batches
+
 SLOT = 100_000  # positions of a diff that are ordered together
-_FLUSH = 20_000  # lines given out at once
 _NUMBERS = pa.struct([("start", pa.int64()), ("steps", pa.int64()), ("open", pa.int64())])
 _END = pa.struct([("file", pa.string()), ("steps", pa.int64()), ("open", pa.int64()), ("hunk", _NUMBERS)])
-_CONTEXT, _ADDED, _OTHER, _HEADER, _HUNK = range(5)
+_CONTEXT, _ADDED, _HEADER, _HUNK = range(4)
+
+
+def _changes(*columns: pa.Array) -> np.ndarray:
+    """Whether a row differs from the one before it in any of the columns; the first one does."""
+    apart = np.zeros(len(columns[0]), bool)
+    apart[:1] = True
+    for column in columns:
+        try:
+            codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            apart[1:] |= codes[1:] != codes[:-1]
+        except pa.ArrowNotImplementedError:
+            rows = column.to_pylist()
+            apart[1:] |= np.fromiter((x != y for x, y in zip(rows[1:], rows)), bool, len(rows) - 1)
+    return apart
+
+
+def _places(column: pa.Array) -> np.ndarray:
+    if pa.types.is_integer(column.type):
+        return column.cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy()
+    return column.cast(pa.float64()).fill_null(float(np.iinfo(np.int64).min)).to_numpy()
+
+
+def _as_text(data: pa.Array) -> pa.Array:
+    return pa.Array.from_buffers(pa.string(), len(data), data.buffers(), data.null_count, data.offset)
+
+
+def _after(data: pa.Array, size: int) -> pa.Array:
+    return pc.binary_replace_slice(data, 0, size, b"")
+
+
+def _path(header: pa.Array) -> pa.Array:
+    """The file that a ``+++`` line names; empty if there is none."""
+    tail = _after(header, 4)
+    named = pc.if_else(pc.starts_with(tail, b"b/"), _after(tail, 2), tail)
+    return pc.if_else(pc.equal(tail, b"/dev/null"), pa.scalar(b"", pa.binary()), named)
+
+
+def _start(hunk: pa.Array) -> np.ndarray:
+    """The new file's line at which a ``@@`` line says it begins; 1 if that is no number from 1 to the largest int."""
+    digits = pc.struct_field(pc.extract_regex(hunk, r"\A[^+]*\+(?P<n>-?[0-9]+)(?:[, ]|\z)"), "n").to_pylist()
+    numbers = (int(d) if d and len(d.lstrip(b"-0")) < 11 else 0 for d in digits)
+    return np.fromiter((n if 1 <= n < 1 << 31 else 1 for n in numbers), np.int64, len(digits))
+
 
+def _marked(batch: pa.RecordBatch, slot: int) -> list[pa.Array]:
+    """Diff, slot, position, kind, start of the hunk and value (added text, or file) of the lines that bear on any number."""
+    data = batch.column(2).cast(pa.binary())
 
-def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each diff and slot, which come together."""
+    def begins(word: bytes) -> np.ndarray:
+        return pc.starts_with(data, word).fill_null(False).to_numpy(zero_copy_only=False)
+
+    kind = np.where(begins(b"+"), np.where(begins(b"+++ "), _HEADER, _ADDED), np.where(begins(b"@@"), _HUNK, _CONTEXT))
+    kept = np.flatnonzero(~begins(b"-") & data.is_valid().to_numpy(zero_copy_only=False))
+    diff, pos, data = [c.take(pa.array(kept)) for c in (batch.column(0), batch.column(1), data)]
+    kind = kind[kept]
+    header, hunk = kind == _HEADER, kind == _HUNK
+    start = np.zeros(len(kind), np.int64)
+    start[hunk] = _start(data.filter(pa.array(hunk)))
+    value = pc.replace_with_mask(_after(data, 1), pa.array(header), _path(data.filter(pa.array(header))))
+    value = pc.if_else(pa.array(header | (kind == _ADDED)), value, pa.scalar(None, pa.binary()))
+    at = np.floor_divide(_places(pos), slot)
+    slots = pa.array(at.astype(np.int64), mask=pos.is_null().to_numpy(zero_copy_only=False))
+    return [diff, slots, pos, pa.array(kind.astype(np.int8)), pa.array(start), _as_text(value)]
+
+
+def _runs(batch: pa.RecordBatch, slot: int, names: list[str]) -> pa.RecordBatch:
+    """Neighbouring lines of a diff and slot as one row of lists, with the position of the first."""
+    diff, slots, *lists = _marked(batch, slot)
+    cuts = np.flatnonzero(_changes(diff, slots))
+    offsets = pa.array(np.r_[cuts, len(diff)], pa.int32())
+    heads = [c.take(pa.array(cuts)) for c in (diff, slots, lists[0])]
+    return pa.RecordBatch.from_arrays([*heads, *[pa.ListArray.from_arrays(offsets, c) for c in lists]], names=names)
+
+
+def _whole_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs in order of diff and slot, cut between slots only."""
     held: list[pa.RecordBatch] = []
-    current = None
     for batch in batches:
-        begin = 0
-        for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-            if key != current:
-                if i > begin:
-                    held.append(batch.slice(begin, i - begin))
-                if held:
-                    yield pa.Table.from_batches(held)
-                held, current, begin = [], key, i
-        held.append(batch.slice(begin))
+        if not batch.num_rows:
+            continue
+        cut = int(np.flatnonzero(_changes(batch.column(0), batch.column(1)))[-1])
+        before = held[-1].slice(held[-1].num_rows - 1) if held else None
+        if cut == 0 and before is not None and not _changes(*[pa.concat_arrays([before.column(i), batch.column(i).slice(0, 1)]) for i in (0, 1)])[1]:
+            held.append(batch)
+            continue
+        if held or cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+        held = [batch.slice(cut)]
     if held:
         yield pa.Table.from_batches(held)
 
 
-def _pieces_of(rows: pa.Table) -> tuple[pa.Table, list[dict], pa.Table]:
-    """Added lines of a slot, its pieces (number of lines, file), and the numbers of the lines.
+def _pieces_of(runs: pa.Table) -> list[pa.Array]:
+    """For whole slots: diff, slot, file, lines and end of their pieces, and then of each slot's end.
 
     ``inside`` numbers a line for a slot that begins in a file, ``outside`` for one that does
-    not; ``own`` says that the hunk is of the slot. The last piece says how the slot ends.
+    not; ``own`` says that the hunk is of the slot.
     """
-    kind = rows.column("_kind").to_numpy()
-    start = rows.column("_start").fill_null(0).to_numpy()
-    value = rows.column("_value").combine_chunks()
+    diff, slot, _, *lists = [pa.concat_arrays(c.chunks) for c in runs.columns]
+    fresh = _changes(diff, slot)
+    group = np.repeat(np.cumsum(fresh) - 1, lists[0].value_lengths().to_numpy())
+    pos, kind, start, value = [c.flatten() for c in lists]
+    at = _places(pos)
+    if ((at[1:] < at[:-1]) & (group[1:] == group[:-1])).any():
+        order = np.lexsort((at, group))  # groups stay where they are
+        pos, kind, start, value = [c.take(pa.array(order)) for c in (pos, kind, start, value)]
+    kind, start = kind.to_numpy(), start.to_numpy()
     places = np.arange(len(kind))
-    header = np.maximum.accumulate(np.where(kind == _HEADER, places, -1))
-    hunk = np.maximum.accumulate(np.where(kind == _HUNK, places, -1))
+    firsts = np.flatnonzero(np.r_[True, np.diff(group) != 0])
+    first = firsts[group]
+
+    def latest(of: int) -> np.ndarray:
+        found = np.maximum.accumulate(np.where(kind == of, places, -1))
+        return np.where(found >= first, found, -1)
+
+    def counted(flags: np.ndarray) -> np.ndarray:
+        total = np.r_[0, np.cumsum(flags)]
+        return total[1:] - total[first]
+
+    def value_at(header: np.ndarray) -> pa.Array:
+        return value.take(pa.array(header, mask=header < 0))
+
+    header, hunk = latest(_HEADER), latest(_HUNK)
     in_file = (header >= 0) & pc.not_equal(value, "").fill_null(False).to_numpy(zero_copy_only=False)[header]
     known, open_ = (kind == _ADDED) & in_file, (kind == _ADDED) & (header < 0)
-    steps, opens = np.cumsum((kind == _CONTEXT) | known), np.cumsum(open_)
+    steps, opens = counted((kind == _CONTEXT) | known), counted(open_)
     own = hunk >= 0
     outside = steps - 1 + np.where(own, start[hunk] - steps[hunk], 0)
     inside = outside + opens - np.where(own, opens[hunk], 0)
-    wanted = np.flatnonzero(known | open_)
-    cuts = np.flatnonzero(np.r_[True, np.diff(header[wanted]) != 0]) if len(wanted) else np.array([0])
 
-    def file_at(place: int) -> str | None:
-        return value[int(place)].as_py() if place >= 0 else None
-
-    pieces = [{"file": file_at(header[wanted[a]]) if len(wanted) else None, "n": int(b - a)} for a, b in zip(cuts, np.r_[cuts[1:], len(wanted)])]
-    last = int(hunk[-1])
-    end = {"file": file_at(header[-1]), "steps": int(steps[-1]), "open": int(opens[-1]), "hunk": None if last < 0 else {
-        "start": int(start[last]), "steps": int(steps[last]), "open": int(opens[last])}}
-    pieces[-1]["end"] = end
-    numbers = pa.table({"inside": inside[wanted], "outside": outside[wanted], "own": own[wanted]})
-    return rows.take(wanted), pieces, numbers
+    wanted = np.flatnonzero(known | open_)
+    new = (np.diff(header[wanted]) != 0) | (np.diff(group[wanted]) != 0)
+    cuts = np.flatnonzero(np.r_[True, new]) if len(wanted) else np.empty(0, np.int64)
+    heads, lasts = wanted[cuts], np.r_[firsts[1:], len(kind)] - 1
+    taken = pa.array(wanted)
+    each = pa.StructArray.from_arrays(
+        [pos.take(taken), value.take(taken), pa.array(inside[wanted]), pa.array(outside[wanted]), pa.array(own[wanted])],
+        names=["pos", "content", "inside", "outside", "own"])
+    rows = np.r_[heads, lasts]
+    no_end = np.arange(len(rows)) < len(heads)
+    numbers = pa.StructArray.from_arrays([pa.array(c[hunk[rows]]) for c in (start, steps, opens)], fields=list(_NUMBERS), mask=pa.array(~own[rows]))
+    end = pa.StructArray.from_arrays(
+        [value_at(header[rows]), pa.array(steps[rows]), pa.array(opens[rows]), numbers], fields=list(_END), mask=pa.array(no_end))
+    offsets = np.r_[cuts, np.full(len(lasts) + 1, len(wanted))]
+    keys = pa.array(np.flatnonzero(fresh)[group[rows]])
+    return [diff.take(keys), slot.take(keys), value_at(np.where(no_end, header[rows], -1)),
+            pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), each), end]
 
 
 def _pieces(lines: DataFrame, diff: str, pos: str, line: str, slot: int) -> DataFrame:
-    """(diff, _slot, file, lines, end): the added lines of each run of a file within a slot.
+    """(diff, _slot, file, lines, end), written: the added lines of each run of a file within a slot, and a row for its end.
 
-    ``file`` is NULL before the slot's first header. ``end`` is set for one piece of each slot.
+    ``file`` is NULL before the slot's first header.
     """
-    text, kind = F.col("_line"), F.col("_kind")
-    tail = F.substring(text, 5, 1 << 30)
-    path = F.when(tail == "/dev/null", "").otherwise(F.regexp_replace(tail, r"\Ab/", ""))
-    digits = F.regexp_extract(text, r"\A[^+]*\+(-?[0-9]+)(?:[, ]|\z)", 1).try_cast("int")
-    kinds = (F.when(text.isNull(), _OTHER).when(text.startswith("+++ "), _HEADER).when(text.startswith("+"), _ADDED)
-             .when(text.startswith("@@"), _HUNK).when(text.startswith("-"), _OTHER).otherwise(_CONTEXT))
-    numbered = lines.select(diff, F.floor(F.col(pos) / slot).alias("_slot"), pos, F.col(line).alias("_line")).withColumn("_kind", kinds)
-    marked = numbered.select(
-        diff, "_slot", pos, "_kind", F.when(kind == _HUNK, F.when(digits >= 1, digits).otherwise(1)).cast("long").alias("_start"),
-        F.when(kind == _ADDED, F.substring(text, 2, 1 << 30)).when(kind == _HEADER, path).alias("_value"))
-    source = marked.repartition(diff, "_slot").sortWithinPartitions(diff, "_slot", pos)
+    given = lines.select(diff, pos, line)
+    types = dict(given.dtypes)
+    keys = f"`{diff}` {types[diff]}, _slot bigint"
+    names = [diff, "_slot", "_at", "_pos", "_kind", "_start", "_value"]
+    made = f"{keys}, _at {types[pos]}, _pos array<{types[pos]}>, _kind array<tinyint>, _start array<bigint>, _value array<string>"
+    runs = given.mapInArrow(lambda batches: (_runs(b, slot, names) for b in batches if b.num_rows), made)
+    source = runs.repartition(diff, "_slot").sortWithinPartitions(diff, "_slot", "_at")
     end = "struct<file:string,steps:bigint,open:bigint,hunk:struct<start:bigint,steps:bigint,open:bigint>>"
-    types = dict(source.dtypes)
     each = f"array<struct<pos:{types[pos]},content:string,inside:bigint,outside:bigint,own:boolean>>"
-    schema = f"`{diff}` {types[diff]}, _slot bigint, file string, lines {each}, end {end}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, found, numbers, pieces, held = [], [], [], [], 0
-
-        def out() -> pa.RecordBatch:
-            rows, counted = pa.concat_tables(found), pa.concat_tables(numbers)
-            columns = [rows.column(pos), rows.column("_value"), *counted.columns]
-            names = ["pos", "content", *counted.column_names]
-            structs = pa.StructArray.from_arrays([pa.concat_arrays(c.chunks) for c in columns], names=names)
-            offsets = np.r_[0, np.cumsum([p["n"] for p in pieces])].astype(np.int32)
-            ends = pa.array([p.get("end") for p in pieces], _END)
-            heads = pa.concat_tables(keys)
-            arrays = [pa.concat_arrays(heads.column(i).chunks) for i in range(2)]
-            arrays += [pa.array([p["file"] for p in pieces], pa.string()), pa.ListArray.from_arrays(pa.array(offsets), structs), ends]
-            return pa.RecordBatch.from_arrays(arrays, names=[diff, "_slot", "file", "lines", "end"])
-
-        for rows in _slots(batches):
-            lines_, made, numbered = _pieces_of(rows)
-            keys.append(rows.select([0, 1]).take([0] * len(made)))
-            found.append(lines_)
-            numbers.append(numbered)
-            pieces += made
-            held += len(lines_) + len(made)
-            if held >= _FLUSH:
-                yield out()
-                keys, found, numbers, pieces, held = [], [], [], [], 0
-        if pieces:
-            yield out()
-
-    return source.mapInArrow(run, schema)
+        for slots in _whole_slots(batches):
+            yield pa.RecordBatch.from_arrays(_pieces_of(slots), names=[diff, "_slot", "file", "lines", "end"])
+
+    # a run is many lines, so batches are bounded by bytes
+    with small_batches(lines.sparkSession):
+        return settle(source.mapInArrow(run, f"{keys}, file string, lines {each}, end {end}"))
 
 
 def _carried(pieces: DataFrame, diff: str) -> DataFrame:
@@ -141,7 +212,11 @@ def _carried(pieces: DataFrame, diff: str) -> DataFrame:
 def _filed(pieces: DataFrame, diff: str) -> DataFrame:
     """Pieces that lie in a file, with it, and what their slot takes over."""
     same = F.col(diff).eqNullSafe(F.col("_of")) & F.col("_slot").eqNullSafe(F.col("_at"))
-    joined = pieces.filter(F.size("lines") > 0).drop("end").join(_carried(pieces, diff), same)
+    # most diffs are one slot, which takes over nothing
+    taken = settle(_carried(pieces, diff).filter("from <> '' OR before <> 0 OR last IS NOT NULL"))
+    filed = pieces.filter(F.size("lines") > 0).drop("end")
+    joined = filed.join(F.broadcast(taken) if fits_broadcast(taken) else taken, same, "left").withColumns(
+        {"from": F.coalesce("from", F.lit("")), "before": F.coalesce("before", F.lit(0))})
     return joined.withColumn("file", F.coalesce("file", "from")).filter("file <> ''")
 
 

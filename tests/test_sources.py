@@ -115,6 +115,26 @@ def test_diff(spark):
         assert got == {"x": (10, "one\ntwo\nfour\nfive\nmore"), "w": (1, "before any hunk of it\nat one")}
 
 
+def test_diff_lines_that_come_apart(spark):
+    """Lines of many diffs, shuffled and not, in small slots and missing keys, give what reading each diff in order gives."""
+    rows = [(d, i * 2 - 5, x) for d in (None, 1, 2, 3) for i, x in enumerate(DIFF * (1 if d == 2 else 3))] + [(4, 0, None), (5, 1, "-gone")]
+    want = {s: None for s in (4, 100_000)}
+    for order in (rows, sorted(rows, key=lambda r: hash((r[0] or 0, r[1])) % 97), rows[::-1]):
+        df = spark.createDataFrame(order, "diff_id int, pos int, line string").repartition(3)
+        for slot in want:
+            got = sorted(diff.added_lines(df, slot=slot).collect(), key=repr)
+            want[slot] = want[slot] or got
+            assert got == want[slot] and len(got) == 7 * (3 + 3 + 1 + 3)
+    assert want[4] == want[100_000]
+
+
+def test_diff_slots_are_made_once(spark):
+    """The lines are not put in order a second time for what slots take over."""
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(DIFF)], "diff_id int, pos int, line string")
+    for rows in (diff.added_lines(df), diff.parse_unified_diff(df)):
+        assert "MapInArrow" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bodies(spark):
     import base64
 
