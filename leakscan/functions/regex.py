@@ -12,6 +12,8 @@ _BOUNDARY = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-
 _NOT_BOUNDARY = r"(?:(?<=[0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<![0-9A-Za-z_])(?![0-9A-Za-z_]))"
 _SPACE = r"\t\n\f\r "
 _FORBIDDEN = re.compile(r"\(\?(?:=|!|<=|<!|>)|\\[1-9]|\\k<|(?<!\\)[*+?}]\+")
+# flags, a boundary, one character or class that must be there, and how often it may be
+_BEGINNING = re.compile(r"(?P<flags>(?:\(\?[a-z]+\))*)(?P<boundary>" + re.escape(_BOUNDARY) + r")?(?P<atom>[0-9A-Za-z_]|\[(?:\\.|[^\]\\])+\])(?![*?]|\{0)(?P<more>\+\??)?")
 
 
 class RuleError(ValueError):
@@ -89,7 +91,20 @@ def to_java(pattern: str, loose: bool = False) -> str:
         else:
             out.append(ch)
         i += 1
-    return "(?d)" + "".join(out)
+    return "(?d)" + _with_cheap_beginning("".join(out), loose)
+
+
+def _with_cheap_beginning(java: str, loose: bool) -> str:
+    """The same regex with the first character tested before a boundary, which takes Java ten times as long.
+
+    Where only the answer counts, a first ``x+`` is an ``x``; else each word is read again from each of its letters.
+    """
+    begin = _BEGINNING.match(java)
+    if not begin:
+        return java
+    flags, boundary, atom, more = (g or "" for g in begin.group("flags", "boundary", "atom", "more"))
+    ahead = f"(?={atom})" if boundary else ""
+    return flags + ahead + boundary + atom + ("" if loose else more) + java[begin.end():]
 
 
 def required_literal(pattern: str) -> str:

@@ -1,5 +1,6 @@
 import gzip
 import json
+import re
 import zlib
 
 import pytest
@@ -44,6 +45,27 @@ def test_regex_dialect():
     assert required_literal(r"(?i)token\s*=") == "=" and required_literal("a|b") == "" and required_literal(r"[a-z]+@x\.com") == "@x.com"
 
 
+def test_regexes_begin_with_a_cheap_test():
+    """A boundary is met after the first character only, and a loose form reads no word from each of its letters."""
+    for pattern in (r"\b[0-9]{16}\b", r"(?i)\bapi[_-]?key", r"\b[^a\]]x|y"):
+        assert re.match(r"\(\?d\)(\(\?i\))?\(\?=[^)]+\)\(\?:\(\?<=", to_java(pattern)), pattern
+    for pattern in (r"\ba?b", r"\ba*b", r"\ba{0,2}b", r"\b(a|b)c", r"a+b", r"^\ba"):
+        assert "(?=a" not in to_java(pattern) and ("a+" in to_java(pattern)) == ("a+" in pattern)
+    assert to_java("[.a]+@b+", loose=True) == "(?d)[.a]@b+" and to_java("(?i)a+?c", loose=True) == "(?d)(?i)ac"
+
+
+@pytest.mark.parametrize("pattern", [r"\b[0-9]{3}\b", r"(?i)\bap[_-]?i\b", r"[a-z.]+@[a-z]+", r"\b[^a]+c", r"\bAb+|[0-9]", r"\b.c", r"\b-a"])
+def test_regexes_match_as_before(spark, pattern):
+    words = ["123", "a123", "1234", "API x", "xapi", "ap_i-ap_i9", "a.b@c", "@c", "bc ac", "abbb", "7", "-c", "x-a", "é123", ""]
+    rows = spark.createDataFrame([(w, " ".join([w, *words])) for w in words], "w string, t string")
+    java = F.lit(to_java(pattern))
+    for r in rows.select("w", "t", *[F.regexp_extract_all(c, java, F.lit(0)).alias("x" + c) for c in "wt"],
+                         *[F.col(c).rlike(to_java(pattern, loose=True)).alias("l" + c) for c in "wt"]).collect():
+        for c in "wt":
+            found = [m.group() for m in re.finditer(pattern, r[c], re.ASCII)]
+            assert r["x" + c] == found and (r["l" + c] or not found)
+
+
 def test_domain_lists(spark, tmp_path):
     (tmp_path / "ai_chat_dlp.txt").write_text("# head\n.Example.com  # note\n\n  exact.org \n")
     (tmp_path / "news-list.txt").write_text("n.com")
