@@ -4,8 +4,8 @@ For each language a suffix automaton holds all substrings of some labelled text.
 A text is parsed from left to right into phrases, each the longest match that
 the automaton still accepts; the fewer phrases it needs, weighted by the bits
 that name a place in the labelled text, the closer the language. Parsing starts
-anew every ``SEGMENT`` characters, so all segments of a batch, of texts long and
-short, are parsed at once, a character of each in a step.
+anew every ``SEGMENT`` characters, so many segments, of texts long and short, are
+parsed at once, a character of each in a step.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from leakscan.llm.common import give_back, map_rows, once, training_split, whole
 from leakscan.llm.learning import sample_texts
 
 SEGMENT = 512
-LANES = 4096  # segments parsed together
+LANES = 2048  # segments parsed together
+ROWS = 1024  # taken out of a batch at once
+TOGETHER = 1 << 20  # characters of the texts that are read at once, or one text
 DENSE = 120  # the commonest letters are looked up in a table, the others among sorted edges
 UNKNOWN, SPACE = 0, 1  # a letter that no language has seen; a run of anything but letters
 UNDETERMINED = "und"
@@ -111,6 +113,19 @@ class Reader:
         return found[keep], letters
 
 
+def parts_of(texts: list[str], most: int = TOGETHER) -> Iterator[list[str]]:
+    """The texts in order, in lists of at most so many characters; a longer text is alone."""
+    part, size = [], 0
+    for text in texts:
+        if part and size + len(text) > most:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text)
+    if part:
+        yield part
+
+
 class Parser:
     def __init__(self, model: Model):
         self.model, self.reader = model, Reader(model.letters)
@@ -165,6 +180,12 @@ class Parser:
 
     def costs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits a symbol for each text and language, and whether a text has a letter."""
+        made = [self._costs(part) for part in parts_of(texts)]
+        if not made:
+            return self._costs(texts)
+        return np.concatenate([costs for costs, _ in made]), np.concatenate([letters for _, letters in made])
+
+    def _costs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         read = [self.reader.symbols(t) for t in texts]
         sizes = np.array([len(s) for s, _ in read], np.int64)
         parts = -(-sizes // SEGMENT)
@@ -241,7 +262,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
         names, scores = _parser(model).predict(texts)
         return {key: keys, "lang_pred": names, "score": scores}
 
-    made = map_rows(docs.select(key, whole(F.col(text)).alias("_text")), _ddl(docs, [key]) + "lang_pred string, score double", rows, 4096)
+    made = map_rows(docs.select(key, whole(F.col(text)).alias("_text")), _ddl(docs, [key]) + "lang_pred string, score double", rows, ROWS)
     return made.select(key, (training_split(F.col(key)) == 1).alias("held_out"), "lang_pred", "score")
 
 
@@ -251,8 +272,8 @@ def with_language(docs: DataFrame, model: Model, text: str = "text") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 4096):
-                part = batch.slice(start, 4096)
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
                 names, _ = _parser(model).predict([t or "" for t in part.column(at).to_pylist()])
                 yield part.filter(pa.array([n != UNDETERMINED for n in names], pa.bool_()))
         give_back()

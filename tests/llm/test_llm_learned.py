@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -76,6 +77,22 @@ def test_batches_do_not_change_a_prediction():
     assert parser.predict([]) == ([], [])
 
 
+def test_memory_does_not_grow_with_the_batch():
+    model = language.train([("x", "one two three four " * 20), ("y", "ein zwei drei vier " * 20)])
+    parser = language.Parser(model)
+    texts = [f"{i} " + "one two three four " * 100 for i in range(4000)]
+    tracemalloc.start()
+    names, _ = parser.predict(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert names == ["x"] * 4000 and peak < 50e6
+
+
+def test_parts_keep_every_text():
+    texts = ["", "abc", "d" * 9, "", "ef", "g"]
+    assert list(language.parts_of(texts, 4)) == [["", "abc"], ["d" * 9], ["", "ef", "g"]] and list(language.parts_of([], 4)) == []
+
+
 def test_languages_of_the_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     model = language.learn(docs)
