@@ -10,9 +10,9 @@ from __future__ import annotations
 import string
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
 
 from leakscan.functions.arrays import let
@@ -74,9 +74,13 @@ def strip_and_fold(text: Column, odd: Column) -> Column:
     return F.when(odd, F.translate(text, _FOLD_FROM + ZERO_WIDTH, _FOLD_TO)).otherwise(text)
 
 
-@pandas_udf(StringType())
-def _nfkc_batch(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
+@arrow_udf(StringType())
+def _nfkc_batch(text: pa.Array) -> pa.Array:
+    # not by way of pa.array or pandas, which a worker would load for this alone
+    made = pa.lib.StringBuilder()
+    for s in text:
+        made.append(unicodedata.normalize("NFKC", s.as_py()) if s.is_valid else None)
+    return made.finish()
 
 
 def nfkc(text: Column, odd: Column | None = None) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from dataclasses import replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, LongType
 
 from leakscan.functions.arrays import chunks, let, pack_span, prefix_sums, span_end, span_start
@@ -176,9 +176,12 @@ def literal_spans(data: bytes, groups: list[list[bytes]]) -> list[list[int]]:
     return [[span for t in dict.fromkeys(group) for span in found[t]] for group in groups]
 
 
-@pandas_udf(ArrayType(ArrayType(LongType())))
-def _literal_spans_batch(data: pd.Series, groups: pd.Series) -> pd.Series:
-    return pd.Series([None if d is None else literal_spans(d, [list(g) for g in gs]) for d, gs in zip(data, groups)], dtype=object)
+@arrow_udf(ArrayType(ArrayType(LongType())))
+def _literal_spans_batch(data: pa.Array, groups: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.list_(pa.int64()))
+    if data.null_count == len(data):
+        return pa.nulls(len(data), kind)
+    return pa.array([literal_spans(d.as_py(), gs.as_py()) if d.is_valid else None for d, gs in zip(data, groups)], kind)
 
 
 def with_secret_spans(records: DataFrame, text: Column, secrets: str, few: int = FEW_SECRETS) -> DataFrame:

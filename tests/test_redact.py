@@ -1,5 +1,8 @@
+import os
 import random
 import re
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,3 +113,21 @@ def test_tokens_shun_every_number_in_the_text(spark):
 
     assert [got[str(i)] for i in range(6)] == free("KEY_A_", 6)
     assert got["k"] == free("KEY_A_B_", 1)[0] and got["m"] == "KEY_C_1"
+
+
+def test_workers_load_no_pandas():
+    # what a worker runs where no text holds many secrets; a worker with pandas takes a good half more
+    code = """
+import sys
+import pyarrow as pa
+from leakscan.functions.normalize import _nfkc_batch
+from leakscan.operators.redact import _literal_spans_batch
+held = pa.lib.StringBuilder()
+for text in ("\\ufb01t", None, "", "e\\u0301"):
+    held.append(text)
+assert _nfkc_batch.func(held.finish()).to_pylist() == ["fit", None, "", "\\xe9"]
+none = _literal_spans_batch.func(pa.nulls(3, pa.binary()), pa.nulls(3, pa.list_(pa.list_(pa.binary()))))
+assert none.to_pylist() == [None] * 3
+assert "pandas" not in sys.modules
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)})
