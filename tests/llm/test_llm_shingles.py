@@ -126,3 +126,58 @@ def test_the_stage_beside_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     kept = corpus_pipeline.near_dedup(spark, docs, DATA)
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == plain_kept([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_prefixes_of_sets_alike_meet_where_the_sketch_has_some_hashes_only():
+    rnd = np.random.default_rng(14)
+    for _ in range(500):
+        base = np.unique(rnd.integers(0, 1 << 64, rnd.integers(1, 60), dtype=np.uint64))
+        other = np.unique(np.r_[base[rnd.random(len(base)) < 0.92], rnd.integers(0, 1 << 64, rnd.integers(0, 4), dtype=np.uint64)])
+        last = np.sort(rnd.choice(base, rnd.integers(0, len(base) + 1), replace=False))
+        over = rnd.integers(0, 256, (1, 8), dtype=np.uint8)
+        share = rnd.random()
+        for value in np.intersect1d(base, other):
+            cell = int(countmin.cells_of(np.array([value]), 0, 6)[0])
+            over[0, cell >> 3] |= 1 << (cell & 7)
+        if len(other) and shingles.alike(base, other):
+            (x, skipped), (y, left) = (shingles._first(s, over, 6, last, share) for s in (base, other))
+            places = [skipped + int(np.flatnonzero(x == v)[0]) + left + int(np.flatnonzero(y == v)[0]) for v in np.intersect1d(x, y)]
+            assert 9 * min(places) <= len(base) + len(other)
+            assert shingles.signs_alike(shingles.sign(base), shingles.sign(other))
+
+
+def test_signs_of_any_width_leave_out_nothing_alike():
+    rnd = np.random.default_rng(16)
+    for _ in range(200):
+        base = np.unique(rnd.integers(0, 1 << 63, rnd.integers(200, 3000), dtype=np.uint64))
+        other = base[rnd.random(len(base)) < rnd.choice([0.5, 0.8, 0.81, 0.95])]
+        assert shingles.signs_alike(shingles.sign(base), shingles.sign(other)) or not shingles.alike(base, other)
+    one, two = (np.unique(rnd.integers(0, 1 << 63, 2000, dtype=np.uint64)) for _ in range(2))
+    assert not shingles.signs_alike(shingles.sign(one), shingles.sign(two))
+
+
+def test_a_large_group_does_not_give_all_its_pairs(spark, monkeypatch):
+    rnd = random.Random(12)
+    base = words(rnd, 120)
+    rows = [(i, edited(rnd, base, 1)) for i in range(150)]
+    monkeypatch.setattr(shingles, "RADIUS", 0)  # few meet by their fingerprints
+    made, pairs_of = [], shingles._pairs
+
+    def counted(*args):
+        made.append(pairs_of(*args))
+        made[-1] = made[-1].count()
+        return pairs_of(*args)
+
+    monkeypatch.setattr(shingles, "_pairs", counted)
+    kept = shingles.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == plain_kept(rows)
+    assert 149 <= sum(made) < 150 * 149 / 4
+
+
+def test_a_sketch_too_small_for_the_texts_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(countmin, "LEAST", 8)
+    monkeypatch.setattr(countmin, "MOST", 8)
+    rows = near_rows(7)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    kept = shingles.without_near_duplicates(df)
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == plain_kept([r[:2] for r in rows])
