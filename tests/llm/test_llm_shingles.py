@@ -181,3 +181,35 @@ def test_a_sketch_too_small_for_the_texts_loses_nothing(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
     kept = shingles.without_near_duplicates(df)
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == plain_kept([r[:2] for r in rows])
+
+
+def test_every_set_is_looked_up_by_its_fingerprint(spark, monkeypatch):
+    rnd = random.Random(13)
+    rows = [(i, words(rnd, rnd.randint(1, 80))) for i in range(60)] + [(60, None), (61, "")]
+    seen, buckets_of = [], shingles._by_fingerprint
+
+    def listed(sets):
+        seen.extend(sets.select("set", "fingerprint").collect())
+        return buckets_of(sets)
+
+    monkeypatch.setattr(shingles, "_by_fingerprint", listed)
+    assert shingles.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count() == 61
+    assert len(seen) == 61 and all(r.fingerprint is not None for r in seen)
+
+
+def test_every_pair_within_the_radius_is_confirmed(spark, monkeypatch):
+    rnd = random.Random(15)
+    rows = []
+    for b in range(10):
+        base = words(rnd, rnd.choice([80, 200, 500]))
+        rows += [(100 * b + i, edited(rnd, base, rnd.choice([0, 1, 2, 4, 7]))) for i in range(15)]
+    known = [shingles.shingle_set(t) for _, t in rows]
+    prints = [simhash.majority(s) % (1 << 64) for s in known]
+    near = [(i, j) for i in range(len(rows)) for j in range(i + 1)
+            if (prints[i] ^ prints[j]).bit_count() <= shingles.RADIUS and shingles.alike(known[i], known[j])]
+    root, least = sets(near), {}
+    for i, (key, _) in enumerate(rows):
+        least[root[i]] = min(key, least.get(root[i], key))
+    monkeypatch.setattr(shingles, "TURNS", 1)  # without the exact search after them
+    kept = shingles.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
